@@ -18,9 +18,21 @@ def spark():
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.maxMetadataStringLength", "1000")
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def sample(spark):
+    """The sample readings in the declared schema."""
+    import fixtures
+    from tidegauge.sources import readings_view
+
+    rows = spark.createDataFrame(fixtures.READINGS, fixtures.READING_COLUMNS)
+    return readings_view(rows, {c: c for c in fixtures.READING_COLUMNS})

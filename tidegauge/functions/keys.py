@@ -38,4 +38,4 @@ def _digestible(type_: DataType) -> bool:
 
 def _bounded(key: str) -> Column:
     raw = F.col(key).cast("binary")
-    return F.when(F.octet_length(raw) < DIGEST_BYTES, raw).otherwise(F.unhex(F.sha2(raw, 256)))
+    return F.when(F.octet_length(key) < DIGEST_BYTES, raw).otherwise(F.unhex(F.sha2(raw, 256)))
