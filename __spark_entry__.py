@@ -72,7 +72,8 @@ def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sources(spark: SparkSession, sf_dir: str) -> list[Source]:
     def source(name: str) -> Source:
-        return Source(name, _table(spark, sf_dir, name).schema, lambda s: _table(s, sf_dir, name))
+        schema = _table(spark, sf_dir, name).schema
+        return Source(name, schema, lambda s: s.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet"))
 
     return [source(name) for name in TABLES]
 
@@ -159,8 +160,11 @@ def validate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cast_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.when(F.col("o_orderstatus") == "F", "n/a").otherwise(F.col("o_custkey").cast("string"))
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", code.alias("code"))
+    status, number = F.col("o_orderstatus"), F.col("o_custkey").cast("string")
+    code = F.when(status == "F", F.concat(F.lit("no. "), number)).when(status == "P", F.concat(number, F.lit(".75")))
+    orders = _table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_totalprice", code.otherwise(number).alias("code")
+    )
     rules = [
         CastRule("o_totalprice", "whole_price", "int"),
         CastRule("code", "code", "int"),
@@ -471,9 +475,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "cast_columns": """
             select o_orderkey, o_totalprice, trunc(o_totalprice)::integer as whole_price,
-                   try_cast(case when o_orderstatus = 'F' then 'n/a' else o_custkey::varchar end as integer) as code,
-                   o_orderkey::varchar as order_id
-            from orders
+                   try_cast(split_part(code, '.', 1) as integer) as code, o_orderkey::varchar as order_id
+            from (select *, case o_orderstatus when 'F' then 'no. ' || o_custkey when 'P' then o_custkey || '.75'
+                                               else o_custkey::varchar end as code
+                  from orders)
         """,
         "cast_chain": """
             select o_orderkey, o_totalprice, o_orderkey::double as whole_price,

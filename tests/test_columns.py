@@ -27,9 +27,9 @@ def setting(spark):
 
 
 def fold(df, rules):
-    """The rules applied one at a time."""
+    """The rules applied one at a time, by plain casts without ANSI mode."""
     for rule in rules:
-        df = df.withColumn(rule.target, df[rule.source].try_cast(rule.type))
+        df = df.withColumn(rule.target, df[rule.source].cast(rule.type))
     return df
 
 
@@ -46,7 +46,8 @@ CHAINS = {
 
 
 @pytest.mark.parametrize("chain", CHAINS.values(), ids=CHAINS.keys())
-def test_casts_fold_in_order(spark, chain):
+def test_casts_fold_in_order(spark, setting, chain):
+    setting("spark.sql.ansi.enabled", "false")
     df = spark.createDataFrame([("1", "2.5", "z"), (None, "x", "3")], "a string, b string, c string")
     rules = [CastRule(*r) for r in chain]
     got, want = cast_columns(df, rules), fold(df, rules)
@@ -71,6 +72,39 @@ def test_malformed_text(spark, setting):
     assert [r.n for r in cast_columns(df, rules, strict=True).collect()] == [12, None]
 
 
+WHOLE = ["12", " 12\t", "+12", "-12", "012", "x", "", " ", "+", "1 2", "1e3", "٣", "12\u2028", "2147483648", "99999999999999999999", None]
+
+
+@pytest.mark.parametrize("type_", ["tinyint", "smallint", "int", "bigint"])
+def test_whole_numbers_as_without_ansi(spark, setting, type_):
+    texts = [*WHOLE, "12.", "12.9", "-12.9", "12.9.1", "12.x"]
+    df = spark.createDataFrame([(t,) for t in texts], "a string")
+    setting("spark.sql.ansi.enabled", "false")
+    want = df.select(F.col("a").cast(type_)).collect()
+    setting("spark.sql.ansi.enabled", "true")
+    got = cast_columns(df, [CastRule("a", "a", type_)]).collect()
+    assert got == want
+    assert got[0] == got[texts.index("12.9")] == (12,)
+
+
+@pytest.mark.parametrize("type_", ["boolean", "double", "decimal(12,2)", "date", "timestamp", "binary", "string"])
+def test_other_types_as_without_ansi(spark, setting, type_):
+    texts = [*WHOLE, "t", "TRUE", " Yes ", "y", "1", "F", "false", "no", "N", "0", "2", "truex", "true\n",
+             "1.5", "NaN", "-inf", "1e3", "2024-01-05", "2024-1-5", "2024-01-05 10:00:00", "2024-13-05"]
+    df = spark.createDataFrame([(t,) for t in texts], "a string")
+    setting("spark.sql.ansi.enabled", "false")
+    want = df.select(F.col("a").cast(type_).cast("string")).collect()
+    setting("spark.sql.ansi.enabled", "true")
+    got = cast_columns(df, [CastRule("a", "b", type_)]).select(F.col("b").cast("string")).collect()
+    assert got == want
+
+
+def test_a_number_out_of_range_is_null(spark):
+    df = spark.createDataFrame([(1e10, 2**40), (1.9, 5)], "d double, l bigint")
+    got = cast_columns(df, [CastRule("d", "d", "int"), CastRule("l", "l", "int")])
+    assert got.collect() == [(None, None), (1, 5)]
+
+
 def test_missing_source(spark):
     with pytest.raises(PySparkException):
         cast_columns(spark.range(1), [CastRule("nope", "x", "int")])

@@ -1,6 +1,7 @@
 """Column expressions."""
 
+from tidegauge.functions.casts import lenient_cast
 from tidegauge.functions.dates import format_date, parse_date, parse_timestamp, utc_stamp
 from tidegauge.functions.keys import row_key
 
-__all__ = ["format_date", "parse_date", "parse_timestamp", "row_key", "utc_stamp"]
+__all__ = ["format_date", "lenient_cast", "parse_date", "parse_timestamp", "row_key", "utc_stamp"]

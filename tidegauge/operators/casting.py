@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql.types import DataType
 
+from tidegauge.functions.casts import lenient_cast
 from tidegauge.schema import CastRule
 
 
@@ -18,9 +20,15 @@ def cast_columns(df: DataFrame, rules: Iterable[CastRule], strict: bool = False)
     ``strict`` the session's ANSI setting decides, as in ``Column.cast``.
     """
     exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
-    made: dict[str, tuple[str, Column]] = {}
+    made: dict[str, tuple[str, Column, DataType]] = {}
     for rule in rules:
         source, target = (n if exact else n.lower() for n in (rule.source, rule.target))
-        column = made[source][1] if source in made else df[rule.source]
-        made[target] = rule.target, column.cast(rule.type) if strict else column.try_cast(rule.type)
-    return df.withColumns(dict(made.values()))
+        if source in made:
+            _, column, source_type = made[source]
+        else:
+            column = df[rule.source]
+            source_type = df.select(column).schema[0].dataType
+        type_ = DataType.fromDDL(rule.type)
+        cast = column.cast(type_) if strict else lenient_cast(column, source_type, type_)
+        made[target] = rule.target, cast, type_
+    return df.withColumns({name: column for name, column, _ in made.values()})

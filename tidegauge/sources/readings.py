@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.functions.casts import lenient_cast
 from tidegauge.schema import SENSOR_SCHEMA
 
 
@@ -20,11 +21,10 @@ def readings_view(df: DataFrame, columns: Mapping[str, str | Column]) -> DataFra
     missing = [name for name in SENSOR_SCHEMA.names if name not in columns]
     if missing:
         raise ValueError(f"no source given for {', '.join(missing)}")
-    return df.select(
-        *(
-            (F.col(src) if isinstance(src, str) else src).try_cast(field.dataType).alias(field.name)
-            for field, src in ((f, columns[f.name]) for f in SENSOR_SCHEMA)
-        )
+    given = df.select(*((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()))
+    types = {field.name: field.dataType for field in given.schema}
+    return given.select(
+        *(lenient_cast(F.col(f.name), types[f.name], f.dataType).alias(f.name) for f in SENSOR_SCHEMA)
     )
 
 
