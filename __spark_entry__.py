@@ -236,6 +236,14 @@ def trigger_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.trigger_window(events, EVENT_TRIGGER, EVENT_MINUTES, time_column="ts")
 
 
+def trigger_window_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = sources.scratch(spark)
+    by_day = _table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    sources.write_parquet(by_day, at, "events", partition_by=["day"], rebalance=True)
+    events = sources.scan_parquet(spark, at, "events")
+    return op.trigger_window(events, EVENT_TRIGGER, EVENT_MINUTES, time_column="ts", date_column="day").drop("day")
+
+
 def downstream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = F.when(F.col("user_id") < 75, "processed").otherwise("raw")
     events = _table(spark, sf_dir, "events").withColumns({"pipeline_id": F.col("event_type"), "stage": stage})
@@ -253,10 +261,19 @@ def duplicate_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.duplicate_ratio(_table(spark, sf_dir, "documents"), ["text"])
 
 
+def duplicate_ratio_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.duplicate_ratio(_documents_with_nulls(spark, sf_dir), ["lang", "n_chars"])
+
+
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.quality_report(_documents_with_nulls(spark, sf_dir), ["text"], ["n_chars", "lang"])
 
 
+def quality_report_keys_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    readings = _readings(spark, sf_dir)
+    return op.quality_report(readings, ["device_id", "timestamp"], ["temperature"], single_scan=False)
+
+
 def quality_report_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing = _table(spark, sf_dir, "documents").where(F.length("text") < 0)
     return op.quality_report(nothing, ["text"], ["n_chars", "lang"])
@@ -297,8 +314,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         scan_parquet, scan_json, scan_csv, sensor_json, sensor_view, series_hourly, write_partitioned,
         schema_catalog, source_metadata, validate_sources,
         cast_columns, cast_chain, parse_timestamp, format_date, parse_date, stamp_utc,
-        sensor_agg, event_agg, distinct_keys, numeric_stats, trigger_window, downstream_rollup,
-        null_ratio, duplicate_ratio, quality_report, quality_report_empty, quality_verdict, quality_history,
+        sensor_agg, event_agg, distinct_keys, numeric_stats,
+        trigger_window, trigger_window_daily, downstream_rollup,
+        null_ratio, duplicate_ratio, duplicate_ratio_null_keys,
+        quality_report, quality_report_keys_apart, quality_report_empty, quality_verdict, quality_history,
         sensor_job,
     )
     return {query.__name__: query for query in listed}
@@ -421,6 +440,10 @@ def oracle_sql() -> dict[str, str]:
     )
     documents_report = _report_sql(_DOCUMENTS_SQL, "text", ["n_chars", "lang"])
     readings_report = _report_sql(_READINGS_SQL, 'device_id, "timestamp"', ["temperature"])
+    in_window = f"""
+        select *, timestamp '{EVENT_TRIGGER}' as trigger_time, {EVENT_MINUTES}::bigint as duration_minutes
+        from events where {in_event_window}
+    """
     schema_texts = {name: str(types).replace("'", "''") for name, types in _SOURCE_TYPES.items()}
     return {
         "scan_parquet": "select * from orders",
@@ -508,10 +531,8 @@ def oracle_sql() -> dict[str, str]:
         """,
         "distinct_keys": "select count(*) as distinct_keys from (select distinct text from documents)",
         "numeric_stats": "select round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std from events",
-        "trigger_window": f"""
-            select *, timestamp '{EVENT_TRIGGER}' as trigger_time, {EVENT_MINUTES}::bigint as duration_minutes
-            from events where {in_event_window}
-        """,
+        "trigger_window": in_window,
+        "trigger_window_daily": in_window,
         "downstream_rollup": f"""
             select timestamp '{EVENT_TRIGGER}' as trigger_time, event_type as pipeline_id,
                    case when user_id < 75 then 'processed' else 'raw' end as stage, round(avg(value), 6) as avg_temp,
@@ -527,7 +548,14 @@ def oracle_sql() -> dict[str, str]:
             from (select (select count(*) from documents) as row_count,
                          (select count(*) from (select distinct text from documents)) as distinct_keys)
         """,
+        "duplicate_ratio_null_keys": f"""
+            select row_count, distinct_keys,
+                   (row_count - distinct_keys)::double / greatest(row_count, 1) as duplicate_ratio
+            from (select (select count(*) from documents) as row_count,
+                         (select count(*) from (select distinct lang, n_chars from ({_DOCUMENTS_SQL}))) as distinct_keys)
+        """,
         "quality_report": documents_report,
+        "quality_report_keys_apart": readings_report,
         "quality_report_empty": _report_sql("select * from documents where length(text) < 0", "text", ["n_chars", "lang"]),
         "quality_verdict": f"""
             select bool_and(not (violated and severity = 'error')) as passed,

@@ -1,12 +1,15 @@
+import json
+
 import pytest
 from pyspark.errors import PySparkException
 
 import fixtures
 from plans import executed
+from tidegauge.__main__ import main
 from tidegauge.operators import Thresholds
 from tidegauge.plans import schema_catalog, sensor_job
 from tidegauge.schema import CastRule, TableSchema
-from tidegauge.session import DEFAULT_SETTINGS, MAX_SHUFFLE_PARTITIONS, open_session, set_options, settings_for_input
+from tidegauge.session import DEFAULT_SETTINGS, MAX_SHUFFLE_PARTITIONS, MIB, open_session, set_options, settings_for_input
 
 
 def test_job_on_the_sample(sample):
@@ -60,5 +63,24 @@ def test_session_settings(spark):
 
 
 def test_settings_grow_with_the_input():
-    partitions = [int(settings_for_input(b)["spark.sql.shuffle.partitions"]) for b in (0, 10**11, 10**12, 10**14)]
-    assert partitions == [200, 746, 7451, MAX_SHUFFLE_PARTITIONS]
+    def settings(*args):
+        got = settings_for_input(*args)
+        return int(got["spark.sql.shuffle.partitions"]), int(got["spark.sql.files.maxPartitionBytes"]) // MIB
+
+    assert settings(0) == (200, 128)
+    assert settings(10**12) == (7451, 128)
+    assert settings(10**14) == (MAX_SHUFFLE_PARTITIONS, 476)
+    assert settings(10**14, 10**12) == (7451, 476)
+
+
+def test_job_from_the_command_line(spark, tmp_path, capsys):
+    lines = [dict(zip(fixtures.READING_COLUMNS, row)) for row in fixtures.READINGS]
+    (tmp_path / "readings.json").write_text("\n".join(map(json.dumps, lines)))
+    for run in ("first", "second"):
+        main([f"{tmp_path}/readings.json", f"{tmp_path}/out", "--trigger", "2024-01-01 10:02:00", "--minutes", "2",
+              "--alert-above", "22", "--run-id", run])
+    shown = capsys.readouterr().out
+    assert "summary|warehouse_A|avg_temperature|" in shown
+    assert {d.name for d in (tmp_path / "out" / "readings").glob("day=*")} == {"day=2024-01-01"}
+    assert spark.read.parquet(f"{tmp_path}/out/history").groupBy("run_id").count().count() == 2
+    assert spark.read.parquet(f"{tmp_path}/out/report").count() == 26

@@ -1,6 +1,5 @@
 """Every registered query against its SQL, run by DuckDB over the same tables."""
 
-import math
 from datetime import datetime
 
 import duckdb
@@ -37,8 +36,6 @@ def canonical(columns, rows):
 
 
 def _cell(value):
-    if isinstance(value, float):
-        return "nan" if math.isnan(value) else float(f"{value:.12g}")
     return value.isoformat() if isinstance(value, datetime) else value
 
 

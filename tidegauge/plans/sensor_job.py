@@ -64,10 +64,14 @@ def sensor_job(
     keys: Sequence[str] = ("device_id",),
     columns: Sequence[str] = ("temperature", "humidity", "pressure"),
     thresholds: Thresholds = Thresholds(),
+    date_column: str | None = None,
 ) -> SensorJob:
+    """Plan the job. ``date_column`` names the daily folders of a partitioned table."""
     return SensorJob(
         summary=summarize_readings(readings),
         quality=quality_report(readings, keys, columns, thresholds),
-        window=trigger_window(readings, trigger, minutes),
-        downstream=downstream_rollup(readings, trigger, minutes, alert_above=alert_above, by=("location",)),
+        window=trigger_window(readings, trigger, minutes, date_column=date_column),
+        downstream=downstream_rollup(
+            readings, trigger, minutes, alert_above=alert_above, by=("location",), date_column=date_column
+        ),
     )
