@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plans import scans, shuffles
+from plans import executed, scans, shuffles
 from tidegauge.operators import (
     QualityResult,
     Thresholds,
@@ -16,6 +16,7 @@ from tidegauge.operators import (
     quality_result,
     quality_verdict,
 )
+from tidegauge.session import FOOTER_COUNTS, set_options
 from tidegauge.sources import Location, scan_parquet
 
 ROW_WARNING = "Row count %d below minimum threshold (warning)"
@@ -135,6 +136,30 @@ def test_scans_and_shuffles(spark, tmp_path, single_scan, scanned):
     assert shuffles(report) == 1 + scanned
 
 
+def test_counts_from_file_footers(spark, tmp_path):
+    df = spark.range(0, 1000, 1, 4).select(
+        (F.col("id") % 500).alias("k"),
+        F.when(F.col("id") % 5 > 0, "x").alias("a"),
+        F.when(F.col("id") % 2 > 0, F.lit(float("nan"))).alias("b"),
+        F.lit(None).cast("int").alias("c"),
+    )
+    df.write.parquet(str(tmp_path / "t"))
+    want = quality_report(df, ["k"], ["a", "b", "c", "k"]).sort("position").collect()
+    saved = {key: spark.conf.get(key) for key in FOOTER_COUNTS}
+    try:
+        set_options(spark, FOOTER_COUNTS)
+        table = spark.read.parquet(str(tmp_path / "t"))
+        report = quality_report(table, ["k"], ["a", "b", "c", "k"], single_scan=False)
+        ratios = null_ratio(table, ["a", "b", "c"])
+        assert [r.null_ratio for r in ratios.sort("position").collect()] == [0.2, 0.5, 1.0]
+        assert report.sort("position").collect() == want
+        assert "ReadSchema: struct<count(*):bigint,count(a):bigint" in executed(ratios)
+        assert executed(report).count("ReadSchema: struct<count(*):bigint,count(a):bigint") == 1
+        assert executed(report).count("ReadSchema: struct<k:bigint>") == 1
+    finally:
+        set_options(spark, saved)
+
+
 def test_history_keeps_every_run(spark, sample, tmp_path):
     at = Location(str(tmp_path))
     good = quality_report(sample, ["device_id"], ["temperature"])

@@ -49,8 +49,14 @@ def _share(part: Column, whole: Column) -> Column:
     return part / F.greatest(whole, F.lit(1))
 
 
-def _null_counts(columns: Sequence[str]) -> dict[str, Column]:
-    return {f"nulls_{i}": F.count_if(F.col(c).isNull()) for i, c in enumerate(columns)}
+def _filled(columns: Sequence[str]) -> list[Column]:
+    """The values that are not NULL, per column: counts a Parquet footer can answer."""
+    return [F.count(F.col(column)).alias(f"filled_{i}") for i, column in enumerate(columns)]
+
+
+def _null_ratios(columns: Sequence[str]) -> list[Column]:
+    rows = F.col("row_count")
+    return [_share(rows - F.col(f"filled_{i}"), rows) for i in range(len(columns))]
 
 
 def _once(columns: Sequence[str]) -> list[str]:
@@ -58,17 +64,16 @@ def _once(columns: Sequence[str]) -> list[str]:
 
 
 def null_ratio(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The share of NULLs in each column, one row per column, from one scan. NaN is no NULL."""
+    """The share of NULLs in each column, one row per column, from one scan. NaN is no NULL.
+
+    Over a stored Parquet table read under ``session.FOOTER_COUNTS`` the scan
+    is of the file footers alone.
+    """
     columns = _once(columns)
-    counts = _null_counts(columns)
-    totals = df.agg(F.count("*").alias("row_count"), *(c.alias(n) for n, c in counts.items()))
+    totals = df.agg(F.count("*").alias("row_count"), *_filled(columns))
     ratios = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(column).alias("column_name"),
-            _share(F.col(name), F.col("row_count")).alias("null_ratio"),
-        )
-        for i, (column, name) in enumerate(zip(columns, counts), start=1)
+        F.struct(F.lit(i).alias("position"), F.lit(column).alias("column_name"), ratio.alias("null_ratio"))
+        for i, (column, ratio) in enumerate(zip(columns, _null_ratios(columns)), start=1)
     ]
     return _rows(totals, ratios)
 
@@ -99,28 +104,27 @@ def quality_report(
     The rows hold position, check_name, column_name (for null checks),
     value, threshold, severity and violated.
 
-    In a single scan the null counters travel through the shuffle of the
-    distinct keys. Where ``df`` is a columnar table, so that scanning the key
-    columns apart from the checked ones costs little, and many columns are
-    checked, ``single_scan=False`` counts the two apart and shuffles less.
+    In a single scan the counters travel through the shuffle of the distinct
+    keys. Where ``df`` is a columnar table, so that scanning the key columns
+    apart from the checked ones costs little, ``single_scan=False`` counts the
+    two apart and shuffles less; under ``session.FOOTER_COUNTS`` it then reads
+    no data but the keys.
     """
     columns = _once(columns)
-    counts = _null_counts(columns)
-    total = F.count("*").alias("row_count")
-    nulls = [count.alias(name) for name, count in counts.items()]
+    total, filled = F.count("*").alias("row_count"), _filled(columns)
     distinct = F.count_distinct(row_key(df, keys, digest)).alias("distinct_keys")
 
-    rows, n = F.col("row_count"), len(columns)
+    n = len(columns)
     by_column = [
-        _check(i, NULL_RATIO, column, _share(F.col(name), rows), thresholds.null_ratio_max)
-        for i, (column, name) in enumerate(zip(columns, counts), start=1)
+        _check(i, NULL_RATIO, column, ratio, thresholds.null_ratio_max)
+        for i, (column, ratio) in enumerate(zip(columns, _null_ratios(columns)), start=1)
     ]
     of_keys = _check(n + 1, DUPLICATE_RATIO, None, _surplus(), thresholds.duplicate_ratio_max)
-    of_rows = _check(n + 2, ROW_COUNT, None, rows.cast("double"), thresholds.min_row_count)
+    of_rows = _check(n + 2, ROW_COUNT, None, F.col("row_count").cast("double"), thresholds.min_row_count)
 
     if single_scan:
-        return _rows(df.agg(total, distinct, *nulls), [*by_column, of_keys, of_rows])
-    return _rows(df.agg(total, *nulls), [*by_column, of_rows]).union(_rows(df.agg(total, distinct), [of_keys]))
+        return _rows(df.agg(total, distinct, *filled), [*by_column, of_keys, of_rows])
+    return _rows(df.agg(total, *filled), [*by_column, of_rows]).union(_rows(df.agg(total, distinct), [of_keys]))
 
 
 def _rows(totals: DataFrame, structs: Sequence[Column]) -> DataFrame:
