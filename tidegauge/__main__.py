@@ -38,7 +38,9 @@ def main(argv: Sequence[str] | None = None) -> None:
     write_parquet(by_day, out, "readings", partition_by=["day"], rebalance=True)
     readings = spark.read.schema(f"{SENSOR_SCHEMA.toDDL()}, day date").parquet(out.path("readings"))
 
-    job = sensor_job(readings, args.trigger, args.minutes, alert_above=args.alert_above, date_column="day")
+    job = sensor_job(
+        readings, args.trigger, args.minutes, alert_above=args.alert_above, date_column="day", single_scan=False
+    )
     now = datetime.now()
     append_history(job.quality, out, "history", args.run_id, now)
     this_run = scan_parquet(spark, out, "history").where((F.col("run_id") == args.run_id) & (F.col("recorded_at") == now))

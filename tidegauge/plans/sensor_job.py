@@ -65,11 +65,16 @@ def sensor_job(
     columns: Sequence[str] = ("temperature", "humidity", "pressure"),
     thresholds: Thresholds = Thresholds(),
     date_column: str | None = None,
+    single_scan: bool = True,
 ) -> SensorJob:
-    """Plan the job. ``date_column`` names the daily folders of a partitioned table."""
+    """Plan the job.
+
+    ``date_column`` names the daily folders of a partitioned table;
+    ``single_scan`` is that of ``quality_report``.
+    """
     return SensorJob(
         summary=summarize_readings(readings),
-        quality=quality_report(readings, keys, columns, thresholds),
+        quality=quality_report(readings, keys, columns, thresholds, single_scan=single_scan),
         window=trigger_window(readings, trigger, minutes, date_column=date_column),
         downstream=downstream_rollup(
             readings, trigger, minutes, alert_above=alert_above, by=("location",), date_column=date_column
