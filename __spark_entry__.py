@@ -82,6 +82,11 @@ def _without_zone(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
+def _as_text(df: DataFrame, column: str) -> DataFrame:
+    """An integer column with NULLs as text, as a table tool without such columns would make it floating-point."""
+    return df.withColumn(column, F.col(column).cast("string"))
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -127,7 +132,7 @@ def sensor_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(line())
     )
     readings.select(lines.alias("value")).write.text(at.path("readings"))
-    return _without_zone(sources.scan_readings(spark, at.path("readings")), "timestamp")
+    return _as_text(_without_zone(sources.scan_readings(spark, at.path("readings")), "timestamp"), "status")
 
 
 def sensor_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +175,7 @@ def cast_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         CastRule("code", "code", "int"),
         CastRule("o_orderkey", "order_id", "string"),
     ]
-    return op.cast_columns(orders, rules)
+    return _as_text(op.cast_columns(orders, rules), "code")
 
 
 def cast_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -460,7 +465,7 @@ def oracle_sql() -> dict[str, str]:
                    case when status <> 7 then "timestamp" end as "timestamp",
                    case when status <> 7 then device_id end as device_id,
                    case when status <> 7 then location end as location,
-                   case when status not in (5, 7) then status end as status
+                   case when status not in (5, 7) then status::varchar end as status
             from ({_READINGS_SQL})
         """,
         "sensor_view": _READINGS_SQL,
@@ -498,7 +503,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "cast_columns": """
             select o_orderkey, o_totalprice, trunc(o_totalprice)::integer as whole_price,
-                   try_cast(split_part(code, '.', 1) as integer) as code, o_orderkey::varchar as order_id
+                   try_cast(split_part(code, '.', 1) as integer)::varchar as code, o_orderkey::varchar as order_id
             from (select *, case o_orderstatus when 'F' then 'no. ' || o_custkey when 'P' then o_custkey || '.75'
                                                else o_custkey::varchar end as code
                   from orders)
