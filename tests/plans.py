@@ -11,3 +11,22 @@ def shuffles(df) -> int:
 
 def scans(df) -> int:
     return executed(df).count("FileScan ")
+
+
+def shuffled_rows(df) -> int:
+    """Run the query; how many rows did its exchanges write?"""
+    df.collect()
+    written, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        else:
+            if name == "ShuffleExchangeExec":
+                written += node.metrics().apply("shuffleRecordsWritten").value()
+            children = node.children()
+            nodes += [children.apply(i) for i in range(children.size())]
+    return written

@@ -2,8 +2,15 @@ import pytest
 from pyspark.sql import functions as F
 
 import fixtures
-from plans import executed, shuffles
-from tidegauge.operators import distinct_keys, grouped_summary, numeric_stats, summarize_readings
+from plans import executed, shuffled_rows, shuffles
+from tidegauge.operators import (
+    distinct_keys,
+    duplicate_ratio,
+    grouped_summary,
+    numeric_stats,
+    quality_report,
+    summarize_readings,
+)
 
 
 def test_sample_summary(sample):
@@ -86,3 +93,28 @@ def test_statistics(spark):
     mean, std = numeric_stats(df, "v").first()
     assert (mean, round(std, 4)) == (3.0, 1.4142)
     assert numeric_stats(df.where("false"), "v").first() == (None, None)
+
+
+def test_a_hot_group_shuffles_one_row_per_task(spark):
+    tasks, rows = 8, 30_000
+    df = spark.range(0, rows, 1, tasks).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 20)).alias("g"),
+        F.col("id").cast("double").alias("m"),
+        (F.col("id") % 7).alias("s"),
+    )
+    brute = {}
+    for i in range(rows):
+        brute.setdefault("hot" if i % 3 == 0 else f"g{i % 20}", []).append(i)
+
+    summary = grouped_summary(df, ["g"], ["m"], F.col("s") == 1)
+    assert {r.g: (r.avg_m, r.row_count, r.flagged) for r in summary.collect()} == {
+        g: (pytest.approx(sum(ids) / len(ids)), len(ids), sum(i % 7 == 1 for i in ids)) for g, ids in brute.items()
+    }
+    groups = len(brute)
+    assert groups == 21
+    assert shuffled_rows(grouped_summary(df, ["g"], ["m"], F.col("s") == 1)) <= tasks * groups
+
+    assert duplicate_ratio(df, ["g"]).first()[:2] == (rows, groups)
+    # The partial rows of the keys, then at most one row per shuffle partition.
+    for query in (distinct_keys(df, ["g"]), duplicate_ratio(df, ["g"]), quality_report(df, ["g"], ["m", "s"])):
+        assert shuffled_rows(query) <= tasks * groups + 8

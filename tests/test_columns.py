@@ -116,6 +116,11 @@ def test_any_type_name(spark):
     assert got.dtypes == [("a", "string"), ("b", "array<int>"), ("d", "decimal(5,1)")]
 
 
+def test_a_field_of_a_struct(spark):
+    df = spark.sql("select named_struct('v', '12.5') s")
+    assert cast_columns(df, [CastRule("s.v", "n", "int")]).select("n").collect() == [(12,)]
+
+
 def test_one_projection_for_many_rules(spark):
     rules = [CastRule("id" if i == 0 else f"c{i - 1}", f"c{i}", "string" if i % 2 else "double") for i in range(60)]
     plan = cast_columns(spark.range(1), rules)._jdf.queryExecution().analyzed().toString()

@@ -99,7 +99,7 @@ def test_readings_from_untidy_json(spark, tmp_path):
         good | {"timestamp": "soon"},
     ]
     path = tmp_path / "r.json"
-    path.write_text("\n".join(map(json.dumps, lines)) + "\nnot json\n")
+    path.write_text("\n".join(map(json.dumps, lines)) + f"\nnot json\n{json.dumps([good, good])}\n")
     df = sources.scan_readings(spark, str(path))
     assert df.schema == SENSOR_SCHEMA
     whole = Row(
@@ -114,6 +114,9 @@ def test_readings_from_untidy_json(spark, tmp_path):
         whole | {"status": None},
         whole | {"timestamp": None},
         dict.fromkeys(whole),
+        # A line holding an array gives a row per element.
+        whole,
+        whole,
     ]
 
 

@@ -14,10 +14,9 @@ LENIENT_DATE_PATTERN = "yyyy-M-d"
 
 def parse_timestamp(text: Column | str, pattern: str | None = None, strict: bool = False) -> Column:
     """Text to timestamp. Malformed text gives NULL, or an error if ``strict``."""
-    args = (text,) if pattern is None else (text, F.lit(pattern))
     if strict:
         return F.to_timestamp(text, pattern)
-    return F.try_to_timestamp(*args)
+    return F.try_to_timestamp(text) if pattern is None else F.try_to_timestamp(text, F.lit(pattern))
 
 
 def parse_date(text: Column | str, pattern: str = LENIENT_DATE_PATTERN, strict: bool = True) -> Column:

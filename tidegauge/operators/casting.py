@@ -20,15 +20,21 @@ def cast_columns(df: DataFrame, rules: Iterable[CastRule], strict: bool = False)
     ``strict`` the session's ANSI setting decides, as in ``Column.cast``.
     """
     exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+
+    def folded(name: str) -> str:
+        return name if exact else name.lower()
+
+    given = {folded(field.name): field.dataType for field in df.schema}
     made: dict[str, tuple[str, Column, DataType]] = {}
     for rule in rules:
-        source, target = (n if exact else n.lower() for n in (rule.source, rule.target))
+        source = folded(rule.source)
         if source in made:
             _, column, source_type = made[source]
         else:
             column = df[rule.source]
-            source_type = df.select(column).schema[0].dataType
+            # A field inside a struct is not in the list.
+            source_type = given.get(source) or df.select(column).schema[0].dataType
         type_ = DataType.fromDDL(rule.type)
         cast = column.cast(type_) if strict else lenient_cast(column, source_type, type_)
-        made[target] = rule.target, cast, type_
+        made[folded(rule.target)] = rule.target, cast, type_
     return df.withColumns({name: column for name, column, _ in made.values()})
