@@ -274,9 +274,9 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.quality_report(_documents_with_nulls(spark, sf_dir), ["text"], ["n_chars", "lang"])
 
 
-def quality_report_keys_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quality_report_single_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     readings = _readings(spark, sf_dir)
-    return op.quality_report(readings, ["device_id", "timestamp"], ["temperature"], single_scan=False)
+    return op.quality_report(readings, ["device_id", "timestamp"], ["temperature"], single_scan=True)
 
 
 def quality_report_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,7 +322,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         sensor_agg, event_agg, distinct_keys, numeric_stats,
         trigger_window, trigger_window_daily, downstream_rollup,
         null_ratio, duplicate_ratio, duplicate_ratio_null_keys,
-        quality_report, quality_report_keys_apart, quality_report_empty, quality_verdict, quality_history,
+        quality_report, quality_report_single_scan, quality_report_empty, quality_verdict, quality_history,
         sensor_job,
     )
     return {query.__name__: query for query in listed}
@@ -560,7 +560,7 @@ def oracle_sql() -> dict[str, str]:
                          (select count(*) from (select distinct lang, n_chars from ({_DOCUMENTS_SQL}))) as distinct_keys)
         """,
         "quality_report": documents_report,
-        "quality_report_keys_apart": readings_report,
+        "quality_report_single_scan": readings_report,
         "quality_report_empty": _report_sql("select * from documents where length(text) < 0", "text", ["n_chars", "lang"]),
         "quality_verdict": f"""
             select bool_and(not (violated and severity = 'error')) as passed,

@@ -97,18 +97,18 @@ def quality_report(
     columns: Sequence[str],
     thresholds: Thresholds = Thresholds(),
     digest: bool = True,
-    single_scan: bool = True,
+    single_scan: bool = False,
 ) -> DataFrame:
-    """All checks, one row each, from one scan of ``df``.
+    """All checks, one row each, as one lazy frame.
 
     The rows hold position, check_name, column_name (for null checks),
     value, threshold, severity and violated.
 
-    In a single scan the counters travel through the shuffle of the distinct
-    keys. Where ``df`` is a columnar table, so that scanning the key columns
-    apart from the checked ones costs little, ``single_scan=False`` counts the
-    two apart and shuffles less; under ``session.FOOTER_COUNTS`` it then reads
-    no data but the keys.
+    The keys are counted apart from the checked columns. Over a columnar table
+    each column is still read once, and the shuffle holds keys alone; under
+    ``session.FOOTER_COUNTS`` nothing but the keys is read. Where each pass over
+    ``df`` is dear, as with parsed text or a join, ``single_scan`` takes one
+    pass for everything and lets the column counters travel with the keys.
     """
     columns = _once(columns)
     total, filled = F.count("*").alias("row_count"), _filled(columns)

@@ -65,7 +65,7 @@ def sensor_job(
     columns: Sequence[str] = ("temperature", "humidity", "pressure"),
     thresholds: Thresholds = Thresholds(),
     date_column: str | None = None,
-    single_scan: bool = True,
+    single_scan: bool = False,
 ) -> SensorJob:
     """Plan the job.
 
