@@ -106,6 +106,13 @@ def test_column_named_twice(spark):
     assert quality_result(df, ["k"], ["a", "k", "a"]).null_ratios == {"a": 1.0, "k": 0.0}
 
 
+def test_no_columns(spark):
+    assert null_ratio(spark.range(3), []).collect() == []
+    assert quality_result(spark.range(3), ["id"], []).null_ratios == {}
+    # Without keys all rows are one key's.
+    assert quality_result(spark.range(4), [], ["id"]).duplicate_ratio == 0.75
+
+
 cells = st.one_of(st.none(), st.sampled_from([0.0, 1.5, float("nan")]))
 texts = st.one_of(st.none(), st.sampled_from(["", "a", "b" * 40, "c" * 40]))
 

@@ -8,6 +8,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from tidegauge.functions.keys import row_key
 from tidegauge.sources.files import write_parquet
@@ -21,6 +22,11 @@ NULL_ISSUE = "Column '%s' null ratio %.4f exceeds threshold"
 DUPLICATE_ISSUE = "Duplicate ratio %.4f exceeds threshold"
 ROW_COUNT_ISSUE = "Row count %d below minimum threshold (warning)"
 
+REPORT_FIELDS = (
+    "position int, check_name string, column_name string, value double, "
+    "threshold double, severity string, violated boolean"
+)
+
 
 @dataclass(frozen=True)
 class Thresholds:
@@ -75,7 +81,7 @@ def null_ratio(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.struct(F.lit(i).alias("position"), F.lit(column).alias("column_name"), ratio.alias("null_ratio"))
         for i, (column, ratio) in enumerate(zip(columns, _null_ratios(columns)), start=1)
     ]
-    return _rows(totals, ratios)
+    return _rows(totals, ratios, "position int, column_name string, null_ratio double")
 
 
 def duplicate_ratio(df: DataFrame, keys: Sequence[str], digest: bool = True) -> DataFrame:
@@ -127,9 +133,9 @@ def quality_report(
     return _rows(df.agg(total, *filled), [*by_column, of_rows]).union(_rows(df.agg(total, distinct), [of_keys]))
 
 
-def _rows(totals: DataFrame, structs: Sequence[Column]) -> DataFrame:
+def _rows(totals: DataFrame, structs: Sequence[Column], fields: str = REPORT_FIELDS) -> DataFrame:
     """The one row of totals as one row per struct."""
-    return totals.select(F.inline(F.array(*structs)))
+    return totals.select(F.inline(F.array(*structs).cast(ArrayType(StructType.fromDDL(fields)))))
 
 
 def _check(position: int, name: str, column: str | None, value: Column, limit: float) -> Column:
@@ -138,7 +144,7 @@ def _check(position: int, name: str, column: str | None, value: Column, limit: f
     return F.struct(
         F.lit(position).alias("position"),
         F.lit(name).alias("check_name"),
-        F.lit(column).cast("string").alias("column_name"),
+        F.lit(column).alias("column_name"),
         value.alias("value"),
         limit.alias("threshold"),
         F.lit("warning" if floor else "error").alias("severity"),
@@ -180,9 +186,11 @@ def quality_result(
     keys: Sequence[str],
     columns: Sequence[str],
     thresholds: Thresholds = Thresholds(),
+    single_scan: bool = False,
 ) -> QualityResult:
     """Run the checks now and return the verdict; one job, one row fetched."""
-    verdict = quality_verdict(quality_report(df, keys, columns, thresholds)).first().asDict()
+    report = quality_report(df, keys, columns, thresholds, single_scan=single_scan)
+    verdict = quality_verdict(report).first().asDict()
     # A map comes back in no particular order.
     verdict["null_ratios"] = {column: verdict["null_ratios"][column] for column in _once(columns)}
     return QualityResult(**verdict)
