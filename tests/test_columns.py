@@ -121,6 +121,14 @@ def test_a_field_of_a_struct(spark):
     assert cast_columns(df, [CastRule("s.v", "n", "int")]).select("n").collect() == [(12,)]
 
 
+@pytest.mark.parametrize("collation", ["UTF8_LCASE", "UNICODE_CI"])
+def test_collated_text(spark, collation):
+    df = spark.createDataFrame([("12.5", "YES")], "a string, b string")
+    df = df.select(*(F.collate(c, collation).alias(c) for c in df.columns))
+    got = cast_columns(df, [CastRule("a", "a", "int"), CastRule("b", "b", "boolean")])
+    assert got.collect() == [(12, True)]
+
+
 def test_one_projection_for_many_rules(spark):
     rules = [CastRule("id" if i == 0 else f"c{i - 1}", f"c{i}", "string" if i % 2 else "double") for i in range(60)]
     plan = cast_columns(spark.range(1), rules)._jdf.queryExecution().analyzed().toString()

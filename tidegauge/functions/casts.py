@@ -23,6 +23,8 @@ def lenient_cast(column: Column, source: T.DataType, target: T.DataType) -> Colu
     an exception for each such row, at twenty times the cost.
     """
     if isinstance(source, T.StringType):
+        if source.collation != "UTF8_BINARY":
+            column = F.collate(column, "UTF8_BINARY")
         if isinstance(target, T.IntegralType):
             whole = F.nullif(F.regexp_extract(column, WITH_FRACTION, 1), F.lit(""))
             column = F.when(column.rlike(WHOLE_NUMBER), column).otherwise(whole)
