@@ -135,22 +135,29 @@ def test_one_projection_for_many_rules(spark):
     assert plan.count("Project") == 1
 
 
-def test_parse_timestamp(spark):
+@pytest.fixture(params=["true", "false"])
+def ansi(request, setting):
+    setting("spark.sql.ansi.enabled", request.param)
+
+
+def test_parse_timestamp(spark, ansi):
     df = spark.createDataFrame([("2024-01-01 10:00:00",), ("2024-01-01",), ("tomorrow",), (None,)], "t string")
     assert [r[0] for r in df.select(fn.parse_timestamp("t")).collect()] == [
         datetime(2024, 1, 1, 10), datetime(2024, 1, 1), None, None,
     ]
-    with pytest.raises(PySparkException):
+    with pytest.raises(PySparkException, match="not a timestamp: tomorrow"):
         df.select(fn.parse_timestamp("t", strict=True)).collect()
+    fine = df.where("t is null or t not like 't%'")
+    assert fine.select(fn.parse_timestamp("t", strict=True)).collect() == fine.select(fn.parse_timestamp("t")).collect()
     shaped = spark.createDataFrame([("05/01/2024",), ("2024-01-05",)], "t string")
     assert [r[0] for r in shaped.select(fn.parse_timestamp("t", "dd/MM/yyyy")).collect()] == [datetime(2024, 1, 5), None]
 
 
-def test_parse_date(spark):
+def test_parse_date(spark, ansi):
     df = spark.createDataFrame([("2024-01-05",), ("2024-1-5",)], "t string")
     assert {r[0] for r in df.select(fn.parse_date("t")).collect()} == {datetime(2024, 1, 5)}
     bad = spark.createDataFrame([("2024-13-05",)], "t string")
-    with pytest.raises(PySparkException):
+    with pytest.raises(PySparkException, match="not a timestamp: 2024-13-05"):
         bad.select(fn.parse_date("t")).collect()
     assert bad.select(fn.parse_date("t", strict=False)).first()[0] is None
 

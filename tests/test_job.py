@@ -62,6 +62,18 @@ def test_session_settings(spark):
         set_options(spark, {key: "true"})
 
 
+def test_sized_settings_can_be_set_on_a_live_session(spark):
+    settings = settings_for_input(10**12)
+    saved = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        set_options(spark, settings)
+        assert {key: spark.conf.get(key) for key in settings} == settings
+        assert spark.range(10).groupBy("id").count().count() == 10
+    finally:
+        for key, value in saved.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_settings_grow_with_the_input():
     def settings(*args):
         got = settings_for_input(*args)

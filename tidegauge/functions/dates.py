@@ -13,10 +13,12 @@ LENIENT_DATE_PATTERN = "yyyy-M-d"
 
 
 def parse_timestamp(text: Column | str, pattern: str | None = None, strict: bool = False) -> Column:
-    """Text to timestamp. Malformed text gives NULL, or an error if ``strict``."""
-    if strict:
-        return F.to_timestamp(text, pattern)
-    return F.try_to_timestamp(text) if pattern is None else F.try_to_timestamp(text, F.lit(pattern))
+    """Text to timestamp. Malformed text gives NULL or, if ``strict``, an error in any session."""
+    text = F.col(text) if isinstance(text, str) else text
+    parsed = F.try_to_timestamp(text) if pattern is None else F.try_to_timestamp(text, F.lit(pattern))
+    if not strict:
+        return parsed
+    return F.coalesce(parsed, F.when(text.isNotNull(), F.raise_error(F.concat(F.lit("not a timestamp: "), text))))
 
 
 def parse_date(text: Column | str, pattern: str = LENIENT_DATE_PATTERN, strict: bool = True) -> Column:
