@@ -106,6 +106,19 @@ def test_column_named_twice(spark):
     assert quality_result(df, ["k"], ["a", "k", "a"]).null_ratios == {"a": 1.0, "k": 0.0}
 
 
+def test_names_of_any_shape(spark):
+    names = ["a b", "quote'\"`s", "é\\n", "😀"]
+    df = spark.createDataFrame([(1, None, 1, None)], ", ".join(f"`{n.replace('`', '``')}` int" for n in names))
+    quoted = [f"`{n.replace('`', '``')}`" for n in names]
+    assert list(quality_result(df, quoted, quoted).null_ratios.items()) == list(zip(quoted, (0.0, 1.0, 0.0, 1.0)))
+
+
+def test_a_wide_table(spark):
+    df = spark.range(8).select("id", *(F.when(F.col("id") % 8 >= i % 8, 1).alias(f"c{i}") for i in range(120)))
+    ratios = quality_result(df, ["id"], df.columns[1:]).null_ratios
+    assert ratios == {f"c{i}": (i % 8) / 8 for i in range(120)}
+
+
 def test_no_columns(spark):
     assert null_ratio(spark.range(3), []).collect() == []
     assert quality_result(spark.range(3), ["id"], []).null_ratios == {}

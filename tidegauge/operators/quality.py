@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
 
 from tidegauge.functions.keys import row_key
 from tidegauge.sources.files import write_parquet
@@ -22,12 +22,6 @@ NULL_ISSUE = "Column '%s' null ratio %.4f exceeds threshold"
 DUPLICATE_ISSUE = "Duplicate ratio %.4f exceeds threshold"
 ROW_COUNT_ISSUE = "Row count %d below minimum threshold (warning)"
 
-REPORT_FIELDS = (
-    "position int, check_name string, column_name string, value double, "
-    "threshold double, severity string, violated boolean"
-)
-
-
 @dataclass(frozen=True)
 class Thresholds:
     """Limits; a ratio must exceed its limit, or the rows fall below theirs, to violate it."""
@@ -60,9 +54,18 @@ def _filled(columns: Sequence[str]) -> list[Column]:
     return [F.count(F.col(column)).alias(f"filled_{i}") for i, column in enumerate(columns)]
 
 
-def _null_ratios(columns: Sequence[str]) -> list[Column]:
-    rows = F.col("row_count")
-    return [_share(rows - F.col(f"filled_{i}"), rows) for i in range(len(columns))]
+def _numbers(totals: DataFrame, numbers: Mapping[int, str]) -> DataFrame:
+    """The one row of totals as a row (row_count, at, number) per position and column named.
+
+    What is computed from the numbers is then a fixed set of expressions,
+    however many columns are checked.
+    """
+    pairs = ", ".join(f"named_struct('at', {at}, 'number', {name})" for at, name in numbers.items())
+    return totals.select("row_count", F.expr(f"inline(cast(array({pairs}) as array<struct<at: int, number: bigint>>))"))
+
+
+def _name_at(columns: Sequence[str], at: Column) -> Column:
+    return F.get(F.from_json(F.lit(json.dumps(columns)), "array<string>"), at)
 
 
 def _once(columns: Sequence[str]) -> list[str]:
@@ -77,11 +80,12 @@ def null_ratio(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     columns = _once(columns)
     totals = df.agg(F.count("*").alias("row_count"), *_filled(columns))
-    ratios = [
-        F.struct(F.lit(i).alias("position"), F.lit(column).alias("column_name"), ratio.alias("null_ratio"))
-        for i, (column, ratio) in enumerate(zip(columns, _null_ratios(columns)), start=1)
-    ]
-    return _rows(totals, ratios, "position int, column_name string, null_ratio double")
+    at, rows = F.col("at"), F.col("row_count")
+    return _numbers(totals, {i: f"filled_{i}" for i in range(len(columns))}).select(
+        (at + 1).alias("position"),
+        _name_at(columns, at).alias("column_name"),
+        _share(rows - F.col("number"), rows).alias("null_ratio"),
+    )
 
 
 def duplicate_ratio(df: DataFrame, keys: Sequence[str], digest: bool = True) -> DataFrame:
@@ -90,11 +94,8 @@ def duplicate_ratio(df: DataFrame, keys: Sequence[str], digest: bool = True) ->
         F.count("*").alias("row_count"),
         F.count_distinct(row_key(df, keys, digest)).alias("distinct_keys"),
     )
-    return totals.withColumn("duplicate_ratio", _surplus())
-
-
-def _surplus() -> Column:
-    return _share(F.col("row_count") - F.col("distinct_keys"), F.col("row_count"))
+    rows = F.col("row_count")
+    return totals.withColumn("duplicate_ratio", _share(rows - F.col("distinct_keys"), rows))
 
 
 def quality_report(
@@ -121,34 +122,32 @@ def quality_report(
     distinct = F.count_distinct(row_key(df, keys, digest)).alias("distinct_keys")
 
     n = len(columns)
-    by_column = [
-        _check(i, NULL_RATIO, column, ratio, thresholds.null_ratio_max)
-        for i, (column, ratio) in enumerate(zip(columns, _null_ratios(columns)), start=1)
-    ]
-    of_keys = _check(n + 1, DUPLICATE_RATIO, None, _surplus(), thresholds.duplicate_ratio_max)
-    of_rows = _check(n + 2, ROW_COUNT, None, F.col("row_count").cast("double"), thresholds.min_row_count)
-
+    of_columns = {i: f"filled_{i}" for i in range(n)}
+    of_keys, of_rows = {n: "distinct_keys"}, {n + 1: "row_count"}
     if single_scan:
-        return _rows(df.agg(total, distinct, *filled), [*by_column, of_keys, of_rows])
-    return _rows(df.agg(total, *filled), [*by_column, of_rows]).union(_rows(df.agg(total, distinct), [of_keys]))
-
-
-def _rows(totals: DataFrame, structs: Sequence[Column], fields: str = REPORT_FIELDS) -> DataFrame:
-    """The one row of totals as one row per struct."""
-    return totals.select(F.inline(F.array(*structs).cast(ArrayType(StructType.fromDDL(fields)))))
-
-
-def _check(position: int, name: str, column: str | None, value: Column, limit: float) -> Column:
-    floor = name == ROW_COUNT
-    limit = F.lit(float(limit))
-    return F.struct(
-        F.lit(position).alias("position"),
-        F.lit(name).alias("check_name"),
-        F.lit(column).alias("column_name"),
+        numbers = _numbers(df.agg(total, distinct, *filled), of_columns | of_keys | of_rows)
+    else:
+        numbers = _numbers(df.agg(total, *filled), of_columns | of_rows).union(
+            _numbers(df.agg(total, distinct), of_keys)
+        )
+
+    at, rows = F.col("at"), F.col("row_count")
+    is_column, is_rows = at < n, at > n
+    # A count of values or of distinct keys leaves the NULLs or the duplicates.
+    value = F.when(is_rows, rows.cast("double")).otherwise(_share(rows - F.col("number"), rows))
+    limit = (
+        F.when(is_column, float(thresholds.null_ratio_max))
+        .when(is_rows, float(thresholds.min_row_count))
+        .otherwise(float(thresholds.duplicate_ratio_max))
+    )
+    return numbers.select(
+        (at + 1).alias("position"),
+        F.when(is_column, NULL_RATIO).when(is_rows, ROW_COUNT).otherwise(DUPLICATE_RATIO).alias("check_name"),
+        _name_at(columns, at).alias("column_name"),
         value.alias("value"),
         limit.alias("threshold"),
-        F.lit("warning" if floor else "error").alias("severity"),
-        (value < limit if floor else value > limit).alias("violated"),
+        F.when(is_rows, "warning").otherwise("error").alias("severity"),
+        F.when(is_rows, value < limit).otherwise(value > limit).alias("violated"),
     )
 
 
