@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidegauge.sources import scratch
 
@@ -39,6 +41,21 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """A schema with more fields at its end."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def sample_classes(df: DataFrame, label: str, per_class: int, key: str) -> DataFrame:
+    """About ``per_class`` rows of each value of ``label``, picked by a hash of ``key``."""
+    rate = {row[0]: min(1.0, per_class / row[1]) for row in df.groupBy(label).count().collect()}
+    if not rate:
+        return df.limit(0)
+    limits = F.create_map(*(F.lit(v) for pair in rate.items() for v in pair))
+    draw = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
+    return df.where(draw < limits[F.col(label)])
+
+
 def utf8_rows(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """Texts as UTF-8 bytes; NULL is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -46,6 +63,22 @@ def utf8_rows(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
 
 
+def small_batches(batches: Iterable[pa.RecordBatch], column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most about ``limit`` bytes of text, or of one longer row.
+
+    What a task holds besides the batch Spark hands over then stays small.
+    """
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(lengths.astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            done = upto[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(upto, done + limit, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def by_bytes(rows: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows of at most ``limit`` bytes together, or of one longer row."""
     start = size = 0

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import hash_rows, separator_table, staged, utf8_rows
+from tidegauge.llm.common import hash_rows, separator_table, small_batches, staged, utf8_rows
 
 # Words are runs of digits, a-z and whatever lies beyond ASCII.
 WORD_TABLE = separator_table(bytes(b for b in range(128) if not chr(b).isalnum()), lower=True)
@@ -73,7 +73,7 @@ def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         ids, rows, size = [], [], 0
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             for own, row in zip(batch.column(0).to_pylist(), utf8_rows(batch.column(1))):
                 if rows and size + len(row) > BLOCK_BYTES:
                     yield from _index_block(block, ids, rows)

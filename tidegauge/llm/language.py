@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import by_bytes, utf8_rows
+from tidegauge.llm.common import sample_classes, small_batches, utf8_rows, with_fields
 
 UNKNOWN = "und"
 
@@ -151,17 +151,6 @@ def fit_machine(features: np.ndarray, positive: np.ndarray, cost: float = 10.0,
     return Machine((alpha * y) @ features, float((alpha * y).sum()))
 
 
-def _sampled(labelled: DataFrame, text: str, lang: str, per_language: int) -> DataFrame:
-    """About ``per_language`` rows of each language, picked by a hash of the text."""
-    counts = labelled.groupBy(lang).count()
-    rate = {row[0]: min(1.0, per_language / row[1]) for row in counts.collect()}
-    if not rate:
-        return labelled.limit(0).select(lang, text)
-    limits = F.create_map(*(F.lit(v) for pair in rate.items() for v in pair))
-    draw = F.pmod(F.xxhash64(text, F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    return labelled.where(draw < limits[F.col(lang)]).select(lang, text)
-
-
 def fit(
     docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, max_languages: int = 64
 ) -> LanguageModel:
@@ -174,7 +163,7 @@ def fit(
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             languages, bags, sizes = [], [], []
             for language, row in zip(batch.column(0).to_pylist(), utf8_rows(batch.column(1))):
                 words = row.split()
@@ -190,7 +179,7 @@ def fit(
                 ["lang", "grams", "counts"],
             )
 
-    sample = _sampled(labelled, text, lang, per_language)
+    sample = sample_classes(labelled, lang, per_language, text).select(lang, text)
     bags = sample.mapInArrow(featurise, "lang string, grams array<long>, counts array<long>").toArrow()
     # The order in which rows arrive is free; the fit must not depend on it.
     rows = sorted(zip(*(bags.column(i).to_pylist() for i in range(3))))
@@ -236,29 +225,27 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None
     shared = docs.sparkSession.sparkContext.broadcast((model, *model.table()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weights, bias = shared.value
-        for batch in batches:
-            rows = utf8_rows(batch.column(batch.num_columns - 1))
+        (known, weights, bias), last = shared.value, len(keep)
+        for batch in small_batches(batches, last):
+            rows = utf8_rows(batch.column(last))
             margins = np.tile(bias, (len(rows), 1))
-            for start, end in by_bytes(rows):
-                for i in range(start, end):
-                    grams = trigrams(rows[i])
-                    if len(grams):
-                        # Every text in pieces, so that a long one takes no more memory.
-                        total = sum(weights[grams[a : a + 65536]].sum(axis=0, dtype=np.float64) for a in range(0, len(grams), 65536))
-                        margins[i] += (total / len(grams)).astype(np.float32)
+            for i, row in enumerate(rows):
+                grams = trigrams(row)
+                if len(grams):
+                    # In pieces, so that a long text takes no more memory.
+                    parts = (weights[grams[a : a + 65536]].sum(axis=0, dtype=np.float64) for a in range(0, len(grams), 65536))
+                    margins[i] += (sum(parts) / len(grams)).astype(np.float32)
             languages, score = known.decide(margins)
             lettered = np.array([has_letter(row) for row in rows], bool)
             languages = [name if ok else UNKNOWN for name, ok in zip(languages, lettered)]
             score = np.where(np.array(languages, object) == UNKNOWN, 0.0, score)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: batch.num_columns - 1], pa.array(languages, pa.string()), pa.array(score, pa.float64())],
+                [*batch.columns[:last], pa.array(languages, pa.string()), pa.array(score, pa.float64())],
                 [*keep, "lang_pred", "score"],
             )
 
     given = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("_text"))
-    schema = docs.select(*(F.col(f"`{c}`") for c in keep)).schema
-    schema = type(schema)([*schema.fields]).add("lang_pred", "string").add("score", "double")
+    schema = with_fields(docs.select(*(F.col(f"`{c}`") for c in keep)).schema, "lang_pred string, score double")
     return given.mapInArrow(run, schema)
 
 

@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import common, decontaminate, language, mixing, simhash, tokens
+from tidegauge.llm import (
+    chat,
+    common,
+    decontaminate,
+    host_rules,
+    html_blocks,
+    interpolation,
+    language,
+    mixing,
+    simhash,
+    tokens,
+    toxicity,
+)
 from tidegauge.sources import scratch
 
 
@@ -22,6 +34,26 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.offsets(tokens.read_tokens(spark, path))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations")).drop("place")
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html_blocks.extract(pages, html_blocks.fit(pages), keep=["page_id", "url"])
+
+
+def op4_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    # A tenth of the texts learned from is held out for the mixture weights.
+    held_back = F.crc32(F.concat(F.lit("weights "), F.col("doc_id").cast("string")).cast("binary")) % 10 == 0
+    scored = interpolation.score(docs, common.outside_fold(1), held_back)
+    # The learned texts are those of the other folds, so the fold follows from the id.
+    return scored.select(
+        "doc_id", common.in_fold(1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language.fit(docs.where(common.outside_fold(0)))
@@ -34,6 +66,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    field = toxicity.fit(docs, labels.where(common.outside_fold(0)))
+    scored = toxicity.score(docs, field, keep=["doc_id"])
+    return scored.select("doc_id", common.in_fold(0).alias("held_out"), "score", "predicted", "spans")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -44,8 +83,18 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("spans")
 
 
+def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = host_rules.judge(_table(spark, sf_dir, "documents"), F.col("source"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_token_ids, op5_language, op6_mixing, op8_simhash, op9_decontamination)
+    listed = (
+        op1_token_ids, op2_chat, op3_html, op4_interpolation, op5_language,
+        op6_mixing, op7_toxicity, op8_simhash, op9_decontamination, op10_host_rules,
+    )
     return {query.__name__: query for query in listed}
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegauge.llm.common import by_bytes, mix64, staged, utf8_rows
+from tidegauge.llm.common import mix64, small_batches, staged, utf8_rows
 
 SEED = 42
 _ODD = np.uint64(0x5555555555555555)
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             rows = utf8_rows(batch.column(1))
             codes = np.zeros(len(rows), np.uint64)
             for i, row in enumerate(rows):

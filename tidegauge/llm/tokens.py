@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
+from tidegauge.llm.common import small_batches
+
 TOKEN_SCHEMA = "doc_id long, file int, place long, ids array<int>"
 # Row groups of 32 MiB; pages of 64 KiB are what a lookup by doc_id reads.
 WRITE_OPTIONS = {
@@ -32,7 +34,7 @@ WRITE_OPTIONS = {
 }
 
 # Words remembered per worker process, about 200 bytes each.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 # The pieces a text is cut into, as the tokenizer's own pattern has them, for characters up to U+017F.
 _LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
@@ -121,7 +123,7 @@ def write_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = _encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             packed = [encode(t or "") + end for t in batch.column(1).to_pylist()]
             lengths = np.fromiter((len(p) // 4 for p in packed), np.int64, len(packed))
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
