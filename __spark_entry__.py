@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from datetime import datetime
 from functools import reduce
 from pathlib import Path
 
@@ -92,9 +93,9 @@ def _without_zone(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
-def _as_text(df: DataFrame, column: str) -> DataFrame:
-    """An integer column with NULLs as text, as a table tool without such columns would make it floating-point."""
-    return df.withColumn(column, F.col(column).cast("string"))
+def _no_null(df: DataFrame, column: str) -> DataFrame:
+    """An integer column with -1 for NULL, as a table tool without such columns would make it floating-point."""
+    return df.withColumn(column, F.coalesce(column, F.lit(-1)))
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -125,6 +126,25 @@ def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.scan_csv(spark, at, "customer")
 
 
+def scan_json_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, at = _table(spark, sf_dir, "part"), sources.scratch(spark)
+    part.write.json(at.path("part"))
+    return sources.scan_json(spark, at, "part", part.schema)
+
+
+def scan_csv_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, at = _table(spark, sf_dir, "customer"), sources.scratch(spark)
+    customer.write.csv(at.path("customer"))
+    return sources.scan_csv(spark, at, "customer", header=False, schema=customer.schema)
+
+
+def scan_csv_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, at = _table(spark, sf_dir, "customer"), sources.scratch(spark)
+    customer.write.csv(at.path("customer"))
+    plain = sources.scan_csv(spark, at, "customer", header=False, infer=False)
+    return plain.toDF(*customer.columns)
+
+
 def sensor_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     readings, at = _readings(spark, sf_dir), sources.scratch(spark)
 
@@ -142,7 +162,7 @@ def sensor_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(line())
     )
     readings.select(lines.alias("value")).write.text(at.path("readings"))
-    return _as_text(_without_zone(sources.scan_readings(spark, at.path("readings")), "timestamp"), "status")
+    return _no_null(_without_zone(sources.scan_readings(spark, at.path("readings")), "timestamp"), "status")
 
 
 def sensor_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +171,19 @@ def sensor_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def series_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = sources.hourly_series(_table(spark, sf_dir, "events"), "event_id", seed=7)
-    return series.select("sensor_id", "timestamp", F.col("value").isNotNull().alias("drawn"))
+    # The draw differs by partition; that it is one does not.
+    return series.select("sensor_id", "timestamp", (F.abs("value") < 10).alias("drawn"))
+
+
+def series_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Four standard errors around what a normal draw should give.
+    series = sources.hourly_series(_table(spark, sf_dir, "events"), "event_id", seed=7)
+    error = 4 / F.sqrt(F.count("*"))
+    return series.agg(
+        F.count("*").alias("row_count"),
+        (F.abs(F.avg("value")) < error).alias("mean_is_0"),
+        (F.abs(F.stddev_pop("value") - 1) < error).alias("deviation_is_1"),
+    )
 
 
 def write_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +217,7 @@ def cast_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         CastRule("code", "code", "int"),
         CastRule("o_orderkey", "order_id", "string"),
     ]
-    return _as_text(op.cast_columns(orders, rules), "code")
+    return _no_null(op.cast_columns(orders, rules), "code")
 
 
 def cast_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,6 +230,24 @@ def cast_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.cast_columns(orders, rules)
 
 
+def cast_alternating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat("o_totalprice", F.lit("")).alias("price"))
+    rules = [CastRule("price", "price", "string" if i % 2 else "int") for i in range(16)]
+    return op.cast_columns(orders, rules)
+
+
+def cast_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Some thousandths of the embeddings as text, every third value malformed.
+    text = F.transform("embedding", lambda x, i: F.concat(F.floor(x * 1000).cast("string"), F.when(i % 3 == 0, "x").otherwise(".9")))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", text.alias("parts"))
+    cast = op.cast_columns(vectors, [CastRule("parts", "whole", "array<int>")])
+    return cast.select(
+        "vec_id",
+        F.aggregate("whole", F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0))).alias("total"),
+        F.size(F.filter("whole", lambda x: x.isNull())).alias("malformed"),
+    )
+
+
 def parse_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("ts").cast("string")
     given = F.when(F.col("event_type") == "error", F.concat(F.lit("at "), text)).otherwise(text)
@@ -221,12 +271,8 @@ def parse_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stamp_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The stamp itself differs from run to run; that it is the current second does not.
-    stamp = fn.utc_stamp()
-    seconds_off = F.unix_seconds(F.to_timestamp(F.concat(stamp, F.lit("Z")))) - F.unix_seconds(F.current_timestamp())
-    return _table(spark, sf_dir, "events").select(
-        "event_id", F.length(stamp).alias("stamp_length"), seconds_off.alias("seconds_off")
-    )
+    instant = F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z")))
+    return _table(spark, sf_dir, "events").select("event_id", fn.utc_stamp(instant).alias("stamp"))
 
 
 def sensor_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,6 +288,14 @@ def distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.distinct_keys(_table(spark, sf_dir, "documents"), ["text"])
 
 
+def distinct_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    exact, about = op.distinct_keys(docs, ["text"]), op.distinct_keys(docs, ["text"], rsd=0.02)
+    both = exact.withColumn("kind", F.lit("exact")).union(about.withColumn("kind", F.lit("about")))
+    of = {kind: F.max(F.when(F.col("kind") == kind, F.col("distinct_keys"))) for kind in ("exact", "about")}
+    return both.agg((F.abs(of["about"] - of["exact"]) <= 0.08 * of["exact"]).alias("within_four_deviations"))
+
+
 def numeric_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(op.numeric_stats(_table(spark, sf_dir, "events"), "value"), "mean", "std")
 
@@ -306,6 +360,24 @@ def quality_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = op.Thresholds(null_ratio_max=0.2, duplicate_ratio_max=0.5, min_row_count=10**9)
+    return op.quality_report(_documents_with_nulls(spark, sf_dir), ["text"], ["n_chars", "lang"], limits)
+
+
+def quality_history_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The second run is tried again, so its report is appended twice.
+    at = sources.scratch(spark)
+    readings = op.quality_report(_readings(spark, sf_dir), ["device_id"], ["temperature"])
+    for day, (run, report) in enumerate(
+        [("run-1", quality_report(spark, sf_dir)), ("run-2", readings), ("run-2", readings), ("run-3", quality_thresholds(spark, sf_dir))]
+    ):
+        op.append_history(report, at, "history", run, datetime(2024, 1, 1 + day))
+    history = op.newest_runs(sources.scan_parquet(spark, at, "history"))
+    verdict = op.quality_verdict(history, by=["run_id"])
+    return verdict.select("run_id", "passed", "row_count", "duplicate_ratio", F.size("null_ratios").alias("columns"), F.array_join("issues", "; ").alias("issues"))
+
+
 def quality_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = sources.scratch(spark)
     readings = op.quality_report(_readings(spark, sf_dir), ["device_id", "timestamp"], ["temperature"])
@@ -326,13 +398,15 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
-        scan_parquet, scan_json, scan_csv, sensor_json, sensor_view, series_hourly, write_partitioned,
+        scan_parquet, scan_json, scan_json_schema, scan_csv, scan_csv_plain, scan_csv_text,
+        sensor_json, sensor_view, series_hourly, series_noise, write_partitioned,
         schema_catalog, source_metadata, validate_sources,
-        cast_columns, cast_chain, parse_timestamp, format_date, parse_date, stamp_utc,
-        sensor_agg, event_agg, distinct_keys, numeric_stats,
+        cast_columns, cast_chain, cast_alternating, cast_nested, parse_timestamp, format_date, parse_date, stamp_utc,
+        sensor_agg, event_agg, distinct_keys, distinct_estimate, numeric_stats,
         trigger_window, trigger_window_daily, downstream_rollup,
         null_ratio, duplicate_ratio, duplicate_ratio_null_keys,
         quality_report, quality_report_single_scan, quality_report_empty, quality_verdict, quality_history,
+        quality_thresholds, quality_history_verdict,
         sensor_job,
     )
     named = {query.__name__: query for query in listed}
@@ -421,6 +495,25 @@ def _report_sql(
     )
 
 
+_ISSUES_SQL = """
+    coalesce(string_agg(case check_name
+        when 'null_ratio' then printf('Column ''%s'' null ratio %.4f exceeds threshold', column_name, value)
+        when 'duplicate_ratio' then printf('Duplicate ratio %.4f exceeds threshold', value)
+        else printf('Row count %d below minimum threshold (warning)', value::bigint) end,
+        '; ' order by position) filter (where violated), '')
+"""
+
+
+def _run_verdict_sql(run: str, report: str, columns: int) -> str:
+    return f"""
+        select '{run}' as run_id, bool_and(not (violated and severity = 'error')) as passed,
+               max(value) filter (where check_name = 'row_count')::bigint as row_count,
+               max(value) filter (where check_name = 'duplicate_ratio') as duplicate_ratio,
+               {columns}::integer as columns, {_ISSUES_SQL} as issues
+        from ({report})
+    """
+
+
 def _summary_sql() -> str:
     return f"""
         select location, round(avg(temperature), 6) as avg_temperature, round(avg(humidity), 6) as avg_humidity,
@@ -458,6 +551,8 @@ def oracle_sql() -> dict[str, str]:
     )
     documents_report = _report_sql(_DOCUMENTS_SQL, "text", ["n_chars", "lang"])
     readings_report = _report_sql(_READINGS_SQL, 'device_id, "timestamp"', ["temperature"])
+    device_report = _report_sql(_READINGS_SQL, "device_id", ["temperature"])
+    loose_report = _report_sql(_DOCUMENTS_SQL, "text", ["n_chars", "lang"], 0.2, 0.5, 10**9)
     in_window = f"""
         select *, timestamp '{EVENT_TRIGGER}' as trigger_time, {EVENT_MINUTES}::bigint as duration_minutes
         from events where {in_event_window}
@@ -479,7 +574,7 @@ def oracle_sql() -> dict[str, str]:
                    case when status <> 7 then "timestamp" end as "timestamp",
                    case when status <> 7 then device_id end as device_id,
                    case when status <> 7 then location end as location,
-                   case when status not in (5, 7) then status::varchar end as status
+                   case when status not in (5, 7) then status else -1 end as status
             from ({_READINGS_SQL})
         """,
         "sensor_view": _READINGS_SQL,
@@ -517,7 +612,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "cast_columns": """
             select o_orderkey, o_totalprice, trunc(o_totalprice)::integer as whole_price,
-                   try_cast(split_part(code, '.', 1) as integer)::varchar as code, o_orderkey::varchar as order_id
+                   coalesce(try_cast(split_part(code, '.', 1) as integer), -1) as code, o_orderkey::varchar as order_id
             from (select *, case o_orderstatus when 'F' then 'no. ' || o_custkey when 'P' then o_custkey || '.75'
                                                else o_custkey::varchar end as code
                   from orders)
@@ -541,7 +636,28 @@ def oracle_sql() -> dict[str, str]:
                                         else year(ts) || '-' || month(ts) || '-' || day(ts) end as given
                   from events)
         """,
-        "stamp_utc": "select event_id, 19 as stamp_length, 0::bigint as seconds_off from events",
+        "stamp_utc": "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as stamp from events",
+        "series_noise": "select count(*) as row_count, true as mean_is_0, true as deviation_is_1 from events",
+        "scan_json_schema": "select * from part",
+        "scan_csv_plain": "select * from customer",
+        "scan_csv_text": """
+            select c_custkey::varchar as c_custkey, c_name, c_nationkey::varchar as c_nationkey,
+                   c_acctbal::varchar as c_acctbal, c_mktsegment from customer
+        """,
+        "cast_alternating": """
+            select o_orderkey, trunc(o_totalprice)::integer::varchar as price from orders
+        """,
+        "cast_nested": """
+            select vec_id, sum(case when (i - 1) % 3 = 0 then 0 else floor(x * 1000.0) end)::bigint as total,
+                   count(*) filter (where (i - 1) % 3 = 0)::integer as malformed
+            from (select vec_id, unnest(embedding) as x, unnest(range(1, len(embedding) + 1)) as i from embeddings) group by vec_id
+        """,
+        "distinct_estimate": "select count(distinct text) > 0 as within_four_deviations from documents",
+        "quality_thresholds": loose_report,
+        "quality_history_verdict": " union all ".join(
+            _run_verdict_sql(run, report, columns)
+            for run, report, columns in (("run-1", documents_report, 2), ("run-2", device_report, 1), ("run-3", loose_report, 2))
+        ),
         "sensor_agg": _summary_sql(),
         "event_agg": """
             select event_type, round(avg(value), 6) as avg_value, count(*) as row_count,
@@ -581,12 +697,7 @@ def oracle_sql() -> dict[str, str]:
                    max(value) filter (where check_name = 'row_count')::bigint as row_count,
                    max(value) filter (where column_name = 'n_chars') as n_chars_null_ratio,
                    max(value) filter (where column_name = 'lang') as lang_null_ratio,
-                   max(value) filter (where check_name = 'duplicate_ratio') as duplicate_ratio,
-                   coalesce(string_agg(case check_name
-                       when 'null_ratio' then printf('Column ''%s'' null ratio %.4f exceeds threshold', column_name, value)
-                       when 'duplicate_ratio' then printf('Duplicate ratio %.4f exceeds threshold', value)
-                       else printf('Row count %d below minimum threshold (warning)', value::bigint) end,
-                       '; ' order by position) filter (where violated), '') as issues
+                   max(value) filter (where check_name = 'duplicate_ratio') as duplicate_ratio, {_ISSUES_SQL} as issues
             from ({documents_report})
         """,
         "quality_history": f"""

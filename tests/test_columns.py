@@ -129,12 +129,49 @@ def test_collated_text(spark, collation):
     assert got.collect() == [(12, True)]
 
 
-def test_one_projection_for_many_rules(spark):
-    rules = [CastRule("id" if i == 0 else f"c{i - 1}", f"c{i}", "string" if i % 2 else "double") for i in range(60)]
+def test_one_projection_for_independent_rules(spark):
+    rules = [CastRule("id", f"c{i}", "string" if i % 2 else "double") for i in range(60)]
     plan = cast_columns(spark.range(1), rules)._jdf.queryExecution().analyzed().toString()
     assert plan.count("Project") == 1
 
 
+def test_alternating_chain_grows_linearly(spark):
+    kinds = ("int", "string", "boolean", "string")
+    sizes = {}
+    for n in (20, 40, 60):
+        rules = [CastRule("t", "t", kinds[i % 4]) for i in range(n)]
+        df = cast_columns(spark.createDataFrame([("1",), ("0",), ("x",)], "t string"), rules)
+        sizes[n] = df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE")
+    assert sizes[60] - sizes[40] == sizes[40] - sizes[20] > 0
+    assert df.collect() == [(None,)] * 3  # no truth value is a number
+    once = cast_columns(spark.createDataFrame([("1",), ("0",), ("x",)], "t string"), rules[:4])
+    assert [r.t for r in once.collect()] == ["true", "false", None]
+
+
+@pytest.mark.parametrize("text", [".5", "-.5", "+.5", ".", "-.", "1.", "-3.9", "5", " 7 ", "x", "", "+", "1e3", "..", "1.2.3"])
+def test_text_to_whole_number_as_without_ansi(spark, setting, text):
+    setting("spark.sql.ansi.enabled", "false")
+    df = spark.createDataFrame([(text, [text], (text,), {"k": text})], "t string, a array<string>, s struct<f: string>, m map<string, string>")
+    rules = [CastRule("t", "t2", "int"), CastRule("a", "a2", "array<int>"), CastRule("s", "s2", "struct<f: int>"), CastRule("m", "m2", "map<string, int>")]
+    row = cast_columns(df, rules).first()
+    want = df.select(F.col("t").cast("int")).first()[0]
+    assert (row.t2, row.a2, row.s2.f, row.m2) == (want, [want], want, {"k": want})
+
+
+def test_type_pairs_as_without_ansi(spark, setting):
+    setting("spark.sql.ansi.enabled", "false")
+    df = spark.sql("select date'2024-01-02' d, timestamp'1970-01-01 00:00:00' z, timestamp'2024-01-02 03:04:05' t, true b, cast(null as boolean) n")
+    pairs = [("d", "int"), ("d", "boolean"), ("z", "boolean"), ("t", "boolean"), ("b", "timestamp"), ("n", "timestamp")]
+    got = cast_columns(df, [CastRule(c, f"{c}_{t}", t) for c, t in pairs]).first()
+    want = df.select(*(F.col(c).cast(t).alias(f"{c}_{t}") for c, t in pairs)).first()
+    assert [got[f"{c}_{t}"] for c, t in pairs] == list(want)
+
+
+def test_stamp_of_time_without_zone(spark):
+    df = spark.sql("select timestamp_ntz'2024-01-02 03:04:05' t")
+    assert df.select(fn.utc_stamp("t")).first()[0] == "2024-01-02 03:04:05"
+
+
 @pytest.fixture(params=["true", "false"])
 def ansi(request, setting):
     setting("spark.sql.ansi.enabled", request.param)

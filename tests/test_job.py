@@ -4,12 +4,15 @@ import pytest
 from pyspark.errors import PySparkException
 
 import fixtures
-from plans import executed
+import __spark_entry__ as registered
+from conftest import DATA
+from plans import executed, scans
 from tidegauge.__main__ import main
 from tidegauge.operators import Thresholds
 from tidegauge.plans import schema_catalog, sensor_job
 from tidegauge.schema import CastRule, TableSchema
-from tidegauge.session import DEFAULT_SETTINGS, MAX_SHUFFLE_PARTITIONS, MIB, open_session, set_options, settings_for_input
+from tidegauge.session import DEFAULT_SETTINGS, MIB, open_session, set_options, settings_for_input
+from tidegauge.sources import scratch
 
 
 def test_job_on_the_sample(sample):
@@ -81,8 +84,33 @@ def test_settings_grow_with_the_input():
 
     assert settings(0) == (200, 128)
     assert settings(10**12) == (7451, 128)
-    assert settings(10**14) == (MAX_SHUFFLE_PARTITIONS, 476)
-    assert settings(10**14, 10**12) == (7451, 476)
+    assert settings(10**14) == (745059, 128)
+    assert settings(10**14, 10**12) == (7451, 128)
+
+
+def test_settings_are_limited_only_by_the_caller():
+    got = settings_for_input(10**14, most_shuffle_partitions=20_000, most_scan_tasks=200_000)
+    assert got["spark.sql.shuffle.partitions"] == "20000"
+    assert int(got["spark.sql.files.maxPartitionBytes"]) == 5 * 10**8
+
+
+def test_report_takes_three_scans(spark):
+    assert scans(registered.sensor_job(spark, str(DATA / "sf0.001"))) == 3
+
+
+def test_report_of_an_empty_table(spark, sample):
+    job = sensor_job(sample.limit(0), "2024-01-01 10:02:00", alert_above=1.0)
+    assert sorted((r.section, r.measure, r.value, r.status) for r in job.report().collect()) == [
+        ("quality", "duplicate_ratio", 0.0, "ok"), *[("quality", "null_ratio", 0.0, "ok")] * 3,
+        ("quality", "row_count", 0.0, "warning"),
+    ]
+
+
+def test_scratch_folders_are_marked_for_deletion(spark):
+    at = scratch(spark)
+    spark.range(3).write.parquet(at.path("t"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(at.path(""))
+    assert folder.getFileSystem(spark._jsc.hadoopConfiguration()).cancelDeleteOnExit(folder)
 
 
 def test_job_from_the_command_line(spark, tmp_path, capsys):

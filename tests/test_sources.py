@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge import sources
 from tidegauge.schema import SENSOR_SCHEMA, Source
 from tidegauge.sources import Location
+from tidegauge.sources.locations import shared_folder
 
 
 @pytest.fixture
@@ -162,11 +163,15 @@ def session_with(master, shared):
 
 def test_scratch_lies_in_the_shared_folder():
     shared = session_with("yarn", "hdfs:///shared")
-    first, second = sources.scratch(shared), sources.scratch(shared)
-    assert first.base == second.base == "hdfs:///shared" and first != second
+    assert shared_folder(shared) == "hdfs:///shared"
+
+
+def test_scratch_folders_differ(spark):
+    first, second = sources.scratch(spark), sources.scratch(spark)
+    assert first.base == second.base and first != second
 
 
 def test_scratch_without_a_shared_folder():
-    assert Path(sources.scratch(session_with("local[2]", None)).base).is_dir()
+    assert Path(shared_folder(session_with("local[2]", None))).is_dir()
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        sources.scratch(session_with("yarn", None))
+        shared_folder(session_with("yarn", None))

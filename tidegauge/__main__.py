@@ -10,15 +10,13 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
-from dataclasses import replace
-from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tidegauge.operators import append_history, quality_verdict
+from tidegauge.operators import append_history, newest_runs, quality_verdict
 from tidegauge.plans import sensor_job
 from tidegauge.schema import SENSOR_SCHEMA
-from tidegauge.session import open_session
+from tidegauge.session import open_session, settings_for_input
 from tidegauge.sources import Location, scan_parquet, scan_readings, write_parquet
 
 
@@ -30,19 +28,21 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--minutes", type=int, default=60)
     parser.add_argument("--alert-above", type=float, required=True, help="mean temperature that raises an alert")
     parser.add_argument("--run-id", required=True)
+    parser.add_argument("--input-bytes", type=int, help="size of the readings, to size scan splits and shuffles by")
+    parser.add_argument("--shuffled-bytes", type=int, help="what the job moves, if not as much as it reads")
     args = parser.parse_args(argv)
 
-    spark = open_session("sensor job")
+    sized = settings_for_input(args.input_bytes, args.shuffled_bytes) if args.input_bytes else None
+    spark = open_session("sensor job", sized)
     out = Location(args.out)
     by_day = scan_readings(spark, args.readings).withColumn("day", F.to_date("timestamp"))
     write_parquet(by_day, out, "readings", partition_by=["day"], rebalance=True)
     readings = spark.read.schema(f"{SENSOR_SCHEMA.toDDL()}, day date").parquet(out.path("readings"))
 
     job = sensor_job(readings, args.trigger, args.minutes, alert_above=args.alert_above, date_column="day")
-    now = datetime.now()
-    append_history(job.quality, out, "history", args.run_id, now)
-    this_run = scan_parquet(spark, out, "history").where((F.col("run_id") == args.run_id) & (F.col("recorded_at") == now))
-    write_parquet(replace(job, quality=this_run).report(), out, "report")
+    append_history(job.quality, out, "history", args.run_id)
+    this_run = newest_runs(scan_parquet(spark, out, "history").where(F.col("run_id") == args.run_id))
+    write_parquet(job.report(), out, "report")
 
     for title, table in (
         ("Readings", readings),

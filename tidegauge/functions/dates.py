@@ -34,9 +34,11 @@ def utc_stamp(instant: Column | str | None = None) -> Column:
     """An instant, by default now, as UTC text to the second.
 
     Counted in seconds from the epoch, so the session's time zone and its
-    clock changes have no part in it.
+    clock changes have no part in it. An instant without a zone is taken to be
+    in the session's.
     """
     if instant is None:
         instant = F.current_timestamp()
+    instant = (F.col(instant) if isinstance(instant, str) else instant).cast("timestamp")
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return (epoch + F.unix_seconds(instant) * F.expr("interval '1' second")).cast("string")

@@ -7,6 +7,7 @@ from tidegauge.operators.quality import (
     Thresholds,
     append_history,
     duplicate_ratio,
+    newest_runs,
     null_ratio,
     quality_report,
     quality_result,
@@ -23,6 +24,7 @@ __all__ = [
     "downstream_rollup",
     "duplicate_ratio",
     "grouped_summary",
+    "newest_runs",
     "null_ratio",
     "numeric_stats",
     "quality_report",

@@ -14,27 +14,35 @@ from tidegauge.schema import CastRule
 def cast_columns(df: DataFrame, rules: Iterable[CastRule], strict: bool = False) -> DataFrame:
     """Apply cast rules in order, a later rule seeing what earlier ones made.
 
-    The chain is resolved while the plan is built: each target ends up as one
-    expression over input columns, and the result is one projection whatever
-    the number of rules. A value that does not fit its type becomes NULL; with
-    ``strict`` the session's ANSI setting decides, as in ``Column.cast``.
+    Rules that do not build on each other share one projection; a rule that
+    reads a column made before it opens the next. The plan thus grows with the
+    number of rules however long the chains are. A value that does not fit its
+    type becomes NULL; with ``strict`` the session's ANSI setting decides, as
+    in ``Column.cast``.
     """
     exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
 
     def folded(name: str) -> str:
         return name if exact else name.lower()
 
-    given = {folded(field.name): field.dataType for field in df.schema}
+    types = {folded(field.name): field.dataType for field in df.schema}
     made: dict[str, tuple[str, Column, DataType]] = {}
+
+    def applied() -> DataFrame:
+        types.update({name: type_ for name, (_, _, type_) in made.items()})
+        return df.withColumns({name: column for name, column, _ in made.values()})
+
     for rule in rules:
         source = folded(rule.source)
         if source in made:
-            _, column, source_type = made[source]
+            df = applied()
+            made = {}
+            column = df[f"`{rule.source}`"]
         else:
-            column = df[rule.source]
-            # A field inside a struct is not in the list.
-            source_type = given.get(source) or df.select(column).schema[0].dataType
+            column = df[rule.source] if source not in types else df[f"`{rule.source}`"]
+        # A field inside a struct is not in the list.
+        source_type = types.get(source) or df.select(column).schema[0].dataType
         type_ = DataType.fromDDL(rule.type)
         cast = column.cast(type_) if strict else lenient_cast(column, source_type, type_)
         made[folded(rule.target)] = rule.target, cast, type_
-    return df.withColumns({name: column for name, column, _ in made.values()})
+    return applied()

@@ -9,6 +9,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidegauge.functions.keys import row_key
 from tidegauge.sources.files import write_parquet
@@ -131,31 +132,44 @@ def quality_report(
             _numbers(df.agg(total, distinct), of_keys)
         )
 
-    at, rows = F.col("at"), F.col("row_count")
+    found = check_columns(F.col("at"), F.col("row_count"), F.col("number"), columns, thresholds)
+    return numbers.select(*(column.alias(name) for name, column in found.items()))
+
+
+def check_columns(
+    at: Column, rows: Column, number: Column, columns: Sequence[str], thresholds: Thresholds
+) -> dict[str, Column]:
+    """What a report says, by column, of a number counted at position ``at`` over ``rows`` rows.
+
+    The number counts, at each column's index, its values; after them the
+    distinct keys; and last the rows.
+    """
+    n = len(columns)
     is_column, is_rows = at < n, at > n
     # A count of values or of distinct keys leaves the NULLs or the duplicates.
-    value = F.when(is_rows, rows.cast("double")).otherwise(_share(rows - F.col("number"), rows))
+    value = F.when(is_rows, rows.cast("double")).otherwise(_share(rows - number, rows))
     limit = (
         F.when(is_column, float(thresholds.null_ratio_max))
         .when(is_rows, float(thresholds.min_row_count))
         .otherwise(float(thresholds.duplicate_ratio_max))
     )
-    return numbers.select(
-        (at + 1).alias("position"),
-        F.when(is_column, NULL_RATIO).when(is_rows, ROW_COUNT).otherwise(DUPLICATE_RATIO).alias("check_name"),
-        _name_at(columns, at).alias("column_name"),
-        value.alias("value"),
-        limit.alias("threshold"),
-        F.when(is_rows, "warning").otherwise("error").alias("severity"),
-        F.when(is_rows, value < limit).otherwise(value > limit).alias("violated"),
-    )
+    return {
+        "position": at + 1,
+        "check_name": F.when(is_column, NULL_RATIO).when(is_rows, ROW_COUNT).otherwise(DUPLICATE_RATIO),
+        "column_name": _name_at(columns, at),
+        "value": value,
+        "threshold": limit,
+        "severity": F.when(is_rows, "warning").otherwise("error"),
+        "violated": F.when(is_rows, value < limit).otherwise(value > limit),
+    }
 
 
 def quality_verdict(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """A report as one row: passed, row_count, null_ratios, duplicate_ratio, issues.
 
     Warnings are listed but do not fail the verdict. ``by`` splits a history of
-    reports into its runs; what is collected per run is one entry per check.
+    reports into its runs, as it must: what is collected per run is one entry
+    per check. A history that may hold a run twice goes through ``newest_runs`` first.
     """
     check, value = F.col("check_name"), F.col("value")
     is_null, is_duplicate, is_count = (check == n for n in (NULL_RATIO, DUPLICATE_RATIO, ROW_COUNT))
@@ -185,16 +199,23 @@ def quality_result(
     keys: Sequence[str],
     columns: Sequence[str],
     thresholds: Thresholds = Thresholds(),
+    digest: bool = True,
     single_scan: bool = False,
 ) -> QualityResult:
     """Run the checks now and return the verdict; one job, one row fetched."""
-    report = quality_report(df, keys, columns, thresholds, single_scan=single_scan)
+    report = quality_report(df, keys, columns, thresholds, digest, single_scan)
     verdict = quality_verdict(report).first().asDict()
     # A map comes back in no particular order.
     verdict["null_ratios"] = {column: verdict["null_ratios"][column] for column in _once(columns)}
     return QualityResult(**verdict)
 
 
+def newest_runs(history: DataFrame) -> DataFrame:
+    """A history with each run's latest record only, as a job that is tried again appends its report again."""
+    newest = F.max("recorded_at").over(Window.partitionBy("run_id"))
+    return history.withColumn("_newest", newest).where("recorded_at = _newest").drop("_newest")
+
+
 def append_history(
     report: DataFrame, at: Location, key: str, run_id: str, recorded_at: datetime | None = None
 ) -> None:

@@ -18,7 +18,11 @@ def schema_catalog(df: DataFrame, table: TableSchema) -> DataFrame:
         values = [F.lit(v) for name, rule in rules.items() for v in (name, getattr(rule, attribute))]
         return F.create_map(*values)[F.col("column_name")].cast(type_)
 
-    return null_ratio(cast_columns(df, table.rules), list(rules)).select(
+    # A target's name may hold dots, which are no path into a struct here.
+    quoted = ["`" + name.replace("`", "``") + "`" for name in rules]
+    names = F.array(*map(F.lit, rules))
+    ratios = null_ratio(cast_columns(df, table.rules), quoted).withColumn("column_name", F.get(names, F.col("position") - 1))
+    return ratios.select(
         F.lit(table.database).alias("database_name"),
         F.lit(table.name).alias("table_name"),
         "position",

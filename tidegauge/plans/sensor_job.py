@@ -4,55 +4,118 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.functions.keys import row_key
 from tidegauge.operators.aggregates import summarize_readings
-from tidegauge.operators.quality import Thresholds, quality_report
-from tidegauge.operators.windows import downstream_rollup, trigger_window
+from tidegauge.operators.quality import Thresholds, check_columns, quality_report
+from tidegauge.operators.windows import rollup_with_counts, trigger_window
+
+
+MEANS = ("temperature", "humidity", "pressure")
 
 
 @dataclass(frozen=True)
 class SensorJob:
     """The job's tables. Each is lazy and reads only the columns it needs."""
 
+    readings: DataFrame
+    keys: tuple[str, ...]
+    columns: tuple[str, ...]
+    thresholds: Thresholds
+    digest: bool
     summary: DataFrame
     quality: DataFrame
     window: DataFrame
-    downstream: DataFrame
+    rollup: DataFrame
+
+    @property
+    def downstream(self) -> DataFrame:
+        return self.rollup.drop("readings")
 
     def report(self) -> DataFrame:
-        """All results as (section, subject, measure, value, status) rows."""
-        measures = [c for c in self.summary.columns if c != "location"]
-        summary = self.summary.select("location", *(F.col(c).cast("double") for c in measures))
-        sections = [
-            _section("summary", summary.unpivot("location", measures, "measure", "v"), "location", F.col("measure"), "v"),
-            _section(
-                "quality",
-                self.quality,
-                "column_name",
-                F.col("check_name"),
-                "value",
-                F.when(~F.col("violated"), "ok").otherwise(F.col("severity")),
-            ),
-            _section("window", self.window.groupBy("location").count(), "location", F.lit("readings"), "count"),
-            _section("downstream", self.downstream, "location", F.lit("avg_temp"), "avg_temp", F.col("alert_status")),
-        ]
-        return reduce(DataFrame.union, sections)
-
-
-def _section(
-    name: str, df: DataFrame, subject: str, measure: Column, value: str, status: Column | None = None
-) -> DataFrame:
-    return df.select(
-        F.lit(name).alias("section"),
-        F.col(subject).alias("subject"),
-        measure.alias("measure"),
-        F.col(value).cast("double").alias("value"),
-        (F.lit(None).cast("string") if status is None else status).alias("status"),
-    )
+        """All results as (section, subject, measure, value, status) rows, from three scans.
+
+        One reads the measures and counts, per location and, added up, for the
+        whole table; one the keys; one the trigger window.
+        """
+        totals = self._totals()
+        measures = [f"avg_{m}" for m in MEANS] + ["reading_count", "active_sensors"]
+        n = len(self.columns)
+        numbers = [f"filled_{i}" for i in range(n)]
+        pairs = F.array(
+            *(_number(i, F.col(name)) for i, name in enumerate(numbers)), _number(n + 1, F.col("reading_count"))
+        )
+        values = F.array(*(_measure(m, F.col(m)) for m in measures))
+        # A row of totals becomes its measures or, being that of the whole table, its checks.
+        rows = totals.select(
+            "location",
+            F.col("reading_count").alias("row_count"),
+            "whole",
+            F.when(~F.col("whole"), values).alias("values"),
+            F.when(F.col("whole"), pairs).alias("numbers"),
+        ).select("location", "row_count", "whole", F.explode(F.coalesce(
+            F.transform("values", lambda v: F.struct(v["measure"].alias("measure"), v["value"].alias("value"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("long").alias("number"))),
+            F.transform("numbers", lambda p: F.struct(F.lit(None).cast("string").alias("measure"), F.lit(None).cast("double").alias("value"), p["at"].alias("at"), p["number"].alias("number"))),
+        )).alias("r"))
+        keys = row_key(self.readings, self.keys, self.digest)
+        key_rows = self.readings.agg(F.count("*").alias("row_count"), F.count_distinct(keys).alias("number"))
+        no_text = F.lit(None).cast("string")
+        everything = rows.select("location", "row_count", "whole", "r.*").unionByName(
+            key_rows.select(
+                no_text.alias("location"), "row_count", F.lit(True).alias("whole"), no_text.alias("measure"),
+                F.lit(None).cast("double").alias("value"), F.lit(n).alias("at"), "number",
+            )
+        )
+        found = check_columns(F.col("at"), F.col("row_count"), F.col("number"), self.columns, self.thresholds)
+        whole = F.col("whole")
+        both = everything.select(
+            F.when(whole, "quality").otherwise("summary").alias("section"),
+            F.when(whole, found["column_name"]).otherwise(F.col("location")).alias("subject"),
+            F.when(whole, found["check_name"]).otherwise(F.col("measure")).alias("measure"),
+            F.when(whole, found["value"]).otherwise(F.col("value")).alias("value"),
+            F.when(whole, F.when(~found["violated"], "ok").otherwise(found["severity"])).alias("status"),
+        )
+        return both.unionByName(self._window_rows())
+
+    def _totals(self) -> DataFrame:
+        """Per location, and once for the whole table (``whole``), what summary and checks are made of."""
+        sums = {f"sum_{m}": F.sum(m) for m in MEANS} | {f"n_{m}": F.count(m) for m in MEANS}
+        counts = {"reading_count": F.count("*"), "active_sensors": F.count_if(F.col("status") == 1)}
+        counts |= {f"filled_{i}": F.count(F.col(c)) for i, c in enumerate(self.columns)}
+        by_location = self.readings.groupBy("location").agg(*(c.alias(name) for name, c in (sums | counts).items()))
+        # The few rows per location once more, added up; an empty table has its zeros too.
+        own = F.struct("location", F.lit(False).alias("whole"))
+        all_ = F.struct(F.lit(None).cast("string").alias("location"), F.lit(True).alias("whole"))
+        twice = by_location.withColumn("to", F.explode(F.array(own, all_))).drop("location")
+        zeros = self.readings.sparkSession.range(1).select(
+            *(F.lit(0).cast("double" if name.startswith("sum_") else "long").alias(name) for name in sums | counts),
+            all_.alias("to"),
+        )
+        added = twice.unionByName(zeros).groupBy("to").agg(*(F.sum(name).alias(name) for name in sums | counts))
+        means = {f"avg_{m}": F.when(F.col(f"n_{m}") > 0, F.col(f"sum_{m}") / F.col(f"n_{m}")) for m in MEANS}
+        return added.withColumns(means).select("to.*", *means, *counts)
+
+    def _window_rows(self) -> DataFrame:
+        """Readings and mean temperature of the trigger window per location, from one aggregate."""
+        both = F.array(
+            F.struct(F.lit("window").alias("section"), F.lit("readings").alias("measure"),
+                     F.col("readings").cast("double").alias("value"), F.lit(None).cast("string").alias("status")),
+            F.struct(F.lit("downstream").alias("section"), F.lit("avg_temp").alias("measure"),
+                     F.col("avg_temp").cast("double").alias("value"), F.col("alert_status").alias("status")),
+        )
+        rows = self.rollup.select(F.col("location").alias("subject"), F.explode(both).alias("r"))
+        return rows.select("r.section", "subject", "r.measure", "r.value", "r.status")
+
+
+def _number(at: int, number: Column) -> Column:
+    return F.struct(F.lit(at).alias("at"), number.cast("long").alias("number"))
+
+
+def _measure(name: str, value: Column) -> Column:
+    return F.struct(F.lit(name).alias("measure"), value.cast("double").alias("value"))
 
 
 def sensor_job(
@@ -65,18 +128,25 @@ def sensor_job(
     columns: Sequence[str] = ("temperature", "humidity", "pressure"),
     thresholds: Thresholds = Thresholds(),
     date_column: str | None = None,
+    digest: bool = True,
     single_scan: bool = False,
 ) -> SensorJob:
     """Plan the job.
 
-    ``date_column`` names the daily folders of a partitioned table;
-    ``single_scan`` is that of ``quality_report``.
+    ``date_column`` names the daily folders of a partitioned table; ``digest``
+    and ``single_scan`` are those of ``quality_report``. ``report`` always takes
+    the three scans that it names.
     """
     return SensorJob(
+        readings=readings,
+        keys=tuple(keys),
+        columns=tuple(dict.fromkeys(columns)),
+        thresholds=thresholds,
+        digest=digest,
         summary=summarize_readings(readings),
-        quality=quality_report(readings, keys, columns, thresholds, single_scan=single_scan),
+        quality=quality_report(readings, keys, columns, thresholds, digest, single_scan),
         window=trigger_window(readings, trigger, minutes, date_column=date_column),
-        downstream=downstream_rollup(
+        rollup=rollup_with_counts(
             readings, trigger, minutes, alert_above=alert_above, by=("location",), date_column=date_column
         ),
     )

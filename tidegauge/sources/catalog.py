@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.schema import Source
 
+JOBS_AT_ONCE = 8
+
 
 def has_rows(df: DataFrame) -> bool:
     """Whether there is any row. Stops at the first one instead of counting."""
@@ -19,10 +23,13 @@ def has_rows(df: DataFrame) -> bool:
 def validate_sources(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
     """One row per source: does it hold data?
 
-    Runs one early-stopping job per source right away. A lazy ``limit(1)`` under
-    an aggregate would start a task on every partition of every source.
+    Runs one early-stopping job per source right away, a few side by side. A
+    lazy ``limit(1)`` under an aggregate would start a task on every partition
+    of every source.
     """
-    verdicts = [(source.name, has_rows(source.read(spark))) for source in sources]
+    with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
+        found = list(pool.map(inheritable_thread_target(spark)(lambda source: has_rows(source.read(spark))), sources))
+    verdicts = [(source.name, valid) for source, valid in zip(sources, found)]
     return spark.createDataFrame(verdicts, "source_name string, valid boolean")
 
 
