@@ -7,6 +7,7 @@ Means are rounded in both, since the order of a floating-point sum is free.
 
 from __future__ import annotations
 
+import os
 import sys
 from collections.abc import Callable
 from datetime import datetime
@@ -411,10 +412,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     )
     named = {query.__name__: query for query in listed}
     if llm_queries:
-        named |= llm_queries.queries() | {"pipeline": corpus_pipeline.run}
+        named |= {n: _with_imports(q) for n, q in (llm_queries.queries() | {"pipeline": corpus_pipeline.run}).items()}
     return named
 
 
+def _with_imports(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with this folder on the path of Python workers, from whatever folder the session was started."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parent)
+        if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH")]))
+        return query(spark, sf_dir)
+
+    return run
+
+
 _READINGS_SQL = """
     select l_quantity as temperature, l_extendedprice as humidity, l_discount as pressure,
            l_shipdate as "timestamp", l_suppkey::varchar as device_id, l_returnflag as location,

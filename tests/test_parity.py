@@ -40,7 +40,7 @@ def _cell(value):
 
 
 # The optional part has tests of its own.
-NAMES = [n for n, q in registered.queries().items() if q.__module__ == registered.__name__]
+NAMES = [n for n in registered.queries() if n != "pipeline" and not n.startswith("op")]
 
 
 @pytest.mark.parametrize("name", NAMES)
