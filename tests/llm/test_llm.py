@@ -1,0 +1,399 @@
+"""The operators against brute force and on odd input."""
+
+import hashlib
+import os
+import re
+import zlib
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from conftest import DATA
+from tidegauge.llm import (
+    chat, common, decontaminate, host_rules, html_blocks, interpolation, language, mixing, queries, simhash, tokens, toxicity,
+)
+
+ROOT = str(Path(__file__).resolve().parents[2])
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+LOWER = bytes(range(256)).lower()
+
+
+def words(text):
+    return [w.decode() for w in (text or "").encode().translate(LOWER).split()]
+
+
+def table(spark, name, sf="sf0.001"):
+    return spark.read.parquet(str(DATA / sf / f"{name}.parquet"))
+
+
+@pytest.fixture(autouse=True)
+def importable(spark):
+    spark.sparkContext.environment["PYTHONPATH"] = ROOT
+    os.environ["PYTHONPATH"] = ROOT
+
+
+@pytest.fixture
+def odd(spark):
+    """Documents with NULLs in every column, empty and long texts, repeated rows and columns with clashing names."""
+    prose = "the quick brown fox jumps over the lazy dog and runs far away from here today"
+    rows = [
+        (1, prose, "en", "a", 5), (1, prose, "en", "a", 5), (2, prose.upper() + " ", "en", "a", 5), (3, None, "en", None, None),
+        (4, "", None, "b", 1), (5, " \n\t ", "fr", "b", 1), (None, prose, "en", "a", 2), (None, None, None, None, None),
+        (6, "123 456 !!! ...", "fr", "c", 3), (7, "mot " * 30000, "fr", "c", 3), (8, "x" * 70000, "en", "c", 3),
+        (9, "été ñandú Straße 日本語 İstanbul", "fr", None, 4), (10, "le chat est sur la table avec le chien et la souris grise", "fr", "c", 3),
+    ]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score int")
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, source string, score int")
+
+
+# 1
+
+
+def test_tokens(spark, odd, none, tmp_path):
+    whole = Tokenizer.from_file(TOKENIZER)
+    docs = table(spark, "documents").select("doc_id", "text").union(odd.select("doc_id", "text"))
+    tokens.write_tokens(docs, str(tmp_path / "t"), TOKENIZER)
+    read = tokens.read_tokens(spark, str(tmp_path / "t"))
+    got = sorted(map(tuple, tokens.offsets(read).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted((r[0] for r in got), key=lambda i: (i is not None, i))
+    start = 0
+    for doc, at, n, crc in got:
+        assert at == start
+        start += n
+    want = Counter()
+    for doc, text in docs.collect():
+        ids = np.array([*whole.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        want[doc, len(ids), zlib.crc32(ids.tobytes())] += 1
+    assert Counter((r[0], r[2], r[3]) for r in got) == want
+    tokens.write_tokens(none, str(tmp_path / "e"), TOKENIZER)
+    assert tokens.offsets(tokens.read_tokens(spark, str(tmp_path / "e"))).count() == 0
+
+
+@pytest.mark.parametrize("text", ["Don't <|endoftext|> x", "İstanbul ΣΑΣ. ﬁne x́y é ́a\x00 a\x85b\xa0c", "日本語 テスト ١٢", "it'S 'LL\x1cz ſ", "²½ª"])
+def test_words_encode_as_texts(text):
+    got = np.frombuffer(tokens.WordEncoder(TOKENIZER).encode(text), "<u4").tolist()
+    assert got == Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
+
+
+# 2
+
+
+def legal(roles):
+    return all(
+        (a, b) in {(None, "system"), (None, "user"), ("system", "user"), ("user", "assistant"), ("assistant", "user")}
+        for a, b in zip([None, *roles], roles)
+    )
+
+
+def cheapest(roles):
+    costs = {None: 0.0}
+    for given in roles:
+        after = {}
+        for last, cost in costs.items():
+            for role in chat.ROLES:
+                joins = chat.MERGE if last == role else np.inf
+                direct = 0.0 if legal([*([] if last is None else {"system": ["system"], "user": ["user"], "assistant": ["user", "assistant"]}[last]), role]) else np.inf
+                put_in = chat.INSERT if role == "assistant" and last in (None, "system") or last == role != "system" else np.inf
+                total = cost + min(joins, direct, put_in) + (chat.RELABEL if role != given else 0)
+                after[role] = min(after.get(role, np.inf), total)
+        costs = after
+    return min(costs.values())
+
+
+def test_chats(spark):
+    rng = np.random.default_rng(5)
+    roles = ["system", "user", "assistant", "tool", None]
+    chats = {c: [roles[i] for i in rng.choice(5, rng.integers(1, 9), p=[0.1, 0.4, 0.35, 0.1, 0.05])] for c in range(40)}
+    chats[None] = ["user"] * 3 + ["assistant"] * 2500
+    rows = [(c, t, r, f"{t}", 1) for c, own in chats.items() for t, r in enumerate(own)] + [(99, None, None, None, None)] * 2
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, place int")
+    done = defaultdict(list)
+    for row in sorted(chat.format_chats(df).collect(), key=lambda r: r.place):
+        done[row.conv_id].append(row)
+    assert sum(map(len, done.values())) == len(rows)
+    for c, own in chats.items():
+        whole = "".join(r.rendered for r in done[c])
+        assert legal(re.findall(r"<\|(system|user|assistant)\|>", whole)) and whole.endswith(chat.FOOT)
+        cost = sum(
+            chat.RELABEL * ("relabel" in r.action) + chat.MERGE * ("merge" in r.action) + chat.INSERT * (r.inserted is not None)
+            for r in done[c]
+        )
+        assert cost == cheapest(own)
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+# 3
+
+
+def test_html(spark):
+    pages = table(spark, "pages")
+    weights = html_blocks.fit(pages)
+    extra = spark.createDataFrame([(9001, None, None, 1), (9002, "u", "", 2), (9003, "u", "<p>Only <b>this</b>&amp;that text\n here.<script>x", 3)], "page_id long, url string, html string, n_chars int")
+    for row in html_blocks.extract(pages, weights).collect():
+        wanted = [b.text for b in html_blocks.leaf_blocks(row.html) if html_blocks.markup_label(b.path)]
+        assert row.text == "\n".join(wanted) and row.n_chars == len(row.text)
+    got = {r.page_id: r.text for r in html_blocks.extract(extra, weights).collect()}
+    assert got == {9001: "", 9002: "", 9003: "Only this&that text here."}
+    assert html_blocks.fit(pages.limit(0)) is None and html_blocks.extract(pages.limit(0), None).count() == 0
+
+
+def test_blocks_of_other_markup():
+    page = '<div id=content><h1>A</h1><p>b<p>c<br>d</div><table><tr><td>e<td>f</table><p hidden>g</p><!-- h --><a href="x>y">i</a>'
+    assert [b.text for b in html_blocks.leaf_blocks(page)] == ["A", "b", "c d", "e", "f", "i"]
+
+
+# 4
+
+
+def test_interpolation(spark, odd, none):
+    docs = table(spark, "documents").select("doc_id", "text").union(odd.select("doc_id", "text")).withColumn("score", F.lit(1))
+    got = interpolation.score(docs, common.outside_fold(1), common.in_fold(2, folds=7)).collect()
+    learned = [w for d, t, _ in docs.collect() if d is not None and zlib.crc32(str(d).encode()) % 5 != 1 for w in [*words(t), "</end>"]]
+    counts, n = Counter(learned), len(learned)
+    want = Counter()
+    for d, t, _ in docs.collect():
+        own = [counts[w] for w in [*words(t), "</end>"]]
+        base = sum(np.log10((c + 0.5) / (n + 0.5 * (len(counts) + 1))) for c in own)
+        want[d, len(own), sum(c > 0 for c in own), n, round(base, 4)] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
+    unseen = [r for r in got if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 1]
+    assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
+    assert all(r.score <= 0 for r in got)
+    assert interpolation.score(none, F.lit(True), F.lit(False)).count() == 0
+
+
+def test_weights_are_the_likeliest():
+    tally = np.array([[1, 16, 30], [1, -8, 50], [1, interpolation._ZERO, 20]], float)
+    ratio = np.array([4.0, 0.5, 0.0])
+    grid = np.linspace(0.001, 0.999, 999)
+    best = grid[np.argmax([(tally[:, 2] * np.log(a * ratio + 1 - a)).sum() for a in grid])]
+    assert abs(interpolation.fit_weights(tally)[1] - best) < 0.002
+
+
+# 5
+
+
+def test_language(spark, odd, none):
+    docs = table(spark, "documents", "sf0.01")
+    model = language.fit(docs.where(common.outside_fold(0)))
+    judged = language.predict(docs, model).where(common.in_fold(0))
+    assert judged.where("lang = lang_pred").count() / judged.count() > 0.97
+    got = language.predict(odd, model).collect()
+    assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
+    for r in got:
+        assert (r.lang_pred == "und") == (not any(map(str.isalpha, r.text or "")))
+    assert {r.lang_pred for r in language.predict(odd, language.fit(none)).collect()} == {"und"}
+
+
+# 6
+
+
+def test_mixing(spark, odd, none):
+    docs = table(spark, "documents").drop("n_chars").withColumn("target", F.lit(0)).unionByName(odd.drop("score").withColumn("target", F.lit(0)))
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == docs.count()
+    sizes = Counter()
+    for r in rows:
+        assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        assert r.taken == r["size"] * len(r.shards) and len(r.shards) <= 3 and set(r.shards) <= set(range(8))
+        sizes[r.source] += r["size"]
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    left = {s: 1 + i % 3 for i, s in enumerate(order)}
+    targets, rest = {}, sum(sizes.values())
+    while left:
+        level = rest / sum(left.values())
+        over = [s for s in left if left[s] * level > 3 * sizes[s]]
+        for s in over or list(left):
+            targets[s] = 3 * sizes[s] if over else left[s] * level
+            rest -= targets[s] if over else 0
+            del left[s]
+    for s in order:
+        own = [r for r in rows if r.source == s]
+        assert own[0].target == pytest.approx(targets[s]) and own[0].source_size == sizes[s]
+        assert abs(sum(r.taken for r in own) - targets[s]) <= max(r["size"] for r in own)
+    assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, rows))
+    assert mixing.deal(mixing.mix(docs)).count() == sum(len(r.shards) for r in rows)
+    assert mixing.mix(none).count() == 0
+
+
+# 7
+
+
+def test_toxicity(spark, odd, none):
+    docs, labels = table(spark, "documents", "sf0.01"), table(spark, "labels", "sf0.01")
+    field = toxicity.fit(docs, labels.where(common.outside_fold(0)))
+    scored = toxicity.score(docs, field).join(labels, "doc_id").collect()
+    signs = re.compile(r"\b(idiot|moron|stupid|loser|scum|trash|clown|pathetic|worthless|disgusting)\b")
+    assert np.mean([r.predicted == r.toxic for r in scored if r.toxic == 0]) > 0.97
+    assert np.mean([r.predicted for r in scored if r.toxic == 1 and signs.search(r.text)]) > 0.9
+    found = {r.text[s.start : s.end] for r in scored for s in r.spans}
+    assert signs.findall(" ".join(found))
+    got = toxicity.score(odd, field).collect()
+    assert len(got) == odd.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    untaught = toxicity.fit(docs, labels.limit(0))
+    assert {r.predicted for r in toxicity.score(odd, untaught).collect()} == {0} and toxicity.score(none, field).count() == 0
+
+
+def test_marginals_by_enumeration():
+    rng = np.random.default_rng(2)
+    field = toxicity.Field(np.zeros(1), 0.0, 0.3, rng.random((2, 2)) + 0.1)
+    emission, begins = np.exp(rng.normal(size=7)), np.array([0, 4, 4, 7])
+    got = toxicity.marginals(emission, begins, field)
+    for a, b in ((0, 4), (4, 7)):
+        total, on = 0.0, np.zeros(b - a)
+        for way in np.ndindex(*[2] * (b - a)):
+            weight = (field.start if way[0] else 1) * np.prod([emission[a + t] if s else 1 for t, s in enumerate(way)])
+            weight *= np.prod([field.transition[s, t] for s, t in zip(way, way[1:])])
+            total, on = total + weight, on + weight * np.array(way)
+        assert np.allclose(got[a:b], on / total)
+
+
+# 8
+
+
+def brute_fingerprint(text, width=4):
+    own = words(text)
+    parts = [" ".join(own[i : i + width]) for i in range(max(1, len(own) - width + 1))] if own else []
+    h = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(codes, distance=4):
+    different = sorted(set(codes))
+    parent = {c: c for c in different}
+
+    def root(c):
+        while parent[c] != c:
+            c = parent[c]
+        return c
+
+    for i, a in enumerate(different):
+        for b in different[:i]:
+            if (a ^ b).bit_count() <= distance:
+                parent[root(a)] = root(b)
+    return {c: root(c) for c in different}
+
+
+def test_near_duplicates(spark, odd, none):
+    docs = table(spark, "documents").select("doc_id", "text").union(odd.select(F.col("doc_id") + 10000, "text")).withColumn("component_id", F.lit(1))
+    given = docs.collect()
+    code = [brute_fingerprint(r.text) for r in given]
+    roots = brute_components(code)
+    first = {}
+    for r, c in zip(given, code):
+        if r.doc_id is not None:
+            first[roots[c]] = min(first.get(roots[c], r.doc_id), r.doc_id)
+    want = Counter((r.doc_id, f"{c:016x}", first.get(roots[c])) for r, c in zip(given, code))
+    assert Counter(map(tuple, simhash.near_duplicates(docs).collect())) == want
+    kept = simhash.keep_one(docs).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(first.values())
+    assert len(kept) == len(set(roots.values())) and simhash.keep_one(none).count() == 0
+
+
+@pytest.mark.parametrize("distance", range(6))
+def test_links_lose_nothing(spark, distance):
+    rng = np.random.default_rng(distance)
+    centres = rng.integers(0, 1 << 63, 30)
+    codes = {int(c) ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 7), replace=False)) for c in centres for _ in range(12)}
+    df = spark.createDataFrame([(c,) for c in codes], "code long")
+    found = {r.node: r.root for r in simhash.components(simhash.links(df, distance)).collect()}
+    roots = brute_components(codes, distance)
+    groups = defaultdict(set), defaultdict(set)
+    for c in codes:
+        groups[0][found.get(c, c)].add(c)
+        groups[1][roots[c]].add(c)
+    assert sorted(map(sorted, groups[0].values())) == sorted(map(sorted, groups[1].values()))
+
+
+# 9
+
+
+def test_contamination(spark, odd, none):
+    items = table(spark, "benchmark").union(spark.createDataFrame([(900, "quick brown fox"), (901, None), (902, " "), (None, "the lazy dog")], "item_id long, text string"))
+    docs = table(spark, "documents").select("doc_id", "text").union(odd.select("doc_id", "text")).withColumn("block", F.lit(1))
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    cut = lambda t: pattern.findall((t or "").encode().translate(LOWER).decode())
+    wanted = defaultdict(set)
+    for item, text in items.collect():
+        own = cut(text)
+        for i in range(max(1, len(own) - 12) if own and item is not None else 0):
+            wanted[tuple(own[i : i + 13])].add(item)
+    want = Counter()
+    for doc, text, _ in docs.collect():
+        own, hit, found = cut(text), set(), set()
+        for width in {len(k) for k in wanted}:
+            for i in range(len(own) - width + 1):
+                if items_here := wanted.get(tuple(own[i : i + width])):
+                    found |= items_here
+                    hit |= set(range(i, i + width))
+        listed = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+        want[doc, len(own), len(hit), len(found), listed, bool(hit) and 20 * len(hit) >= len(own)] += 1
+    assert Counter(map(tuple, decontaminate.contamination(docs, items).drop("spans").collect())) == want
+    assert decontaminate.contamination(none, items).count() == 0
+    assert decontaminate.clean(docs, items).count() == sum(n for key, n in want.items() if not key[-1])
+
+
+def test_phrases_with_slop():
+    postings = {1: np.array([0, 10]), 2: np.array([2, 11]), 3: np.array([3, 30])}
+    owner = np.zeros(40, int)
+    ordered = [(1, 0), (2, 1), (3, 2)]
+    assert decontaminate.intersect(postings, ordered, owner).tolist() == []
+    assert decontaminate.intersect(postings, ordered, owner, slop=1).tolist() == [0]
+
+
+# 10
+
+
+def test_host_rules(spark, odd, none):
+    got = host_rules.judge(odd, F.col("source")).collect()
+    assert len(got) == odd.count()
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[7].n_repeat_words == 30000 and by_id[7].base_failed and by_id[3].n_words == 0
+    bad = spark.createDataFrame([(i, "too few", "x") for i in range(60)] + [(100, "a b c d e f g h i j k", "x")] + [(200 + i, f"{i} b c d e f g h i j k", "y") for i in range(60)], "doc_id long, text string, source string")
+    kept = {r.doc_id for r in host_rules.judge(bad, F.col("source")).where("kept").collect()}
+    assert kept == set(range(200, 260))
+    assert host_rules.judge(none, F.col("source")).count() == 0
+
+
+@pytest.mark.parametrize("name", queries.oracle_sql())
+def test_matches_sql(spark, name):
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"create view {t} as select * from '{DATA / 'sf0.01' / t}.parquet'")
+    df = queries.queries()[name](spark, str(DATA / "sf0.01"))
+    want = db.sql(queries.oracle_sql()[name])
+    assert df.columns == want.columns
+    assert sorted(map(tuple, df.collect())) == sorted(want.fetchall())
+
+
+# The pipeline
+
+
+def test_pipeline(spark, odd, tmp_path):
+    docs = table(spark, "documents").unionByName(odd.withColumnRenamed("score", "n_chars"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    table(spark, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        after = common.staged(stage(spark, before, str(tmp_path)), name)
+        assert after.columns == docs.columns
+        if name == "language":
+            assert sorted(r.text for r in after.collect()) == sorted(r.text for r in docs.collect() if any(map(str.isalpha, r.text or "")))
+        if name == "near_duplicates":
+            code = [brute_fingerprint(r.text) for r in before.collect()]
+            assert after.count() == len(set(brute_components(code).values()))
+        before = after
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == before.count()

@@ -24,6 +24,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST_PASSES = 3
 # Ranks are taken within this many hash ranges side by side.
 RANGES = 256
+# Parts of an output shard, each sorted by one task.
+PIECES = 256
 # Blocks that the last, incomplete draw from a source chooses documents from.
 PARTIAL_BLOCKS = 4
 
@@ -214,8 +216,14 @@ def mix(
 
 
 def deal(mixed: DataFrame, doc_id: str = "doc_id", seed: int = 1) -> DataFrame:
-    """The mix itself: one row per copy with its ``shard``, each shard in one shuffled run."""
+    """The mix itself: one row per copy with its ``shard``, shuffled within the shard.
+
+    A shard is cut into ``PIECES`` by the leading bits of a hash and sorted by
+    it within each, so its pieces in order are one shuffled run and no task
+    holds a whole shard. For larger inputs choose more shards.
+    """
     columns = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken", "shards")]
     copies = mixed.select(*(F.col(f"`{c}`") for c in columns), F.posexplode("shards").alias("_copy", "shard"))
     order = F.xxhash64(doc_id, "_copy", "shard", F.lit(seed))
-    return copies.repartition("shard").sortWithinPartitions("shard", order).drop("_copy")
+    piece = F.pmod(F.shiftright(order, 48), F.lit(PIECES))
+    return copies.repartition("shard", piece).sortWithinPartitions("shard", piece, order).drop("_copy")

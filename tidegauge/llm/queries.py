@@ -86,8 +86,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_rules.judge(_table(spark, sf_dir, "documents"), F.col("source"))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate"
-    )
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("host_rate", 9).alias("host_rate"),
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -98,5 +99,55 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: query for query in listed}
 
 
+_HOST_RULES_SQL = r"""
+    with given as (select doc_id, source, coalesce(text, '') as t from documents),
+    worded as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws,
+                      [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] as lines from given),
+    placed as (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from worded where len(ws) >= 5),
+    repeated as (select doc_id, i from (select doc_id, i, array_to_string(ws[i:i + 4], ' ') as gram from placed)
+                 qualify count(*) over (partition by doc_id, gram) > 1),
+    covered as (select doc_id, least(5, coalesce(lead(i) over (partition by doc_id order by i) - i, 5)) as n from repeated),
+    measured as (
+        select w.doc_id, source, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
+               len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols,
+               (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+               coalesce((select sum(n) from covered c where c.doc_id = w.doc_id), 0)::bigint as n_repeat_words
+        from worded w),
+    judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from measured),
+    hosts as (select source, count(*)::double as n, count(*) filter (where base_failed)::double as k from judged group by source),
+    prior as (select sum(k) / sum(n) as mean, sum(k * k / n) / sum(n) - (sum(k) / sum(n)) ** 2
+                     - sum(k) / sum(n) * (1 - sum(k) / sum(n)) * count(*) / sum(n) as spread from hosts),
+    rates as (select source, case when spread <= 0 then mean
+                     else (k + mean * greatest(0, mean * (1 - mean) / spread - 1)) / (n + greatest(0, mean * (1 - mean) / spread - 1))
+                     end as rate from hosts, prior)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           not base_failed and rate <= 0.5 as kept, round(rate, 9) as host_rate
+    from judged j join rates r on j.source is not distinct from r.source
+"""
+
+_DECONTAMINATION_SQL = r"""
+    with item_words as (
+        select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark where item_id is not null),
+    wanted as (select distinct item_id, least(13, len(ws)) as width, array_to_string(ws[i:i + 12], ' ') as gram
+               from (select item_id, ws, unnest(range(1, greatest(2, len(ws) - 11))) as i from item_words where len(ws) > 0)),
+    doc_words as (
+        select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+    placed as (select doc_id, ws, width, unnest(range(1, len(ws) - width + 2)) as i
+               from doc_words, (select distinct width from wanted) where len(ws) >= width),
+    found as (select doc_id, i, p.width, item_id
+              from (select doc_id, i, width, array_to_string(ws[i:i + width - 1], ' ') as gram from placed) p
+              join wanted using (gram, width)),
+    hits as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(i, i + width)) as place from found) group by doc_id),
+    items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as listed
+              from (select distinct doc_id, item_id::varchar as item from found) group by doc_id)
+    select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+           sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+    from doc_words left join hits using (doc_id) left join items using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that need neither a trained model nor a tokenizer nor a hash function of their own."""
+    return {"op9_decontamination": _DECONTAMINATION_SQL, "op10_host_rules": _HOST_RULES_SQL}

@@ -52,21 +52,22 @@ def fingerprint(hashes: list[int]) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4) -> DataFrame:
-    """(doc_id, code): the SimHash of each whole text as a signed 64-bit number.
+    """(doc_id, tag, code): a hash of each whole text, and its SimHash as a signed 64-bit number.
 
     NULL, empty and blank texts have code 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 1):
-            rows = utf8_rows(batch.column(1))
+        for batch in small_batches(batches, 2):
+            rows = utf8_rows(batch.column(2))
             codes = np.zeros(len(rows), np.uint64)
             for i, row in enumerate(rows):
                 codes[i] = fingerprint(shingle_hashes(row, width))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.view(np.int64))], ["doc_id", "code"])
+            own = pa.array(codes.view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], own], ["doc_id", "tag", "code"])
 
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return given.mapInArrow(run, "doc_id long, code long")
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
+    return given.mapInArrow(run, "doc_id long, tag long, code long")
 
 
 def segment_counts(codes: np.ndarray) -> np.ndarray:
@@ -220,12 +221,7 @@ def near_duplicates(
     other than the two named are not looked at.
     """
     codes = staged(fingerprints(docs, text, doc_id, width), "fingerprints")
-    distinct = codes.groupBy("code").agg(F.min("doc_id").alias("first"))
-    # An edge points at codes, whose order says nothing about doc_ids.
-    roots = components(links(distinct.select("code"), distance))
-    grouped = distinct.join(roots, distinct["code"] == roots["node"], "left").select(
-        "code", F.coalesce("root", "code").alias("root"), "first"
-    )
+    grouped = _roots(codes, distance)
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     of_code = grouped.join(smallest, "root").select("code", "component_id")
     return codes.join(of_code, "code").select(
@@ -233,10 +229,23 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options: int) -> DataFrame:
+def _roots(codes: DataFrame, distance: int) -> DataFrame:
+    """Per distinct code: code, the root of its component, and the first of its rows by id and text."""
+    distinct = codes.groupBy("code").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "tag")).alias("row"))
+    # An edge points at codes, whose order says nothing about doc_ids.
+    roots = components(links(distinct.select("code"), distance))
+    return distinct.join(roots, distinct["code"] == roots["node"], "left").select(
+        "code", F.coalesce("root", "code").alias("root"), "first", "row"
+    )
+
+
+def keep_one(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, distance: int = 4
+) -> DataFrame:
     """``docs`` with one row of each component left: that of the smallest doc_id.
 
-    Of rows repeating that id one stays, the first by a hash of all columns.
+    Of rows repeating that id the first by a hash of the text stays, then of all
+    columns; where one id has texts in several components, each keeps its own.
     Rows with a NULL id rank behind all ids: one of them stays only where its component has no id.
     """
     given = docs.where(F.col(doc_id).isNotNull())
@@ -247,10 +256,13 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
         last = F.lit((1 << 63) - 1) - F.monotonically_increasing_id()
         unnamed = staged(unnamed.withColumn("_id", last), "unnamed")
         searched = searched.unionByName(unnamed.select("_id", F.col(text).alias("_text")))
-    found = near_duplicates(searched, "_text", "_id", **options)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
-    order = Window.partitionBy("_id").orderBy(F.xxhash64(*docs.columns))
-    stay = given.withColumn("_id", F.col(doc_id).cast("long")).join(kept, "_id", "left_semi")
+    grouped = _roots(staged(fingerprints(searched, "_text", "_id", width), "fingerprints"), distance)
+    kept = grouped.groupBy("root").agg(F.min("row").alias("row")).select(
+        F.col("row.doc_id").alias("_id"), F.col("row.tag").alias("_tag")
+    )
+    order = Window.partitionBy("_id", "_tag").orderBy(F.xxhash64(*docs.columns))
+    named = given.withColumns({"_id": F.col(doc_id).cast("long"), "_tag": F.xxhash64(text)})
+    stay = named.join(kept, ["_id", "_tag"], "left_semi")
     stay = stay.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(docs.columns)
     if has_unnamed:
         stay = stay.unionByName(unnamed.join(kept, "_id", "left_semi").select(docs.columns))
