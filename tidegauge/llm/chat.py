@@ -6,8 +6,9 @@ relabelled; it may join the turn before it if both end up with one role; and
 an empty turn may be put in where the automaton lacks one. Dynamic programming
 over the automaton finds the cheapest repair. The cost of a stretch of turns
 is a small matrix over the states before and after it, so long conversations
-are cut into chunks whose matrices are multiplied, and each chunk is traced
-back on its own between the states found for its ends.
+are cut into chunks whose matrices are multiplied, runs of chunks first and
+then all runs, and each chunk is traced back on its own between the states
+found for its ends.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ STATES = 4
 # Costs of the repairs. A turn of unknown role always has to be relabelled.
 MERGE, RELABEL, INSERT = 1.0, 2.0, 3.0
 CHUNK_TURNS = 1024
+# Turns whose chunks' matrices are multiplied in one task.
+RUN_TURNS = CHUNK_TURNS * 1024
 FOOT = "<|end|>\n"
 
 # Legal next states, and the empty turn that makes another next state legal.
@@ -112,12 +115,22 @@ def _map_rows(df: DataFrame, function: Callable[..., Iterable[tuple]], columns:
     return df.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in columns.items()))
 
 
-def _ends(parts: list[dict]) -> Iterator[tuple[int, int, int, bool]]:
-    """For each chunk of a conversation the states before and after it, and whether it is the last."""
-    matrices = np.array([p["costs"] for p in parts]).reshape(-1, STATES, STATES)
-    before = START
-    for i, (part, state) in enumerate(zip(parts, _trace(matrices, START, None)), start=1):
-        yield part["head"], before, state, i == len(parts)
+def _matrices(parts: list[dict]) -> np.ndarray:
+    return np.array([p["costs"] for p in parts]).reshape(-1, STATES, STATES)
+
+
+def _product(chat: int | None, head: int, parts: list[dict]) -> Iterator[tuple]:
+    """A run's head and the costs of the stretch its parts make up."""
+    total, *others = _matrices(parts)
+    for matrix in others:
+        total = _times(total, matrix)
+    yield chat, head, total.ravel().tolist()
+
+
+def _ends(parts: list[dict], before: int = START, after: int | None = None, closes: bool = True) -> Iterator[tuple[int, int, int, bool]]:
+    """For each part of a stretch the states before and after it, and whether it ends the conversation."""
+    for i, (part, state) in enumerate(zip(parts, _trace(_matrices(parts), before, after)), start=1):
+        yield part["head"], before, state, closes and i == len(parts)
         before = state
 
 
@@ -163,13 +176,19 @@ def format_chats(
     )
     chunks = staged(chunks.select("conv_id", "head", F.col("turns")["place"].alias("places"), F.col("turns")["code"].alias("roles")), "chunks")
 
-    costs = _map_rows(
+    costs = {"conv_id": "long", "head": "long", "costs": "array<double>"}
+    ends = {"head": "long", "before": "int", "after": "int", "closes": "boolean"}
+    parts = F.sort_array(F.collect_list(F.struct("head", "costs"))).alias("parts")
+    of_chunks = _map_rows(
         chunks.select("conv_id", "head", "roles"),
         lambda chat, head, roles: [(chat, head, chunk_costs(roles).ravel().tolist())],
-        {"conv_id": "long", "head": "long", "costs": "array<double>"},
+        costs,
     )
-    chats = costs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("head", "costs"))).alias("parts"))
-    bounds = _map_rows(chats.select("parts"), _ends, {"head": "long", "before": "int", "after": "int", "closes": "boolean"})
+    runs = of_chunks.groupBy("conv_id", F.floor(F.col("head") / RUN_TURNS).alias("run")).agg(F.min("head").alias("head"), parts)
+    runs = staged(runs.drop("run"), "runs")
+    chats = _map_rows(runs.select("conv_id", "head", "parts"), _product, costs).groupBy("conv_id").agg(parts)
+    run_ends = _map_rows(chats.select("parts"), _ends, ends)
+    bounds = _map_rows(runs.join(run_ends, "head").select("parts", "before", "after", "closes"), _ends, ends)
     traced = _map_rows(
         chunks.select("head", "places", "roles").join(bounds, "head").select("places", "roles", "before", "after", "closes"),
         _repaired,
