@@ -113,7 +113,10 @@ def cheapest(roles):
     return min(costs.values())
 
 
-def test_chats(spark):
+@pytest.mark.parametrize("chunk, run", [(chat.CHUNK_TURNS, chat.RUN_TURNS), (16, 256)])
+def test_chats(spark, monkeypatch, chunk, run):
+    monkeypatch.setattr(chat, "CHUNK_TURNS", chunk)
+    monkeypatch.setattr(chat, "RUN_TURNS", run)
     rng = np.random.default_rng(5)
     roles = ["system", "user", "assistant", "tool", None]
     chats = {c: [roles[i] for i in rng.choice(5, rng.integers(1, 9), p=[0.1, 0.4, 0.35, 0.1, 0.05])] for c in range(40)}
@@ -303,13 +306,14 @@ def test_near_duplicates(spark, odd, none):
     assert len(kept) == len(set(roots.values())) and simhash.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [3, simhash.CROWD])
 @pytest.mark.parametrize("distance", range(6))
-def test_links_lose_nothing(spark, distance):
+def test_links_lose_nothing(spark, distance, crowd):
     rng = np.random.default_rng(distance)
     centres = rng.integers(0, 1 << 63, 30)
     codes = {int(c) ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 7), replace=False)) for c in centres for _ in range(12)}
     df = spark.createDataFrame([(c,) for c in codes], "code long")
-    found = {r.node: r.root for r in simhash.components(simhash.links(df, distance)).collect()}
+    found = {r.node: r.root for r in simhash.components(simhash.links(df, distance, crowd)).collect()}
     roots = brute_components(codes, distance)
     groups = defaultdict(set), defaultdict(set)
     for c in codes:

@@ -7,7 +7,9 @@ that distance need checking. The range join runs on a grid: of the two halves
 of the vector one lies within half the distance, and two half vectors at that
 distance share a lattice point half-way. Each fingerprint is therefore dealt to
 the lattice points around both of its halves. Fingerprints at one point are
-compared exactly, and of those linked only a spanning forest is returned.
+compared exactly, and of those linked only a spanning forest is returned. A
+point that draws many fingerprints is split by runs of bits, one of which two
+fingerprints within the distance share.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql.window import Window
 from tidegauge.llm.common import mix64, small_batches, staged, utf8_rows
 
 SEED = 42
+# Fingerprints compared at one lattice point as they are; points with more are split.
+CROWD = 1 << 15
 _ODD = np.uint64(0x5555555555555555)
 
 
@@ -93,6 +97,18 @@ def _lattice_keys(codes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray,
             yield mix64((point[down] - step) | tag), rows[down]
 
 
+def _shared_runs(keys: np.ndarray, codes: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, code) arrays: each key split by each of ``distance`` + 1 runs of bits.
+
+    Fingerprints that differ in ``distance`` bits at most agree in one of the runs.
+    """
+    bounds = [64 * i // (distance + 1) for i in range(distance + 2)]
+    for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        run = (codes >> np.uint64(low)) << np.uint64(64 - high + low)
+        # The number added to the key tells the runs apart.
+        yield mix64(mix64(keys + np.uint64(i + 1)) ^ run), codes
+
+
 def _forest(codes: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest over the links among ``codes`` (all different)."""
     left = np.arange(len(codes))
@@ -154,13 +170,14 @@ def _linked(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Rec
             yield out(found)
 
 
-def links(codes: DataFrame, distance: int = 4) -> DataFrame:
+def links(codes: DataFrame, distance: int = 4, crowd: int = CROWD) -> DataFrame:
     """(a, b): links that join the same fingerprints as all pairs within ``distance`` do.
 
     ``codes`` holds distinct fingerprints. Every pair within the distance is
     compared, but of the links met at one lattice point only a spanning forest
     comes back, so a dense group gives rows in proportion to its size.
-    Distances up to 5 are found.
+    Distances up to 5 are found. Points with more than ``crowd`` fingerprints
+    are split, which finds the same links.
     """
     if not 0 <= distance <= 5:
         raise ValueError("distance must be between 0 and 5")
@@ -175,8 +192,20 @@ def links(codes: DataFrame, distance: int = 4) -> DataFrame:
                     [pa.array(keys.view(np.int64)), pa.array(own[rows].view(np.int64))], ["key", "code"]
                 )
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            crowded = batch.column(2).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(~crowded)).select(["key", "code"])
+            hot = batch.filter(pa.array(crowded))
+            keys, own = (hot.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(2))
+            for parts, rows in _shared_runs(keys, own, distance):
+                yield pa.RecordBatch.from_arrays([pa.array(parts.view(np.int64)), pa.array(rows.view(np.int64))], ["key", "code"])
+
     dealt = codes.select("code").mapInArrow(deal, "key long, code long")
-    met = dealt.repartition("key").sortWithinPartitions("key")
+    # At most one row for ``crowd`` dealt ones; Spark broadcasts it or not by its size.
+    crowds = dealt.groupBy("key").count().where(F.col("count") > crowd).select("key", F.lit(True).alias("crowded"))
+    marked = dealt.join(staged(crowds, "crowds"), "key", "left").select("key", "code", F.coalesce("crowded", F.lit(False)).alias("crowded"))
+    met = marked.mapInArrow(split, "key long, code long").repartition("key").sortWithinPartitions("key")
     return met.mapInArrow(lambda batches: _linked(batches, distance), "a long, b long")
 
 
