@@ -59,6 +59,34 @@ def none(spark):
     return spark.createDataFrame([], "doc_id long, text string, lang string, source string, score int")
 
 
+def test_sample_has_each_content_once(spark):
+    rows = [("a", f"copied {i % 5}") for i in range(500)] + [("b", f"text {i}") for i in range(400)] + [("b", "text 1")] * 300
+    df = spark.createDataFrame([*rows, ("c", "alone"), ("c", None), (None, "text 1")], "lang string, text string")
+    got = [(r.label, r.content) for r in common.sample_contents(df, "lang", "text", 50).collect()]
+    assert Counter(label for label, _ in got) == {"a": 5, "b": 50, "c": 1}
+    assert len(set(got)) == len(got) and set(got) <= set(rows) | {("c", "alone")}
+    again = common.sample_contents(df.union(df).repartition(5), "lang", "text", 50).collect()
+    assert sorted((r.label, r.content) for r in again) == sorted(got)
+    assert common.sample_contents(df.limit(0), "lang", "text", 50).count() == 0
+
+
+def test_fits_see_a_bounded_number_of_copies(spark, monkeypatch):
+    """Of 3,000 copies in 3,060 rows one is learned from, whatever the hash says."""
+    seen = []
+    fit_machine = language.fit_machine
+    monkeypatch.setattr(language, "fit_machine", lambda x, *a, **b: (seen.append(len(x)), fit_machine(x, *a, **b))[1])
+    for copied in ("the copied one", "another copied one", "a third copied one"):
+        texts = [("en", copied)] * 3000 + [("en", f"some words {chr(97 + i)}") for i in range(20)] + [("fr", f"les mots {chr(97 + i)}") for i in range(20)]
+        language.fit(spark.createDataFrame(texts, "lang string, text string"), per_language=10)
+    assert seen == [40] * 6
+    encoded = []
+    encode = html_blocks.encode_page
+    monkeypatch.setattr(html_blocks, "encode_page", lambda blocks: (encoded.append(len(blocks)), encode(blocks))[1])
+    pages = [("<article><p>the copied page</article>",)] * 3000 + [(f"<article><p>page {i}</article>",) for i in range(40)]
+    html_blocks.fit(spark.createDataFrame(pages, "html string"), most_pages=8, rounds=1)
+    assert 8 * 4 <= len(encoded) <= 8 * 5
+
+
 # 1
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -56,6 +56,28 @@ def sample_classes(df: DataFrame, label: str, per_class: int, key: str) -> DataF
     return df.where(draw < limits[F.col(label)])
 
 
+def sample_contents(df: DataFrame, label: str, content: str, per_class: int) -> DataFrame:
+    """(label, content, key): at most ``per_class`` different contents of each value of ``label``, one row of each.
+
+    Copies count once, however many there are, so the number of rows is
+    bounded by ``per_class`` times the number of labels. Of more contents
+    those with the smallest hashes are taken. ``key`` is the content's hash;
+    contents of equal hash count as copies. Rows where either is NULL have no part.
+    """
+    given = df.where(F.col(label).isNotNull() & F.col(content).isNotNull()).select(
+        F.col(label).alias("label"), F.col(content).alias("content"), F.xxhash64(content, F.lit("sample")).alias("key")
+    )
+    keys = staged(given.select("label", "key").distinct(), "contents")
+    # Some more than wanted, of which the window below keeps the wanted number: it sees no more rows than these.
+    drawn = per_class + 8 * per_class**0.5 + 16
+    place = F.pmod("key", F.lit(1 << 40)) / float(1 << 40)
+    sizes = keys.groupBy("label").count()
+    near = keys.join(F.broadcast(sizes), "label").where(place * F.col("count") < drawn).select("label", "key", place.alias("place"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("place", "key"))
+    chosen = near.withColumn("rank", rank).where(F.col("rank") <= per_class).select("label", "key")
+    return given.join(F.broadcast(chosen), ["label", "key"]).dropDuplicates(["label", "key"]).select("label", "content", "key")
+
+
 def utf8_rows(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """Texts as UTF-8 bytes; NULL is empty."""
     if isinstance(column, pa.ChunkedArray):

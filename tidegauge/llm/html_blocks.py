@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import hash_words, small_batches, utf8_rows, with_fields
+from tidegauge.llm.common import hash_words, sample_contents, small_batches, utf8_rows, with_fields
 
 # How HTML treats its elements.
 INLINE = frozenset(
@@ -351,15 +351,13 @@ def _altered(blocks: list[Block], labels: np.ndarray, spare: list[Block], rng: n
 
 
 def fit(pages: DataFrame, page: str = "html", most_pages: int = 200, rounds: int = 6) -> Weights | None:
-    """Train on the blocks of about ``most_pages`` pages, picked by a hash: the one bound of the operator.
+    """Train on the blocks of ``most_pages`` different pages, picked by a hash: the one bound of the operator.
 
-    Pages whose markup names no main text are passed over. With none left the
+    Copies of a page count once. Pages whose markup names no main text are passed over. With none left the
     result is None, and ``extract`` goes by the markup.
     """
-    known = pages.where(F.octet_length(F.col(page)) <= 200_000).select(F.col(page).alias("html"))
-    total = known.count()
-    draw = F.pmod(F.xxhash64("html", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    rows = known.where(draw < most_pages / max(1, total)).collect()
+    known = pages.where(F.octet_length(F.col(page)) <= 200_000).select(F.col(page).alias("html"), F.lit(0).alias("all"))
+    rows = sample_contents(known, "all", "html", most_pages).select(F.col("content").alias("html")).collect()
     rng = np.random.Generator(np.random.PCG64(11))
     examples: list[tuple[list[Block], np.ndarray]] = []
     for row in sorted(rows, key=lambda r: r.html):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import sample_classes, small_batches, utf8_rows, with_fields
+from tidegauge.llm.common import sample_contents, small_batches, utf8_rows, with_fields
 
 UNKNOWN = "und"
 
@@ -156,12 +156,10 @@ def fit(
 ) -> LanguageModel:
     """Learn from the rows of ``docs`` that have a text with letters and a language.
 
-    The machines see about ``per_language`` rows of each language, picked by a
-    hash of the text: the one bound of the operator. More than
+    The machines see ``per_language`` different texts of each language, picked by
+    a hash of the text: the one bound of the operator. Copies of a text count once. More than
     ``max_languages`` different values raise, as the sample is fitted on the driver.
     """
-    labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1):
             languages, bags, sizes = [], [], []
@@ -179,7 +177,7 @@ def fit(
                 ["lang", "grams", "counts"],
             )
 
-    sample = sample_classes(labelled, lang, per_language, text).select(lang, text)
+    sample = sample_contents(docs, lang, text, per_language).select("label", "content")
     bags = sample.mapInArrow(featurise, "lang string, grams array<long>, counts array<long>").toArrow()
     # The order in which rows arrive is free; the fit must not depend on it.
     rows = sorted(zip(*(bags.column(i).to_pylist() for i in range(3))))
