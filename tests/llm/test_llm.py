@@ -72,13 +72,10 @@ def test_sample_has_each_content_once(spark):
 
 def test_fits_see_a_bounded_number_of_copies(spark, monkeypatch):
     """Of 3,000 copies in 3,060 rows one is learned from, whatever the hash says."""
-    seen = []
-    fit_machine = language.fit_machine
-    monkeypatch.setattr(language, "fit_machine", lambda x, *a, **b: (seen.append(len(x)), fit_machine(x, *a, **b))[1])
     for copied in ("the copied one", "another copied one", "a third copied one"):
         texts = [("en", copied)] * 3000 + [("en", f"some words {chr(97 + i)}") for i in range(20)] + [("fr", f"les mots {chr(97 + i)}") for i in range(20)]
-        language.fit(spark.createDataFrame(texts, "lang string, text string"), per_language=10)
-    assert seen == [40] * 6
+        given, bags = language.sampled_bags(spark.createDataFrame(texts, "lang string, text string"), "text", "lang", 10)
+        assert Counter(given) == {"en": 20, "fr": 20} and len(bags.begins) == 41  # each text whole, and a run of its words
     encoded = []
     encode = html_blocks.encode_page
     monkeypatch.setattr(html_blocks, "encode_page", lambda blocks: (encoded.append(len(blocks)), encode(blocks))[1])
@@ -229,6 +226,35 @@ def test_language(spark, odd, none):
     assert {r.lang_pred for r in language.predict(odd, language.fit(none)).collect()} == {"und"}
 
 
+def test_any_number_of_languages(spark):
+    """70 languages, of which two share a family."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    labels = ["en", "de", "en-US", *(f"x{i}" for i in range(67))]
+    rng = np.random.default_rng(4)
+    words_of = {lang: ["".join(rng.choice(list(letters), 6)) for _ in range(12)] for lang in labels}
+    rows = [(lang, " ".join(rng.choice(own, 15))) for lang, own in words_of.items() for _ in range(20)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    model = language.fit(docs, per_language=8)
+    assert len(model.by_family) == 69 and list(model.by_pair) == [("de", "en")]
+    assert language.predict(docs, model).where("lang = lang_pred").count() > 0.97 * len(rows)
+
+
+def test_machine_is_that_of_the_gram_matrix():
+    rng = np.random.default_rng(1)
+    x = np.where(rng.random((60, 40)) < 0.3, rng.random((60, 40)), 0).astype(np.float32)
+    x[:, 0] = 1
+    positive = x[:, 1] > x[:, 2]
+    y, share = np.where(positive, 1.0, -1.0), np.where(positive, positive.mean(), 1 - positive.mean())
+    gram, diagonal, alpha, order = x.astype(float) @ x.T.astype(float) + 1, share / 5, np.zeros(60), np.random.Generator(np.random.PCG64(1))
+    for _ in range(30):
+        for i in order.permutation(60):
+            alpha[i] = max(0.0, alpha[i] - (y[i] * (gram[i] @ (alpha * y)) - 1 + diagonal[i] * alpha[i]) / (gram[i, i] + diagonal[i]))
+    row, column = np.nonzero(x)
+    bags = language.Bags(column.astype(np.int16), x[row, column], np.searchsorted(row, np.arange(61)))
+    got = language.fit_machine(bags, np.arange(60), positive)
+    assert np.allclose(got.weights[:40], (alpha * y) @ x, atol=0.02) and abs(got.bias - (alpha * y).sum()) < 0.02
+
+
 # 6
 
 

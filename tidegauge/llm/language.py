@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,89 +129,136 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(4.0 * x.astype(np.float64), -30, 30)))
 
 
-def fit_machine(features: np.ndarray, positive: np.ndarray, cost: float = 10.0, passes: int = 30) -> Machine:
-    """A linear machine with squared hinge loss, by dual coordinate descent over the Gram matrix."""
+@dataclass(frozen=True)
+class Bags:
+    """Texts as sparse rows of trigrams, one after the other; ``begins`` has one entry more than there are rows."""
+
+    grams: np.ndarray
+    values: np.ndarray
+    begins: np.ndarray
+
+
+def fit_machine(bags: Bags, rows: np.ndarray, positive: np.ndarray, cost: float = 10.0, passes: int = 30) -> Machine:
+    """A linear machine with squared hinge loss, by dual coordinate descent with the weights kept up to date.
+
+    Besides the bags it holds one number per row and the weights, but no product of rows with rows.
+    """
     y = np.where(positive, 1.0, -1.0)
     # The smaller side weighs as much as the larger one.
     share = np.where(positive, positive.mean(), 1 - positive.mean())
     diagonal = share / (cost * 0.5)
-    gram = (features @ features.T).astype(np.float64) + 1.0
-    alpha, field = np.zeros(len(y)), np.zeros(len(y))
+    starts, ends = bags.begins[rows].tolist(), bags.begins[rows + 1].tolist()
+    norms = np.array([1.0 + np.square(bags.values[a:b], dtype=np.float64).sum() for a, b in zip(starts, ends)])
+    alpha, weights, bias = np.zeros(len(y)), np.zeros(DIMENSIONS), 0.0
     order = np.random.Generator(np.random.PCG64(1))
     for _ in range(passes):
         moved = 0.0
-        for i in order.permutation(len(y)):
-            gradient = y[i] * field[i] - 1 + diagonal[i] * alpha[i]
-            new = max(0.0, alpha[i] - gradient / (gram[i, i] + diagonal[i]))
+        for i in order.permutation(len(y)).tolist():
+            grams, values = bags.grams[starts[i] : ends[i]], bags.values[starts[i] : ends[i]]
+            gradient = y[i] * (values @ weights[grams] + bias) - 1 + diagonal[i] * alpha[i]
+            new = max(0.0, alpha[i] - gradient / (norms[i] + diagonal[i]))
             if new != alpha[i]:
-                field += (new - alpha[i]) * y[i] * gram[i]
+                step = (new - alpha[i]) * y[i]
+                # A row lists each trigram once.
+                weights[grams] += step * values
+                bias += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return Machine((alpha * y) @ features, float((alpha * y).sum()))
+    return Machine(weights, float(bias))
 
 
-def fit(
-    docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, max_languages: int = 64
-) -> LanguageModel:
-    """Learn from the rows of ``docs`` that have a text with letters and a language.
+def sampled_bags(docs: DataFrame, text: str, lang: str, per_language: int) -> tuple[np.ndarray, Bags]:
+    """The language of each row, and the rows: the trigrams of sampled texts and of short runs of their words."""
 
-    The machines see ``per_language`` different texts of each language, picked by
-    a hash of the text: the one bound of the operator. Copies of a text count once. More than
-    ``max_languages`` different values raise, as the sample is fitted on the driver.
-    """
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 1):
-            languages, bags, sizes = [], [], []
-            for language, row in zip(batch.column(0).to_pylist(), utf8_rows(batch.column(1))):
+        for batch in small_batches(batches, 2):
+            found = []
+            for language, key, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8_rows(batch.column(2))):
                 words = row.split()
                 at = np.random.Generator(np.random.PCG64(len(row))).integers(0, max(1, len(words) - RUN_WORDS), RUNS)
-                for part in (row, *(b" ".join(words[i : i + RUN_WORDS]) for i in at)):
+                for k, part in enumerate((row, *(b" ".join(words[i : i + RUN_WORDS]) for i in at))):
                     grams, counts = np.unique(trigrams(part), return_counts=True)
                     if has_letter(part) and len(grams):
-                        languages.append(language)
-                        bags.append(grams)
-                        sizes.append(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(languages, pa.string()), pa.array(bags, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64()))],
-                ["lang", "grams", "counts"],
-            )
+                        found.append((language, key, k, grams.astype(np.int16), (counts / counts.sum()).astype(np.float32)))
+            types = (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int16()), pa.list_(pa.float32()))
+            columns = zip(*found) if found else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], _BAG_COLUMNS)
 
-    sample = sample_contents(docs, lang, text, per_language).select("label", "content")
-    bags = sample.mapInArrow(featurise, "lang string, grams array<long>, counts array<long>").toArrow()
+    sample = sample_contents(docs, lang, text, per_language).select(F.col("label").cast("string"), "key", "content")
+    got = sample.mapInArrow(featurise, _BAG_SCHEMA).toArrow()
     # The order in which rows arrive is free; the fit must not depend on it.
-    rows = sorted(zip(*(bags.column(i).to_pylist() for i in range(3))))
-    languages = sorted({row[0] for row in rows})
-    if len(languages) > max_languages:
-        raise ValueError(f"{len(languages)} languages; max_languages is {max_languages}")
-    features = np.zeros((len(rows), DIMENSIONS), np.float32)
-    for i, (_, grams, counts) in enumerate(rows):
-        features[i, grams] = counts
-        features[i] /= features[i].sum()
-    # Rare trigrams tell as much as frequent ones once divided by their spread.
-    scale = 1 / np.sqrt(features.mean(axis=0) + 1e-5) if rows else np.ones(DIMENSIONS)
-    features *= scale.astype(np.float32)
+    got = got.sort_by([(c, "ascending") for c in _BAG_COLUMNS[:3]])
+    sizes = pc.list_value_length(got.column("grams")).to_numpy().astype(np.int64)
+    grams, values = (pc.list_flatten(got.column(c)).to_numpy() for c in _BAG_COLUMNS[3:])
+    given = np.array(got.column("lang").to_pylist(), object)
+    return given, Bags(grams, values, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
 
-    given = np.array([row[0] for row in rows], object)
+
+_BAG_COLUMNS = ["lang", "key", "part", "grams", "shares"]
+_BAG_SCHEMA = "lang string, key long, part int, grams array<short>, shares array<float>"
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300) -> LanguageModel:
+    """Learn from the rows of ``docs`` that have a text with letters and a language.
+
+    The machines see ``per_language`` different texts of each language, picked by
+    a hash of the text: the one bound of the operator. Copies of a text count once.
+    There may be any number of languages: the sample grows in proportion to
+    it, and each machine is fitted in a Spark task of its own.
+    """
+    given, bags = sampled_bags(docs, text, lang, per_language)
+    # Rare trigrams tell as much as frequent ones once divided by their spread.
+    means = np.bincount(bags.grams, bags.values, DIMENSIONS) / max(1, len(given))
+    scale = 1 / np.sqrt(means + 1e-5)
+    bags = Bags(bags.grams, bags.values * scale.astype(np.float32)[bags.grams], bags.begins)
+    languages, numbers = np.unique(given.astype(str), return_inverse=True)
+    languages = languages.tolist()
     families: dict[str, list[str]] = {}
     for language in languages:
         families.setdefault(FAMILY_OF.get(language.lower(), language), []).append(language)
 
-    def machine(rows: np.ndarray, positive: np.ndarray) -> Machine:
-        found = fit_machine(features[rows], positive[rows])
-        return Machine(found.weights * scale, found.bias)
-
-    everything = np.arange(len(rows))
-    by_family = {}
+    # What is positive and what negative for each machine; None is the rest.
+    number_of = {language: i for i, language in enumerate(languages)}
+    sides: dict[str | tuple[str, str], tuple[list[int], list[int] | None]] = {}
     if len(families) > 1:
-        by_family = {f: machine(everything, np.isin(given, members)) for f, members in families.items()}
-    by_pair = {
-        (a, b): machine(np.flatnonzero((given == a) | (given == b)), given == a)
-        for members in families.values()
-        for a, b in itertools.combinations(members, 2)
-    }
-    return LanguageModel(families, by_family, by_pair)
+        sides = {f: ([number_of[m] for m in members], None) for f, members in families.items()}
+    for members in families.values():
+        sides |= {(a, b): ([number_of[a]], [number_of[b]]) for a, b in itertools.combinations(members, 2)}
+    machines = dict(zip(sides, _fit_machines(docs, bags, numbers, list(sides.values()), scale)))
+    return LanguageModel(
+        families,
+        {k: m for k, m in machines.items() if isinstance(k, str)},
+        {k: m for k, m in machines.items() if not isinstance(k, str)},
+    )
+
+
+def _fit_machines(docs: DataFrame, bags: Bags, numbers: np.ndarray, sides: list[tuple], scale: np.ndarray) -> list[Machine]:
+    """One task per machine; the sample goes to the executors once."""
+    if not sides:
+        return []
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((bags, numbers, sides, scale))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags, numbers, sides, scale = shared.value
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                positive, negative = sides[k]
+                is_positive = np.isin(numbers, positive)
+                rows = np.arange(len(numbers)) if negative is None else np.flatnonzero(is_positive | np.isin(numbers, negative))
+                found = fit_machine(bags, rows, is_positive[rows])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int64()), pa.array([found.weights * scale], pa.list_(pa.float64())), pa.array([found.bias])],
+                    ["machine", "weights", "bias"],
+                )
+
+    tasks = spark.range(0, len(sides), 1, len(sides))
+    got = tasks.mapInArrow(run, "machine long, weights array<double>, bias double").toArrow().sort_by("machine")
+    shared.destroy()
+    weights = pc.list_flatten(got.column("weights")).to_numpy().reshape(-1, DIMENSIONS)
+    return [Machine(w, b) for w, b in zip(weights, got.column("bias").to_pylist())]
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, text: str = "text") -> DataFrame:
@@ -230,9 +278,9 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None
             for i, row in enumerate(rows):
                 grams = trigrams(row)
                 if len(grams):
-                    # In pieces, so that a long text takes no more memory.
-                    parts = (weights[grams[a : a + 65536]].sum(axis=0, dtype=np.float64) for a in range(0, len(grams), 65536))
-                    margins[i] += (sum(parts) / len(grams)).astype(np.float32)
+                    # By different trigrams, so that neither a long text nor many machines take more memory.
+                    shares = np.bincount(grams, minlength=DIMENSIONS) / len(grams)
+                    margins[i] += shares.astype(np.float32) @ weights
             languages, score = known.decide(margins)
             lettered = np.array([has_letter(row) for row in rows], bool)
             languages = [name if ok else UNKNOWN for name, ok in zip(languages, lettered)]
