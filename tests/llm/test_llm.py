@@ -183,6 +183,32 @@ def test_blocks_of_other_markup():
     assert [b.text for b in html_blocks.leaf_blocks(page)] == ["A", "b", "c d", "e", "f", "i"]
 
 
+def test_article_text_in_figures_and_under_compound_names(spark):
+    prose = "Und ein langer Satz, der nichts Besonderes sagt, aber zum Text gehört. Noch einer folgt ihm, wie es sich gehört."
+    kept = [
+        "<h1>Die Überschrift</h1>", f"<p>{prose}</p>", "<h2 class='section-header'>Ein Abschnitt</h2>", f"<p>{prose}</p>",
+        "<figure><img src=a.png><figcaption>Abbildung 1: was man hier sieht.</figcaption></figure>", f"<p>{prose}</p>",
+        "<figure class='wide'><table><caption>Tabelle 1</caption><tr><td>eins<td>zwei</table></figure>",
+        "<figure><pre>x = f(y)</pre></figure>", "<figure><blockquote><p>Ein Zitat, das im Text steht.</p></blockquote></figure>",
+        "<h3 id=search-methods>Suchen</h3>", f"<p>{prose}</p>", "<h3 class=header>Schluss</h3>", f"<p class='text-social'>{prose}</p>",
+    ]
+    page = (
+        "<html><body class='with-sidebar'><nav><ul><li><a href=/a>a</a></li><li><a href=/b>b</a></li></ul></nav><div class=ad>Kaufen Sie.</div><article>"
+        + "".join(kept) + "<div class='comments'><p>Ein Kommentar.</p><figure>Bild</figure></div><p class='cookie-notice'>Cookies.</p></article><footer>Fuß</footer></body></html>"
+    )
+    blocks = html_blocks.leaf_blocks(page)
+    wanted = [b.text for piece in kept for b in html_blocks.leaf_blocks(piece)]
+    assert [b.text for b in blocks if html_blocks.markup_label(b.path)] == wanted
+    pages = table(spark, "pages", "sf0.01")
+    weights = html_blocks.fit(pages)
+    (p,) = html_blocks.probabilities([html_blocks.encode_page(blocks)], weights)
+    missed = [(b.text, round(float(x), 2)) for b, x in zip(blocks, p) if b.text in wanted and x < 0.5]
+    assert not missed
+    assert not any(x >= 0.5 for b, x in zip(blocks, p) if b.text in ("a", "b", "Kaufen Sie.", "Ein Kommentar.", "Fuß"))
+    for row in html_blocks.extract(pages, weights).collect():
+        assert row.text == "\n".join(b.text for b in html_blocks.leaf_blocks(row.html) if html_blocks.markup_label(b.path))
+
+
 # 4
 
 

@@ -38,7 +38,7 @@ CLOSES = {
 BARRIERS = frozenset("table ul ol dl div section article main body td th".split())
 
 # Words in tags, classes, ids and roles that mark the surroundings of the main text, and the main text.
-AROUND_TAGS = frozenset("nav header footer aside form button select textarea menu dialog figure fieldset".split())
+AROUND_TAGS = frozenset("nav header footer aside form button select textarea menu dialog fieldset".split())
 AROUND_WORDS = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent "
     "disclaimer footer header login masthead menu nav navbar navigation newsletter notice notification pagination "
@@ -46,6 +46,10 @@ AROUND_WORDS = frozenset(
     "sponsored subscribe tags toolbar widget complementary contentinfo search".split()
 )
 MAIN_TAGS = frozenset({"article", "main"})
+PAGE_TAGS = frozenset({"html", "body"})
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Tags that hold a piece of text rather than a part of the page.
+LEAF_TAGS = INLINE | HEADINGS | frozenset("p pre blockquote li dt dd tr td th caption figcaption figure summary".split())
 MAIN_WORDS = frozenset("article articlebody content entry main post story body text".split())
 
 _TOKEN = re.compile(
@@ -60,16 +64,27 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|dis
 
 @dataclass(frozen=True)
 class Block:
-    path: tuple[str, ...]  # tag names and attribute words, outermost first
+    path: tuple[str, ...]  # tag names and attribute words (after a dot or colon, see _path_words), outermost first
     text: str
     linked: int  # characters inside links
 
 
 def _path_words(tag: str, attributes: str) -> tuple[str, ...]:
+    """The tag, and the words of its class, id and role.
+
+    Words after a dot tell what part of the page the element is. Those after a
+    colon hardly do: the words of the whole page, those of compound names on
+    leaf tags (``section-header``; but ``cookie-notice``, all of whose words mark
+    surroundings, has dots), and ``header`` on a heading.
+    """
     words = []
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
-        words += [f".{w}" for w in _NAME_WORD.findall(value.lower())]
+        for one in value.lower().split():
+            parts = _NAME_WORD.findall(one)
+            compound = len(parts) > 1 and not AROUND_WORDS.issuperset(parts)
+            weak = tag in PAGE_TAGS or (tag in LEAF_TAGS and compound) or (tag in HEADINGS and parts == ["header"])
+            words += [f"{':' if weak else '.'}{w}" for w in parts]
     return (tag, *words)
 
 
@@ -138,10 +153,23 @@ def leaf_blocks(page: str) -> list[Block]:
 
 
 def markup_label(path: tuple[str, ...]) -> bool:
-    """Whether the markup says main text: inside an article and not inside anything around it."""
-    main = any(w in MAIN_TAGS or (w[0] == "." and w[1:] in MAIN_WORDS) for w in path)
-    around = any(w in AROUND_TAGS or (w[0] == "." and w[1:] in AROUND_WORDS) for w in path)
-    return main and not around
+    """Whether the markup says main text: inside an article and not inside anything around it.
+
+    Inside an article, words after a colon do not tell of surroundings; those of html and body nowhere do.
+    """
+    main = inside = False
+    tag = ""
+    for w in path:
+        if w[0] not in ".:":
+            tag, inside = w, main
+            main = main or w in MAIN_TAGS
+            if w in AROUND_TAGS:
+                return False
+        else:
+            main = main or w[1:] in MAIN_WORDS
+            if w[1:] in AROUND_WORDS and (w[0] == "." or not (inside or tag in PAGE_TAGS)):
+                return False
+    return main
 
 
 PATH_SIZE, WORD_SIZE = 1024, 4096
@@ -315,9 +343,12 @@ _AROUND = (
     ("section", ".comments"), ("div", ".comments"), ("div", ".comment"), ("ol", ".comment", ".list"), ("form",),
     ("form", ".newsletter"), ("div", ".share"), ("div", ".social"), ("div", ".related"), ("div", ".promo"), ("ul", ".menu"),
     ("div", ".footer"), ("div", ".header"), ("div", ".nav"), ("section", ".related"), ("div", ".popup"), ("div", ".subscribe"),
-    ("div", ".breadcrumb"), ("div", ".login"), ("div", ".widget"), ("figure",), ("button",), ("dialog",), ("label", ".search"),
+    ("div", ".breadcrumb"), ("div", ".login"), ("div", ".widget"), ("button",), ("dialog",), ("label", ".search"),
 )
 _HOLDS = (("article",), ("main",), ("div", ".content"), ("div", ".post"), ("section", ".story"), ("div", ".entry", ".content"), ("div", ".article", ".body"))
+# What says nothing about a block: figures of all kinds, and compound names with a word that elsewhere marks surroundings.
+_FIGURES = (("figure",), ("figure", "figcaption"), ("figure", "pre"), ("figure", "blockquote", "p"), ("figure", "table", "tr", "td"), ("figure", "table", "caption"))
+_COMPOUND = ("section", "title", "block", "part", "text", "chapter", "my")
 _LEAVES = ("p", "div", "li", "span", "h2", "h3", "td", "blockquote", "pre")
 
 
@@ -325,6 +356,17 @@ def _altered(blocks: list[Block], labels: np.ndarray, spare: list[Block], rng: n
     """A copy of a page with another main container and with blocks put around, between and below the main text."""
     holder = _HOLDS[rng.integers(len(_HOLDS))]
     out, wanted = [], []
+    around_words = sorted(AROUND_WORDS)
+
+    def neutral(path: tuple[str, ...]) -> tuple[str, ...]:
+        chance = rng.random()
+        if chance < 0.1:
+            return (*path[:-1], *_FIGURES[rng.integers(len(_FIGURES))])
+        if chance < 0.2:
+            leaf = ("h2", "h3", "p", "td", "span")[rng.integers(5)]
+            names = (_COMPOUND[rng.integers(len(_COMPOUND))], around_words[rng.integers(len(around_words))])
+            return (*path[:-1], leaf, *(f":{w}" for w in names))
+        return path
 
     def surroundings(inside: bool) -> None:
         container = _AROUND[rng.integers(len(_AROUND))]
@@ -332,7 +374,7 @@ def _altered(blocks: list[Block], labels: np.ndarray, spare: list[Block], rng: n
         for _ in range(int(rng.integers(1, 5))):
             block = spare[rng.integers(len(spare))]
             leaf = _LEAVES[rng.integers(len(_LEAVES))]
-            out.append(Block((*above, leaf), block.text, len(block.text) if rng.random() < 0.3 else 0))
+            out.append(Block(neutral((*above, leaf)), block.text, len(block.text) if rng.random() < 0.3 else 0))
             wanted.append(False)
 
     for block, main in zip(blocks, labels):
@@ -343,6 +385,7 @@ def _altered(blocks: list[Block], labels: np.ndarray, spare: list[Block], rng: n
             path = ("html", "body", *holder, *(w for w in path if w not in ("html", "body", "article", "main")))
             if rng.random() < 0.1:
                 path = (*path[:-1], _LEAVES[rng.integers(len(_LEAVES))])
+            path = neutral(path)
         out.append(replace(block, path=path))
         wanted.append(bool(main))
     for _ in range(int(rng.integers(0, 3))):
