@@ -330,6 +330,23 @@ def test_toxicity(spark, odd, none):
     assert {r.predicted for r in toxicity.score(odd, untaught).collect()} == {0} and toxicity.score(none, field).count() == 0
 
 
+def test_sizes_are_judged_before_the_sample(spark, monkeypatch):
+    """Long texts take no place in the sample from the short ones."""
+    rows = [(i, "a long bad text " * 500) for i in range(40)] + [(100 + i, f"a short bad text {i}") for i in range(10)]
+    rows += [(200 + i, f"a fine text {i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") < 200).cast("int").alias("toxic"))
+    seen = []
+    telling_features = toxicity.telling_features
+    monkeypatch.setattr(toxicity, "telling_features", lambda x, at, toxic: (seen.append((toxic.sum(), len(x))), telling_features(x, at, toxic))[1])
+    toxicity.fit(docs, labels, per_class=10, most_bytes=100)
+    assert seen[0][0] == 10 and seen[0][1] < 1000
+    toxicity.fit(docs, labels, per_class=1000, most_bytes=1 << 20)
+    assert seen[1][0] == 50
+    page = spark.createDataFrame([("<article><p>" + "Viel Text. " * 100 + "</article>",)], "html string")
+    assert html_blocks.fit(page, most_bytes=100, rounds=1) is None and html_blocks.fit(page, rounds=1) is not None
+
+
 def test_marginals_by_enumeration():
     rng = np.random.default_rng(2)
     field = toxicity.Field(np.zeros(1), 0.0, 0.3, rng.random((2, 2)) + 0.1)

@@ -172,6 +172,8 @@ def markup_label(path: tuple[str, ...]) -> bool:
     return main
 
 
+# Pages above this size are not learned from unless ``fit`` is told otherwise; text is taken from them like from all others.
+MOST_LEARNED_BYTES = 200_000
 PATH_SIZE, WORD_SIZE = 1024, 4096
 PATH_WIDTH, WORD_WIDTH, MEASURES = 24, 12, 8
 HIDDEN = 16
@@ -393,13 +395,16 @@ def _altered(blocks: list[Block], labels: np.ndarray, spare: list[Block], rng: n
     return out, np.array(wanted, bool)
 
 
-def fit(pages: DataFrame, page: str = "html", most_pages: int = 200, rounds: int = 6) -> Weights | None:
-    """Train on the blocks of ``most_pages`` different pages, picked by a hash: the one bound of the operator.
+def fit(
+    pages: DataFrame, page: str = "html", most_pages: int = 200, rounds: int = 6, most_bytes: int = MOST_LEARNED_BYTES
+) -> Weights | None:
+    """Train on the blocks of ``most_pages`` different pages, picked by a hash among those of at most ``most_bytes``.
 
+    These are the bounds of the operator, and of what is learned from alone.
     Copies of a page count once. Pages whose markup names no main text are passed over. With none left the
     result is None, and ``extract`` goes by the markup.
     """
-    known = pages.where(F.octet_length(F.col(page)) <= 200_000).select(F.col(page).alias("html"), F.lit(0).alias("all"))
+    known = pages.where(F.octet_length(F.col(page)) <= most_bytes).select(F.col(page).alias("html"), F.lit(0).alias("all"))
     rows = sample_contents(known, "all", "html", most_pages).select(F.col("content").alias("html")).collect()
     rng = np.random.Generator(np.random.PCG64(11))
     examples: list[tuple[list[Block], np.ndarray]] = []

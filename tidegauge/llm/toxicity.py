@@ -33,7 +33,7 @@ TOKEN_TABLE = separator_table(bytes(b for b in range(128) if not chr(b).isalnum(
 PREFIXES = (4, 5, 6)
 FEATURE_BITS = 20
 KINDS = 1 + len(PREFIXES)
-# Texts above this size are not learned from; they are scored like all others.
+# Texts above this size are not learned from unless ``fit`` is told otherwise; they are scored like all others.
 MOST_LEARNED_BYTES = 200_000
 # Tokens on either side of a marked one that the field learns from.
 CONTEXT = 10
@@ -211,19 +211,28 @@ def calibrate(field: Field, most: np.ndarray, toxic: np.ndarray, prior: float) -
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", per_class: int = 800
+    docs: DataFrame,
+    labels: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    label: str = "toxic",
+    per_class: int = 800,
+    most_bytes: int = MOST_LEARNED_BYTES,
 ) -> Field:
     """Learn from ``labels`` (doc_id, label 0 or 1) and the texts of those ids.
 
     The field sees about ``per_class`` documents of each label, picked by a
-    hash of the id: the one bound of the operator. NULL ids and labels are
+    hash of the id among those with a text of at most ``most_bytes``: the
+    bounds of the operator, and of what is learned from alone. NULL ids and labels are
     passed over; of labels that contradict each other the higher counts.
-    Without a toxic or without a clean text every score is the share of toxic labels.
+    Without a toxic or without a clean text of that size every score is the share of toxic labels.
     """
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull())
     known = known.groupBy(F.col(doc_id).cast("long").alias("_id")).agg((F.max(label) > 0).cast("int").alias("_toxic"))
     known = staged(known, "labels")
-    sample = staged(sample_classes(known, "_toxic", per_class, "_id"), "sample")
+    short = docs.where(F.octet_length(F.col(text)) <= most_bytes)
+    learnable = staged(known.join(short.select(F.col(doc_id).cast("long").alias("_id")).distinct(), "_id", "left_semi"), "learnable")
+    sample = staged(sample_classes(learnable, "_toxic", per_class, "_id"), "sample")
     shares = dict(known.groupBy("_toxic").count().collect())
     prior = shares.get(1, 0) / max(1, sum(shares.values()))
 
@@ -236,7 +245,6 @@ def fit(
                 [batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.int32()))], ["doc_id", "toxic", "features"]
             )
 
-    short = docs.where(F.octet_length(F.col(text)) <= MOST_LEARNED_BYTES)
     given = short.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
     given = given.join(sample, "_id").select("_id", "_toxic", "_text")
     got = given.mapInArrow(featurise, "doc_id long, toxic int, features array<int>").toArrow().sort_by("doc_id")
