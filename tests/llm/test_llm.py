@@ -229,6 +229,25 @@ def test_interpolation(spark, odd, none):
     assert interpolation.score(none, F.lit(True), F.lit(False)).count() == 0
 
 
+def test_order_three(spark):
+    """What follows "and" depends on the word before it, which only order 3 sees."""
+    rng = np.random.default_rng(6)
+    ways = ("one and left", "two and right", "six and up", "ten and down")
+    rows = [(i, " ".join(rng.choice(ways, 30))) for i in range(60)] + [(None, "one and left"), (60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {
+        order: sorted(interpolation.score(docs, common.outside_fold(1), common.in_fold(2, folds=7), order).collect(), key=str)
+        for order in (1, 2, 3)
+    }
+    fixed = {order: Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows) for order, rows in got.items()}
+    assert fixed[1] == fixed[2] == fixed[3] and len(got[3]) == len(rows)
+    unseen = {order: sum(r.score for r in rows if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 1) for order, rows in got.items()}
+    words = sum(r.n_tokens for r in got[3] if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
+    # Of three words two are free (the first of a way, and its last as seen from "and") at order 2, one at order 3.
+    assert unseen[1] < unseen[2] < unseen[3] and unseen[3] - unseen[2] > 0.5 * np.log10(4) * words / 3
+    assert all(r.score <= 0 for r in got[3])
+
+
 def test_weights_are_the_likeliest():
     tally = np.array([[1, 16, 30], [1, -8, 50], [1, interpolation._ZERO, 20]], float)
     ratio = np.array([4.0, 0.5, 0.0])
