@@ -491,7 +491,7 @@ def test_host_rules(spark, odd, none):
 @pytest.mark.parametrize("name", queries.oracle_sql())
 def test_matches_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         db.execute(f"create view {t} as select * from '{DATA / 'sf0.01' / t}.parquet'")
     df = queries.queries()[name](spark, str(DATA / "sf0.01"))
     want = db.sql(queries.oracle_sql()[name])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,12 @@ def with_fields(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def carried(columns: Sequence[str]) -> Column:
+    """Columns of the caller as one struct, so that no name used beside them can clash with theirs."""
+    named = [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in columns]
+    return F.struct(*named) if named else F.struct(F.lit(0).alias("none"))
+
+
 def sample_classes(df: DataFrame, label: str, per_class: int, key: str) -> DataFrame:
     """About ``per_class`` rows of each value of ``label``, picked by a hash of ``key``."""
     rate = {row[0]: min(1.0, per_class / row[1]) for row in df.groupBy(label).count().collect()}

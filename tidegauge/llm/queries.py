@@ -12,14 +12,17 @@ from tidegauge.llm import (
     chat,
     common,
     decontaminate,
+    filter_audit,
     host_rules,
     html_blocks,
     interpolation,
     language,
     mixing,
     simhash,
+    token_counts,
     tokens,
     toxicity,
+    whitening,
 )
 from tidegauge.sources import scratch
 
@@ -91,10 +94,25 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shortcut = token_counts.prove(public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), shortcut, keep=["doc_id"])
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors), keep=["vec_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
         op1_token_ids, op2_chat, op3_html, op4_interpolation, op5_language,
         op6_mixing, op7_toxicity, op8_simhash, op9_decontamination, op10_host_rules,
+        op11_filter_audit, op12_token_counts, op13_whitening,
     )
     return {query.__name__: query for query in listed}
 
@@ -148,6 +166,39 @@ _DECONTAMINATION_SQL = r"""
 """
 
 
+_FILTER_AUDIT_SQL = r"""
+    with judged as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+    given as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+    worded as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, min(doc_id) over (partition by t) as smallest from given),
+    failing as (
+        select doc_id, part, (len(ws) < 200)::int + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::int
+               + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t))::int
+               + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > smallest, false)::int as pattern
+        from worded),
+    counted as (select part, pattern, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic
+                from failing left join judged using (doc_id) group by part, pattern),
+    letters(l, b) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+    orders as (select a.l || b.l || c.l || d.l || e.l as filter_order, [a.b, b.b, c.b, d.b, e.b] as bits
+               from letters a, letters b, letters c, letters d, letters e where bit_count(a.b | b.b | c.b | d.b | e.b) = 5),
+    steps as (select filter_order, step::int as step, bits[step] as own, coalesce(list_sum(bits[1:step - 1]), 0)::int as before
+              from (select *, unnest(range(1, 6)) as step from orders)),
+    found as (
+        select part, filter_order, step, own,
+               coalesce(sum(n) filter (where pattern & (before | own) = 0), 0)::bigint as kept,
+               coalesce(sum(n) filter (where pattern & before = 0 and pattern & own > 0), 0)::bigint as removed,
+               coalesce(sum(n) filter (where pattern & before > 0 and pattern & own > 0), 0)::bigint as redundant,
+               coalesce(sum(n) filter (where pattern = own), 0)::bigint as unique_fails,
+               coalesce(sum(good) filter (where pattern & before = 0 and pattern & own > 0), 0)::bigint as good_lost,
+               coalesce(sum(toxic) filter (where pattern & before = 0 and pattern & own > 0), 0)::bigint as toxic_lost
+        from counted, steps group by all)
+    select * exclude (own), sum(removed) over (partition by part, own)::bigint as shapley from found
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that need neither a trained model nor a tokenizer nor a hash function of their own."""
-    return {"op9_decontamination": _DECONTAMINATION_SQL, "op10_host_rules": _HOST_RULES_SQL}
+    return {
+        "op9_decontamination": _DECONTAMINATION_SQL,
+        "op10_host_rules": _HOST_RULES_SQL,
+        "op11_filter_audit": _FILTER_AUDIT_SQL,
+    }
