@@ -30,3 +30,25 @@ def shuffled_rows(df) -> int:
             children = node.children()
             nodes += [children.apply(i) for i in range(children.size())]
     return written
+
+
+def scan_metrics(df) -> dict[str, int]:
+    """Run the query; what its file scans read, added up: numFiles, numOutputRows and so on."""
+    df.collect()
+    found, nodes = {}, [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        elif name == "FileSourceScanExec":
+            metrics = node.metrics()
+            for key in ("numFiles", "numOutputRows", "numPartitions"):
+                if metrics.contains(key):
+                    found[key] = found.get(key, 0) + metrics.apply(key).value()
+        else:
+            children = node.children()
+            nodes += [children.apply(i) for i in range(children.size())]
+    return found

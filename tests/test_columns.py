@@ -220,3 +220,17 @@ def test_utc_stamp(spark, setting, zone):
 def test_text_of_a_null_is_null(spark):
     row = spark.createDataFrame([(None,)], "t timestamp").select(fn.utc_stamp("t"), fn.format_date("t")).first()
     assert row == Row(None, None)
+
+
+def test_a_field_is_read_after_its_struct_was_cast(spark):
+    """Rules apply in order whether they share a call or not, for paths into structs too."""
+    from tidegauge.operators import cast_columns
+    from tidegauge.schema import CastRule
+
+    df = spark.createDataFrame([(("12.9", ("7.5",)), "x")], "s struct<b:string,c:struct<d:string>>, `s.e` string")
+    rules = [CastRule("s", "s", "struct<b:int,c:struct<d:int>>"), CastRule("s.b", "t", "string"), CastRule("s.c.d", "u", "string"), CastRule("s.e", "v", "string")]
+    once = cast_columns(df, rules).select("t", "u", "v").first()
+    apart = df
+    for rule in rules:
+        apart = cast_columns(apart, [rule])
+    assert tuple(once) == tuple(apart.select("t", "u", "v").first()) == ("12", "7", "x")

@@ -195,3 +195,31 @@ def test_history_keeps_every_run(spark, sample, tmp_path):
     assert not verdicts["tuesday"].passed
     assert verdicts["tuesday"].issues == ["Duplicate ratio 0.4000 exceeds threshold", ROW_WARNING % 5]
     assert verdicts["tuesday"].null_ratios == {"humidity": 0.0}
+
+
+def test_a_run_tried_again_replaces_itself(spark, tmp_path):
+    from tidegauge.operators import record_run, recorded_runs
+
+    at = Location(str(tmp_path))
+    good = spark.createDataFrame([(i, 1.0) for i in range(200)], "k int, a double")
+    bad = spark.createDataFrame([(1, None)] * 3, "k int, a double")
+    for run, df, columns in (("001", good, ["a"]), ("2024-01-02", bad, ["a"]), ("x/y=z", bad, []), ("2024-01-02", good, ["a"])):
+        record_run(quality_report(df, ["k"], columns), at, "runs", run, datetime(2024, 1, 1))
+    runs = recorded_runs(spark, at, "runs")
+    assert runs.groupBy("run_id").count().collect() and runs.schema["run_id"].dataType.simpleString() == "string"
+    got = {r.run_id: (r.passed, r.row_count) for r in quality_verdict(runs, by=["run_id"]).collect()}
+    assert got == {"001": (True, 200), "2024-01-02": (True, 200), "x/y=z": (False, 3)}
+    with pytest.raises(ValueError):
+        record_run(quality_report(good, ["k"], []), at, "runs", "")
+
+
+def test_unreadable_lines_are_a_check(spark):
+    from tidegauge.operators import unreadable_check
+
+    lines = spark.createDataFrame([(i > 0,) for i in range(4)], "readable boolean")
+    report = quality_report(spark.range(200).toDF("k"), ["k"], ["k"]).unionByName(unreadable_check(lines, 4))
+    verdict = quality_verdict(report).first()
+    assert not verdict.passed and verdict.issues == ["Unreadable line ratio 0.2500 exceeds threshold"]
+    allowed = unreadable_check(lines, 4, thresholds=Thresholds(unreadable_ratio_max=0.25)).first()
+    assert not allowed.violated and allowed.value == 0.25
+    assert unreadable_check(lines.limit(0), 4).first().value == 0.0

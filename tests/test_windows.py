@@ -98,3 +98,93 @@ def test_alert_needs_more_than_the_limit(spark):
     )
     got = downstream_rollup(df, fixtures.TRIGGER, alert_above=25.0, by=["p"], metric="v")
     assert {(r.p, r.avg_temp, r.alert_status) for r in got.collect()} == {("a", 25.0, "NORMAL"), ("b", None, "NORMAL")}
+
+
+def many(spark, type_="timestamp_ntz", rows=3000):
+    """Readings of three days, a third of them at one moment, and triggers all over and beyond."""
+    moment = F.when(F.col("id") % 3 == 0, F.lit(777_777)).otherwise(F.pmod(F.xxhash64("id"), F.lit(3 * 86_400)))
+    time = F.timestamp_seconds(F.lit(1_704_067_200) + moment)
+    readings = spark.range(rows).select("id", time.cast(type_).alias("timestamp"), (F.col("id") % 4).alias("zone"), (F.col("id") * 0.1).alias("temperature"))
+    moment = F.timestamp_seconds(F.lit(1_704_067_200 - 3600) + F.col("id") * 9_173)
+    triggers = spark.range(40).select(moment.cast(type_).alias("trigger_time"), F.concat(F.lit("t"), "id").alias("name"))
+    return readings.union(readings.limit(1).select("id", F.lit(None).cast(type_), "zone", "temperature")), triggers
+
+
+def joined(readings, triggers, minutes):
+    """Every reading with every trigger, on the driver."""
+    left, right = readings.collect(), triggers.collect()
+    return [
+        (r, t) for t in right for r in left
+        if r.timestamp is not None and t.trigger_time - timedelta(minutes=minutes) <= r.timestamp < t.trigger_time
+    ]
+
+
+@pytest.mark.parametrize("type_", ["timestamp", "timestamp_ntz"])
+@pytest.mark.parametrize("split_rows", [100, 10**6])
+def test_many_triggers(spark, type_, split_rows):
+    from tidegauge.operators import trigger_windows
+
+    readings, triggers = many(spark, type_)
+    triggers = triggers.union(triggers.limit(2))
+    got = trigger_windows(readings, triggers, 700, split_rows=split_rows)
+    assert got.columns == ["id", "timestamp", "zone", "temperature", "trigger_time", "name", "duration_minutes"]
+    want = joined(readings, triggers, 700)
+    assert len(want) > 1000
+    assert sorted((r.id, r["name"], r.duration_minutes) for r in got.collect()) == sorted((r.id, t["name"], 700) for r, t in want)
+    assert "CartesianProduct" not in executed(got) and "NestedLoop" not in executed(got)
+
+
+def test_many_triggers_at_the_bounds(spark):
+    from tidegauge.operators import downstream_rollups, trigger_windows
+
+    start = datetime(2024, 1, 1)
+    times = [start + timedelta(minutes=m, microseconds=u) for m in (0, 59, 60, 61, 120) for u in (-1, 0, 1)]
+    readings = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(times)], "id long, timestamp timestamp_ntz, temperature double")
+    triggers = spark.createDataFrame([(start + timedelta(minutes=m),) for m in (60, 120, 121)] + [(None,)], "trigger_time timestamp_ntz")
+    for minutes in (0, 1, 7, 60, 61):
+        got = trigger_windows(readings, triggers, minutes)
+        want = joined(readings, triggers.where("trigger_time is not null"), minutes)
+        assert sorted((r.id, r.trigger_time) for r in got.collect()) == sorted((r.id, t.trigger_time) for r, t in want)
+        rollup = downstream_rollups(readings.withColumn("g", F.lit(1)), triggers, minutes, alert_above=0.5, by=["g"])
+        assert {r.trigger_time for r in rollup.collect()} == {t.trigger_time for _, t in want}
+    with pytest.raises(ValueError):
+        trigger_windows(readings, triggers, -1)
+    with pytest.raises(ValueError):
+        trigger_windows(readings.withColumn("trigger_time", F.lit(1)), triggers)
+    with pytest.raises(TypeError):
+        trigger_windows(readings.withColumn("timestamp", F.lit("x")), triggers)
+
+
+@pytest.mark.parametrize("type_", ["timestamp", "timestamp_ntz"])
+def test_many_rollups(spark, type_):
+    from tidegauge.operators import downstream_rollups
+
+    readings, triggers = many(spark, type_)
+    groups = {}
+    for r, t in joined(readings, triggers, 500):
+        groups.setdefault((t.trigger_time, r.zone), []).append(r.temperature)
+    for bin_minutes, split_rows in ((None, 10**6), (7, 50), (500, 10**6)):
+        got = downstream_rollups(
+            readings, triggers.union(triggers), 500, alert_above=150.0, by=["zone"], bin_minutes=bin_minutes, split_rows=split_rows
+        )
+        rows = {(r.trigger_time, r.zone): r for r in got.collect()}
+        assert rows.keys() == groups.keys()
+        for key, values in groups.items():
+            assert rows[key].avg_temp == pytest.approx(sum(values) / len(values), rel=1e-12)
+            assert rows[key].alert_status == ("WARNING" if rows[key].avg_temp > 150 else "NORMAL")
+            assert rows[key].window_minutes == 500
+
+
+def test_windows_over_a_clock_change(spark):
+    """Instants, not clock times, decide where a time has a zone."""
+    from tidegauge.operators import trigger_windows
+
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        readings = spark.range(300).select("id", F.timestamp_seconds(F.lit(1_729_987_200) + F.col("id") * 60).alias("timestamp"))
+        triggers = spark.range(10).select(F.timestamp_seconds(F.lit(1_729_987_200) + F.col("id") * 1777).alias("trigger_time"))
+        got = trigger_windows(readings, triggers, 90).select("id", F.unix_seconds("trigger_time").alias("t")).collect()
+        want = {(i, 1_729_987_200 + t * 1777) for t in range(10) for i in range(300) if t * 1777 - 5400 <= i * 60 < t * 1777}
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -12,8 +12,13 @@ from tidegauge.operators.quality import (
     quality_report,
     quality_result,
     quality_verdict,
+    record_run,
+    recorded_runs,
+    report_from_counts,
+    unreadable_check,
 )
-from tidegauge.operators.windows import downstream_rollup, trigger_window
+from tidegauge.operators.sketches import distinct_sketches, error_bound, store_sketches, stored_sketches, united
+from tidegauge.operators.windows import downstream_rollup, downstream_rollups, trigger_window, trigger_windows
 
 __all__ = [
     "QualityResult",
@@ -21,8 +26,11 @@ __all__ = [
     "append_history",
     "cast_columns",
     "distinct_keys",
+    "distinct_sketches",
     "downstream_rollup",
+    "downstream_rollups",
     "duplicate_ratio",
+    "error_bound",
     "grouped_summary",
     "newest_runs",
     "null_ratio",
@@ -30,6 +38,14 @@ __all__ = [
     "quality_report",
     "quality_result",
     "quality_verdict",
+    "record_run",
+    "recorded_runs",
+    "report_from_counts",
+    "store_sketches",
+    "stored_sketches",
     "summarize_readings",
     "trigger_window",
+    "trigger_windows",
+    "united",
+    "unreadable_check",
 ]

@@ -32,14 +32,16 @@ def cast_columns(df: DataFrame, rules: Iterable[CastRule], strict: bool = False)
         types.update({name: type_ for name, (_, _, type_) in made.items()})
         return df.withColumns({name: column for name, column, _ in made.values()})
 
+    def reads(source: str) -> set[str]:
+        """The columns a source may stem from: the one of that name, else the one its path begins with."""
+        return {source} if source in types or source in made else {source, *(name for name in made if source.startswith(f"{name}."))}
+
     for rule in rules:
         source = folded(rule.source)
-        if source in made:
+        if not made.keys().isdisjoint(reads(source)):
             df = applied()
             made = {}
-            column = df[f"`{rule.source}`"]
-        else:
-            column = df[rule.source] if source not in types else df[f"`{rule.source}`"]
+        column = df[f"`{rule.source}`"] if source in types else df[rule.source]
         # A field inside a struct is not in the list.
         source_type = types.get(source) or df.select(column).schema[0].dataType
         type_ = DataType.fromDDL(rule.type)

@@ -7,12 +7,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegauge.functions.keys import row_key
-from tidegauge.sources.files import write_parquet
+from tidegauge.sources.files import write_parquet, write_parts
 from tidegauge.sources.locations import Location
 
 # The names of the checks and the texts of the issues.
@@ -23,6 +23,11 @@ NULL_ISSUE = "Column '%s' null ratio %.4f exceeds threshold"
 DUPLICATE_ISSUE = "Duplicate ratio %.4f exceeds threshold"
 ROW_COUNT_ISSUE = "Row count %d below minimum threshold (warning)"
 
+# Checks of this library's own.
+UNREADABLE_RATIO = "unreadable_ratio"
+UNREADABLE_ISSUE = "Unreadable line ratio %.4f exceeds threshold"
+
+
 @dataclass(frozen=True)
 class Thresholds:
     """Limits; a ratio must exceed its limit, or the rows fall below theirs, to violate it."""
@@ -31,6 +36,7 @@ class Thresholds:
     null_ratio_max: float = 0.05
     duplicate_ratio_max: float = 0.01
     min_row_count: int = 100
+    unreadable_ratio_max: float = 0.0
 
 
 @dataclass(frozen=True)
@@ -136,6 +142,40 @@ def quality_report(
     return numbers.select(*(column.alias(name) for name, column in found.items()))
 
 
+def report_from_counts(
+    of_columns: DataFrame, of_keys: DataFrame, columns: Sequence[str], thresholds: Thresholds = Thresholds()
+) -> DataFrame:
+    """``quality_report`` out of counts: one row (row_count, filled_0, ...) and one (row_count, distinct_keys)."""
+    columns = _once(columns)
+    n = len(columns)
+    numbers = _numbers(of_columns, {i: f"filled_{i}" for i in range(n)} | {n + 1: "row_count"}).union(
+        _numbers(of_keys, {n: "distinct_keys"})
+    )
+    found = check_columns(F.col("at"), F.col("row_count"), F.col("number"), columns, thresholds)
+    return numbers.select(*(column.alias(name) for name, column in found.items()))
+
+
+def unreadable_check(
+    lines: DataFrame, position: int, readable: str = "readable", thresholds: Thresholds = Thresholds()
+) -> DataFrame:
+    """The share of unreadable lines as one more row of a report, from a table with one row per line.
+
+    Over a table that ``land_json`` made, ``readable`` is a folder, so counting reads no column.
+    """
+    limit = float(thresholds.unreadable_ratio_max)
+    totals = lines.agg(F.count("*").alias("rows"), F.count_if(~F.col(readable)).alias("bad"))
+    value = _share(F.col("bad"), F.col("rows"))
+    return totals.select(
+        F.lit(position).alias("position"),
+        F.lit(UNREADABLE_RATIO).alias("check_name"),
+        F.lit(None).cast("string").alias("column_name"),
+        value.alias("value"),
+        F.lit(limit).alias("threshold"),
+        F.lit("error").alias("severity"),
+        (value > limit).alias("violated"),
+    )
+
+
 def check_columns(
     at: Column, rows: Column, number: Column, columns: Sequence[str], thresholds: Thresholds
 ) -> dict[str, Column]:
@@ -172,10 +212,13 @@ def quality_verdict(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     per check. A history that may hold a run twice goes through ``newest_runs`` first.
     """
     check, value = F.col("check_name"), F.col("value")
-    is_null, is_duplicate, is_count = (check == n for n in (NULL_RATIO, DUPLICATE_RATIO, ROW_COUNT))
+    is_null, is_duplicate, is_count, is_unreadable = (
+        check == n for n in (NULL_RATIO, DUPLICATE_RATIO, ROW_COUNT, UNREADABLE_RATIO)
+    )
     text = (
         F.when(is_null, F.format_string(NULL_ISSUE, F.col("column_name"), value))
         .when(is_duplicate, F.format_string(DUPLICATE_ISSUE, value))
+        .when(is_unreadable, F.format_string(UNREADABLE_ISSUE, value))
         .otherwise(F.format_string(ROW_COUNT_ISSUE, value.cast("bigint")))
     )
     issue = F.when(F.col("violated"), F.struct("position", text.alias("text")))
@@ -223,3 +266,26 @@ def append_history(
     stamp = F.current_timestamp() if recorded_at is None else F.lit(recorded_at)
     stamped = report.withColumns({"run_id": F.lit(run_id), "recorded_at": stamp})
     write_parquet(stamped, at, key, mode="append")
+
+
+HISTORY_SCHEMA = (
+    "position int, check_name string, column_name string, value double, threshold double, "
+    "severity string, violated boolean, recorded_at timestamp, run_id string"
+)
+
+
+def record_run(report: DataFrame, at: Location, key: str, run_id: str, recorded_at: datetime | None = None) -> None:
+    """Put a report into the table of past runs, in the folder of its run.
+
+    A run that is tried again replaces what it recorded before and touches no
+    other run, so the table needs no clean-up by ``newest_runs`` when it is read.
+    """
+    if not run_id:
+        raise ValueError("a run needs an id")
+    stamp = F.current_timestamp() if recorded_at is None else F.lit(recorded_at)
+    write_parts(report.withColumns({"run_id": F.lit(run_id), "recorded_at": stamp.cast("timestamp")}), at, key, ["run_id"])
+
+
+def recorded_runs(spark: SparkSession, at: Location, key: str) -> DataFrame:
+    """The table of past runs. A filter on run_id reads the folders of the chosen runs alone."""
+    return spark.read.schema(HISTORY_SCHEMA).parquet(at.path(key))

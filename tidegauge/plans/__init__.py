@@ -1,6 +1,7 @@
 """Flows made of several operators."""
 
 from tidegauge.plans.catalog import schema_catalog
+from tidegauge.plans.daily import DailyStates
 from tidegauge.plans.sensor_job import SensorJob, sensor_job
 
-__all__ = ["SensorJob", "schema_catalog", "sensor_job"]
+__all__ = ["DailyStates", "SensorJob", "schema_catalog", "sensor_job"]

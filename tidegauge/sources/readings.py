@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions.casts import lenient_cast
+from tidegauge.functions.draws import normal_draw
 from tidegauge.schema import SENSOR_SCHEMA
 
 
@@ -29,11 +31,16 @@ def readings_view(df: DataFrame, columns: Mapping[str, str | Column]) -> DataFra
 
 
 def hourly_series(ids: DataFrame, id_column: str = "id", start: str = "2024-01-01 00:00:00", seed: int | None = None) -> DataFrame:
-    """One noise value per id: ``s_<id>``, a normal draw, and ``start`` plus id hours."""
+    """One noise value per id: ``s_<id>``, a normal draw, and ``start`` plus id hours.
+
+    The draw follows from the id and the seed alone, so it does not depend on
+    how the ids are partitioned. Without a seed each call has one of its own.
+    """
+    seed = secrets.randbits(63) if seed is None else seed
     hours = F.col(id_column) * F.expr("interval '1' hour")
     return ids.select(
         F.concat(F.lit("s_"), F.col(id_column).cast("string")).alias("sensor_id"),
-        F.randn(seed).alias("value"),
+        normal_draw(F.col(id_column), seed, "hourly").alias("value"),
         (F.lit(start).cast("timestamp_ntz") + hours).alias("timestamp"),
     )
 
