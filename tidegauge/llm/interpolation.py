@@ -34,14 +34,14 @@ COUNTED, HELD, UNSEEN = 0, 1, 2
 
 BLOCK_BYTES = 4 << 20
 # About so many words' n-grams meet in one task.
-RANGE_TOKENS = 2_000_000
+RANGE_TOKENS = 500_000
 # Steps per power of two in which likelihood ratios are tallied for the weights.
 RATIO_STEPS = 8
 _ZERO = -(1 << 20)
 
 _BLOCKS = "block long, held boolean, learned long, tokens long, doc_ids array<long>, roles array<int>, texts binary"
-_QUESTIONS = "part int, size int, block long, held boolean, keys binary, counted binary, extra binary"
-_ANSWERS = "part int, size int, block long, held boolean, vocabulary long, counted binary, extra binary"
+_QUESTIONS = "part int, size int, block long, held boolean, keys binary, counts binary"
+_ANSWERS = "part int, size int, block long, held boolean, vocabulary long, counted binary, everything binary"
 
 
 _TYPES = {
@@ -57,6 +57,24 @@ def _arrow_schema(ddl: str) -> pa.Schema:
 _BLOCKS_ARROW, _QUESTIONS_ARROW, _ANSWERS_ARROW = (_arrow_schema(s) for s in (_BLOCKS, _QUESTIONS, _ANSWERS))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs, all first bytes, then all second ones, and so on.
+
+    Bytes of like weight are alike, so they compress well where the numbers themselves do not.
+    """
+    most = int(values.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers of ``packed``, in the narrowest type that holds them."""
+    if not n:
+        return np.zeros(0, np.uint8)
+    width = len(data) // n
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, n).T).view(f"<u{width}").ravel()
+
+
 def _pack(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text, role) as blocks of texts in lower case, one per line. Held-out texts have blocks of their own."""
 
@@ -102,7 +120,11 @@ class Grams:
 
 
 def _grams(texts: bytes, documents: int, order: int) -> Grams:
-    """Each text is led by ``order`` - 1 begin marks and closed by an end mark."""
+    """Each text is led by ``order`` - 1 begin marks and closed by an end mark.
+
+    Only the n-grams that end in a token or right before a text's first one
+    are there: a context is seen as often as a token follows it.
+    """
     hashes, begins = hash_rows(texts.split(b"\n") if documents > 1 else [texts])
     lengths, lead = np.diff(begins), order - 1
     total = lengths + 1 + lead
@@ -117,12 +139,10 @@ def _grams(texts: bytes, documents: int, order: int) -> Grams:
     for size in range(1, order + 1):
         if size > 1:
             gram = np.concatenate([gram[:1], mix64(gram[:-1] * _STEP + tokens[1:])])
-        valid = within >= size - 1
+        valid = within >= max(size, lead) - 1
         out.keys[size], inverse = np.unique(gram[valid], return_inverse=True)
-        out.at[size] = np.zeros(len(tokens), np.int64)
+        out.at[size] = np.full(len(tokens), -1, np.int32)
         out.at[size][valid] = inverse.ravel()
-        if size > 1:
-            out.at[size][~valid] = -1
     return out
 
 
@@ -138,45 +158,64 @@ def _ask(blocks: DataFrame, order: int, parts: int) -> DataFrame:
             for row in range(batch.num_rows):
                 block, held, _, _, _, roles, texts = (batch.column(i)[row].as_py() for i in range(7))
                 grams = _grams(texts, len(roles), order)
-                role = np.array(roles)[grams.doc]
+                learned = np.array([r != UNSEEN for r in roles])[grams.doc]
                 for size, keys in grams.keys.items():
                     at = grams.at[size]
-                    counted, extra = (
-                        np.bincount(at[(role == r) & (at >= 0)], minlength=len(keys)).astype("<u4") for r in (COUNTED, HELD)
-                    )
+                    counts = np.bincount(at[learned & (at >= 0)], minlength=len(keys))
                     cut = _ranges(keys, parts)
                     some = np.flatnonzero(np.diff(cut))
-                    pieces = [(keys[cut[p] : cut[p + 1]], counted[cut[p] : cut[p + 1]], extra[cut[p] : cut[p + 1]]) for p in some]
                     n = len(some)
+                    pieces = [slice(cut[p], cut[p + 1]) for p in some]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(some, pa.int32()), pa.array([size] * n, pa.int32()), pa.array([block] * n, pa.int64()),
-                         pa.array([held] * n, pa.bool_()), *(pa.array([p[i].tobytes() for p in pieces], pa.binary()) for i in range(3))],
+                         pa.array([held] * n, pa.bool_()), pa.array([_key_bytes(keys[p]) for p in pieces], pa.binary()),
+                         pa.array([packed(counts[p]) for p in pieces], pa.binary())],
                         schema=_QUESTIONS_ARROW,
                     )
 
     return blocks.mapInArrow(run, _QUESTIONS)
 
 
-def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+def _key_bytes(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
 def _answer(asked: pa.Table) -> pa.Table:
-    """Add up the counts of one hash range and give every block the sums for its own n-grams."""
-    keys = _joined(asked.column("keys"), "<u8")
-    lengths = np.array([len(k) // 8 for k in asked.column("keys").to_pylist()])
+    """Add up the counts of one hash range and give every block the sums for its own n-grams.
+
+    A block of held-out texts is told the sums without and with such texts, any
+    other only the latter.
+    """
+    held = asked.column("held").to_pylist()
+    told = [k.as_buffer() for chunk in asked.column("keys").chunks for k in chunk]
+    lengths = [len(k) // 8 for k in told]
+    keys = np.empty(sum(lengths), np.uint64)
+    counts = [np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.uint32)]
+    start = 0
+    for own, n, is_held, c in zip(told, lengths, held, (c for chunk in asked.column("counts").chunks for c in chunk)):
+        keys[start : start + n] = np.ascontiguousarray(np.frombuffer(own, np.uint8).reshape(8, n).T).view("<u8").ravel()
+        counts[is_held][start : start + n] = unpacked(c.as_buffer(), n)
+        start += n
     unique, at = np.unique(keys, return_inverse=True)
-    sums = [np.bincount(at, _joined(asked.column(c), "<u4"), len(unique)).astype("<i8") for c in ("counted", "extra")]
+    del keys, told
+    at = at.ravel()
+    counted, extra = (np.bincount(at, c, len(unique)).astype(np.int64) for c in counts)
+    del counts
+    everything = counted + extra
     vocabulary = 0
     if asked.column("size")[0].as_py() == 1:
         begin = mix64(np.array([BEGIN]))[0]
-        vocabulary = int(((sums[0] + sums[1] > 0) & (unique != begin)).sum())
-    ends = np.cumsum(lengths)
-    told = [[s[at[e - n : e]].tobytes() for e, n in zip(ends, lengths)] for s in sums]
-    rows = asked.num_rows
+        vocabulary = int(((everything > 0) & (unique != begin)).sum())
+    del unique, extra
+    start, answers = 0, ([], [])
+    for n, is_held in zip(lengths, held):
+        own = at[start : start + n]
+        answers[0].append(packed(counted[own]) if is_held else b"")
+        answers[1].append(packed(everything[own]))
+        start += n
     return pa.table(
-        [*(asked.column(c) for c in ("part", "size", "block", "held")), pa.array([vocabulary] + [0] * (rows - 1), pa.int64()),
-         *(pa.array(t, pa.binary()) for t in told)],
+        [*(asked.column(c) for c in ("part", "size", "block", "held")), pa.array([vocabulary] + [0] * (len(held) - 1), pa.int64()),
+         *(pa.array(a, pa.binary()) for a in answers)],
         schema=_ANSWERS_ARROW,
     )
 
@@ -220,17 +259,13 @@ def _probability(grams: Grams, counts: dict[int, np.ndarray], model: Model, upto
     return p
 
 
-def _told(answers: pa.Table, order: int, extra: bool) -> dict[int, np.ndarray]:
-    """Counts per size, in the order of the block's keys; with ``extra`` those of held-out texts are added."""
-    rows = sorted(
-        zip(*(answers.column(c).to_pylist() for c in ("size", "part", "counted", "extra"))), key=lambda row: row[:2]
-    )
+def _told(answers: pa.Table, grams: Grams, column: str, parts: int) -> dict[int, np.ndarray]:
+    """Counts per size, in the order of the block's keys."""
+    rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("size", "part", column))), key=lambda row: row[:2])
     out = {}
-    for size in range(1, order + 1):
-        own = [row for row in rows if row[0] == size]
-        out[size] = np.frombuffer(b"".join(row[2] for row in own), "<i8").astype(np.int64)
-        if extra:
-            out[size] = out[size] + np.frombuffer(b"".join(row[3] for row in own), "<i8")
+    for size, keys in grams.keys.items():
+        lengths = np.diff(_ranges(keys, parts))
+        out[size] = np.concatenate([unpacked(data, lengths[part]) for own, part, data in rows if own == size] or [np.zeros(0)]).astype(np.int64)
     return out
 
 
@@ -258,7 +293,7 @@ def fit_weights(tally: np.ndarray, rounds: int = 100) -> np.ndarray:
     return weights
 
 
-def _learn(blocks: DataFrame, answers: DataFrame, model: Model, size: int) -> np.ndarray:
+def _learn(blocks: DataFrame, answers: DataFrame, model: Model, size: int, parts: int) -> np.ndarray:
     """The weights of one order from the held-out blocks, given those of the lower orders."""
     schema = pa.schema([("bucket", pa.int32()), ("step", pa.int32()), ("n", pa.int64())])
 
@@ -266,7 +301,7 @@ def _learn(blocks: DataFrame, answers: DataFrame, model: Model, size: int) -> np
         if not own.num_rows:
             return schema.empty_table()
         grams = _grams(own.column("texts")[0].as_py(), len(own.column("roles")[0]), model.order)
-        counts = _told(told, model.order, extra=False)
+        counts = _told(told, grams, "counted", parts)
         lower = _probability(grams, counts, model, size - 1)
         estimate, bucket = _estimates(grams, counts, size, model.tokens)
         step = np.full(len(lower), _ZERO, np.int64)
@@ -275,7 +310,7 @@ def _learn(blocks: DataFrame, answers: DataFrame, model: Model, size: int) -> np
         pairs, n = np.unique(np.stack([bucket, step], axis=1), axis=0, return_counts=True)
         return pa.table([pa.array(pairs[:, 0], pa.int32()), pa.array(pairs[:, 1], pa.int32()), pa.array(n, pa.int64())], schema=schema)
 
-    told = answers.where("held").select(F.col("block").alias("of"), "size", "part", "counted", "extra")
+    told = answers.where("held").select(F.col("block").alias("of"), "size", "part", "counted")
     tallied = (
         blocks.where("held").groupBy("block").cogroup(told.groupBy("of")).applyInArrow(run, "bucket int, step int, n long")
         .groupBy("bucket", "step").agg(F.sum("n").alias("n"))
@@ -311,7 +346,7 @@ def score(
 
     weights: dict[int, np.ndarray] = {}
     for size in range(1, order + 1):
-        weights[size] = _learn(blocks, answers, Model(order, counted, vocabulary, weights), size)
+        weights[size] = _learn(blocks, answers, Model(order, counted, vocabulary, weights), size, parts)
     model = Model(order, learned, vocabulary, weights)
 
     names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -323,7 +358,7 @@ def score(
             return schema.empty_table()
         ids = own.column("doc_ids")[0].as_py()
         grams = _grams(own.column("texts")[0].as_py(), len(ids), order)
-        counts = _told(told, order, extra=True)
+        counts = _told(told, grams, "everything", parts)
         doc = grams.doc[grams.real]
         count = counts[1][grams.at[1][grams.real]]
         base = np.log10((count + 0.5) / (learned + 0.5 * (vocabulary + 1)))
@@ -335,7 +370,7 @@ def score(
         ]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    told = answers.select(F.col("block").alias("of"), "size", "part", "counted", "extra")
+    told = answers.select(F.col("block").alias("of"), "size", "part", "everything")
     return (
         blocks.groupBy("block").cogroup(told.groupBy("of"))
         .applyInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
