@@ -52,14 +52,16 @@ def carried(columns: Sequence[str]) -> Column:
     return F.struct(*named) if named else F.struct(F.lit(0).alias("none"))
 
 
-def sample_classes(df: DataFrame, label: str, per_class: int, key: str) -> DataFrame:
-    """About ``per_class`` rows of each value of ``label``, picked by a hash of ``key``."""
-    rate = {row[0]: min(1.0, per_class / row[1]) for row in df.groupBy(label).count().collect()}
-    if not rate:
-        return df.limit(0)
-    limits = F.create_map(*(F.lit(v) for pair in rate.items() for v in pair))
-    draw = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    return df.where(draw < limits[F.col(label)])
+def smallest_draws(rows: DataFrame, label: str, key: Sequence[str], per_class: int) -> DataFrame:
+    """Of each value of ``label`` the ``per_class`` rows, at most, with the smallest draws, which are hashes of ``key``."""
+    # Some more than wanted, of which the window below keeps the wanted number: it sees no more rows than these.
+    drawn = per_class + 8 * per_class**0.5 + 16
+    place = F.pmod(F.xxhash64(*key, F.lit("draw")), F.lit(1 << 40)) / float(1 << 40)
+    # One row per label; Spark broadcasts it or not by its size.
+    sizes = rows.groupBy(label).agg(F.count("*").alias("in_class"))
+    near = rows.join(sizes, label).withColumn("place", place).where(F.col("place") * F.col("in_class") < drawn)
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("place", *key))
+    return near.withColumn("rank", rank).where(F.col("rank") <= per_class).select(*rows.columns)
 
 
 def sample_contents(df: DataFrame, label: str, content: str, per_class: int) -> DataFrame:
@@ -74,13 +76,7 @@ def sample_contents(df: DataFrame, label: str, content: str, per_class: int) ->
         F.col(label).alias("label"), F.col(content).alias("content"), F.xxhash64(content, F.lit("sample")).alias("key")
     )
     keys = staged(given.select("label", "key").distinct(), "contents")
-    # Some more than wanted, of which the window below keeps the wanted number: it sees no more rows than these.
-    drawn = per_class + 8 * per_class**0.5 + 16
-    place = F.pmod("key", F.lit(1 << 40)) / float(1 << 40)
-    sizes = keys.groupBy("label").count()
-    near = keys.join(F.broadcast(sizes), "label").where(place * F.col("count") < drawn).select("label", "key", place.alias("place"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("place", "key"))
-    chosen = near.withColumn("rank", rank).where(F.col("rank") <= per_class).select("label", "key")
+    chosen = smallest_draws(keys, "label", ["key"], per_class).select("label", "key")
     return given.join(F.broadcast(chosen), ["label", "key"]).dropDuplicates(["label", "key"]).select("label", "content", "key")
 
 

@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import (
+    carried,
     hash_words,
     prefix_hashes,
-    sample_classes,
     separator_table,
     small_batches,
+    smallest_draws,
     staged,
     utf8_rows,
     with_fields,
@@ -38,6 +39,9 @@ MOST_LEARNED_BYTES = 200_000
 # Tokens on either side of a marked one that the field learns from.
 CONTEXT = 10
 _CLIP = 25.0
+_MOST_ODDS = 1e12
+# Tokens of a long text that are walked one after the other; runs advance side by side.
+RUN_TOKENS = 512
 
 
 @dataclass
@@ -79,32 +83,86 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(self.slope * odds + self.intercept, -_CLIP, _CLIP)))
 
 
-def forward_backward(emission: np.ndarray, begins: np.ndarray, field: Field) -> tuple[np.ndarray, np.ndarray]:
-    """Per token the odds of state 1 given the tokens before and itself, and given those after.
+def _chain(emission: np.ndarray, first: np.ndarray, lengths: np.ndarray, coming: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """Per token what comes in from the token before it, for texts that begin at ``first``.
 
-    All texts advance together, one token a step, the longest first.
+    ``coming`` is that of each text's first token. The odds after a token are
+    what comes in times its emission; all texts advance together, one token a step, the longest first.
     """
-    forward, backward = np.ones(len(emission)), np.ones(len(emission))
-    lengths = np.diff(begins)
+    out = np.ones(len(emission))
     order = np.argsort(-lengths, kind="stable")
-    first, lengths = begins[:-1][order], lengths[order]
+    first, lengths, r = first[order], lengths[order], coming[order]
     # How many texts have a token at step t.
     active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(1, (lengths[0] if len(lengths) else 0) + 1))
-    (t00, t01), (t10, t11) = field.transition
-    r = np.zeros(0)
+    (t00, t01), (t10, t11) = transition
     for t, n in enumerate(active):
         at = first[:n] + t
-        r = emission[at] * (field.start if t == 0 else (t01 + t11 * r[:n]) / (t00 + t10 * r[:n]))
-        r = np.minimum(r, 1e12)
-        forward[at] = r
-    last = first + lengths - 1
-    for t in range(len(active) - 2, -1, -1):
-        n = active[t + 1]
-        at = first[:n] + t
-        x = emission[at + 1] * backward[at + 1]
-        backward[at] = np.minimum((t10 + t11 * x) / (t00 + t01 * x), 1e12)
-    backward[last[lengths > 0]] = 1.0
-    return forward, backward
+        r = r[:n] if t == 0 else np.minimum((t01 + t11 * r[:n]) / (t00 + t10 * r[:n]), _MOST_ODDS)
+        out[at] = r
+        r = np.minimum(r * emission[at], _MOST_ODDS)
+    return out
+
+
+def _through(emission: np.ndarray, first: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """Per run of tokens the matrix that takes the odds before it to those after it, up to a factor."""
+    product = np.tile(np.eye(2), (len(first), 1, 1))
+    for t in range(int(lengths.max(initial=0))):
+        some = np.flatnonzero(lengths > t)
+        e = emission[first[some] + t]
+        # Odds r become e (t01 + t11 r) / (t00 + t10 r).
+        step = np.empty((len(some), 2, 2))
+        step[:, 0, 0], step[:, 0, 1] = e * transition[1, 1], e * transition[0, 1]
+        step[:, 1, 0], step[:, 1, 1] = transition[1, 0], transition[0, 0]
+        moved = step @ product[some]
+        product[some] = moved / moved.max(axis=(1, 2), keepdims=True)
+    return product
+
+
+def _coming(emission: np.ndarray, begins: np.ndarray, start: float, transition: np.ndarray) -> np.ndarray:
+    """``_chain`` for whole texts, the long ones cut into runs.
+
+    The matrices of a text's runs, multiplied in order, say what comes in at
+    each run; the runs then advance side by side. So the number of steps does not grow with
+    the longest text but with its number of runs, and with the length of a run.
+    """
+    lengths = np.diff(begins)
+    texts = np.flatnonzero(lengths)
+    runs = -(-lengths[texts] // RUN_TOKENS)
+    of_text = np.repeat(np.arange(len(texts)), runs)
+    place = np.arange(len(of_text)) - np.repeat(np.cumsum(runs) - runs, runs)
+    first = begins[:-1][texts][of_text] + place * RUN_TOKENS
+    size = np.minimum(RUN_TOKENS, begins[1:][texts][of_text] - first)
+    coming = np.full(len(first), start)
+    inner = np.flatnonzero(place > 0)
+    if len(inner):
+        leading = inner - 1  # all runs but each text's last
+        through = np.tile(np.eye(2), (len(first), 1, 1))
+        later = leading[place[leading] > 0]
+        through[later] = _through(emission, first[later], size[later], transition)
+        opening = np.flatnonzero((place == 0) & (runs[of_text] > 1))
+        ahead = np.ones(len(first))
+        # The first run's own odds at its end; the start stands for what comes in there.
+        cut = np.concatenate([np.arange(first[i], first[i] + size[i]) for i in opening])
+        at = np.concatenate([[0], np.cumsum(size[opening])[:-1]]).astype(np.int64)
+        inside = _chain(emission[cut], at, size[opening], np.full(len(opening), start), transition)
+        end = at + size[opening] - 1
+        ahead[opening] = np.minimum(inside[end] * emission[cut][end], _MOST_ODDS)
+        (t00, t01), (t10, t11) = transition
+        for k in range(1, int(place.max()) + 1):
+            now = np.flatnonzero(place == k)
+            r = ahead[now - 1]
+            coming[now] = np.minimum((t01 + t11 * r) / (t00 + t10 * r), _MOST_ODDS)
+            m = through[now]
+            ahead[now] = np.minimum((m[:, 0, 0] * r + m[:, 0, 1]) / (m[:, 1, 0] * r + m[:, 1, 1]), _MOST_ODDS)
+    return _chain(emission, first, size, coming, transition)
+
+
+def forward_backward(emission: np.ndarray, begins: np.ndarray, field: Field) -> tuple[np.ndarray, np.ndarray]:
+    """Per token the odds of state 1 given the tokens before and itself, and given those after."""
+    forward = np.minimum(emission * _coming(emission, begins, field.start, field.transition), _MOST_ODDS)
+    # Read from the end, with transitions the other way, the chain is one of the same kind.
+    back = len(emission) - begins[::-1]
+    return forward, _coming(emission[::-1], back, 1.0, field.transition.T)[::-1]
 
 
 def marginals(emission: np.ndarray, begins: np.ndarray, field: Field) -> np.ndarray:
@@ -221,19 +279,21 @@ def fit(
 ) -> Field:
     """Learn from ``labels`` (doc_id, label 0 or 1) and the texts of those ids.
 
-    The field sees about ``per_class`` documents of each label, picked by a
-    hash of the id among those with a text of at most ``most_bytes``: the
-    bounds of the operator, and of what is learned from alone. NULL ids and labels are
+    The field sees at most ``per_class`` documents of each label, picked by a
+    hash of id and text among those with a text of at most ``most_bytes``: the
+    bounds of the operator, and of what is learned from alone. Rows that repeat an id and a text count once. NULL ids and labels are
     passed over; of labels that contradict each other the higher counts.
     Without a toxic or without a clean text of that size every score is the share of toxic labels.
     """
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull())
-    known = known.groupBy(F.col(doc_id).cast("long").alias("_id")).agg((F.max(label) > 0).cast("int").alias("_toxic"))
+    known = known.groupBy(F.col(doc_id).cast("long").alias("id")).agg((F.max(label) > 0).cast("int").alias("toxic"))
     known = staged(known, "labels")
     short = docs.where(F.octet_length(F.col(text)) <= most_bytes)
-    learnable = staged(known.join(short.select(F.col(doc_id).cast("long").alias("_id")).distinct(), "_id", "left_semi"), "learnable")
-    sample = staged(sample_classes(learnable, "_toxic", per_class, "_id"), "sample")
-    shares = dict(known.groupBy("_toxic").count().collect())
+    short = short.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    # Rows that repeat an id and a text count once.
+    contents = staged(short.select("id", "hash").join(known, "id").distinct(), "contents")
+    sample = staged(smallest_draws(contents, "toxic", ["id", "hash"], per_class), "sample")
+    shares = dict(known.groupBy("toxic").count().collect())
     prior = shares.get(1, 0) / max(1, sum(shares.values()))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,9 +305,9 @@ def fit(
                 [batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.int32()))], ["doc_id", "toxic", "features"]
             )
 
-    given = short.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    given = given.join(sample, "_id").select("_id", "_toxic", "_text")
-    got = given.mapInArrow(featurise, "doc_id long, toxic int, features array<int>").toArrow().sort_by("doc_id")
+    # At most ``per_class`` rows of each label.
+    given = short.join(F.broadcast(sample), ["id", "hash"]).dropDuplicates(["id", "hash"]).orderBy("id", "hash").select("id", "toxic", "text")
+    got = given.mapInArrow(featurise, "doc_id long, toxic int, features array<int>").toArrow()
     lists = got.column("features").combine_chunks()
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     toxic = got.column("toxic").to_numpy() > 0
@@ -284,9 +344,9 @@ def score(
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = shared.value, len(keep)
-        for batch in small_batches(batches, last, 6 << 20):
-            rows = utf8_rows(batch.column(last))
+        own = shared.value
+        for batch in small_batches(batches, 1, 6 << 20):
+            rows = utf8_rows(batch.column(1))
             found = tokens_of(rows)
             p = marginals(own.emission(found.features), found.begins, own)
             scores = own.document_score(maxima(p, found.begins))
@@ -295,13 +355,14 @@ def score(
             for i in np.unique(np.searchsorted(found.begins, hot, side="right") - 1).tolist():
                 spans[i] = _spans(found, p, i, rows[i], span_at)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:last], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, span_type)],
-                [*keep, *added],
+                [batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, span_type)],
+                ["row", *added],
             )
 
-    columns = [F.col(f"`{c}`") for c in keep]
-    schema = with_fields(docs.select(*columns).schema, "score double, predicted int, spans array<struct<start: long, end: long>>")
-    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, schema)
+    given = docs.select(carried(keep).alias("row"), F.col(text).alias("text"))
+    schema = with_fields(given.select("row").schema, "score double, predicted int, spans array<struct<start: long, end: long>>")
+    scored = given.mapInArrow(run, schema)
+    return scored.select(*(F.col("row")[c].alias(c) for c in keep), *added)
 
 
 def _spans(found: Tokens, p: np.ndarray, text: int, row: bytes, span_at: float) -> list[dict[str, int]]:
