@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import sample_contents, small_batches, utf8_rows, with_fields
+from tidegauge.llm.common import carried, mix64, sample_contents, small_batches, utf8_rows, with_fields
 
 UNKNOWN = "und"
 
@@ -38,21 +40,19 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 
-DIMENSIONS = 1 << 12
-# A short text is judged by few trigrams, so each sampled text also teaches through short runs of its words.
-RUNS, RUN_WORDS = 1, 8
+
+def family_of(language: str) -> str:
+    """The family of a tag such as ``pt`` or ``pt-BR``; a code in no family and its regions form one of their own."""
+    code = re.split("[-_]", language, maxsplit=1)[0].lower()
+    return FAMILY_OF.get(code, code)
 
 
-def _letter_codes() -> np.ndarray:
-    """Byte to five bits: a-z as 1 to 26 in either case, bytes beyond ASCII as 27 to 31, the rest 0."""
-    table = np.zeros(256, np.uint32)
-    for i in range(26):
-        table[97 + i] = table[65 + i] = i + 1
-    table[128:] = 27 + np.arange(128) % 5
-    return table
+DIMENSION_BITS = 12
+DIMENSIONS = 1 << DIMENSION_BITS
+# A short text is judged by few trigrams, so each sampled text also teaches through short runs of its words.
+RUNS, RUN_WORDS = 1, 8
 
 
-_CODES = _letter_codes()
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -61,15 +61,25 @@ def has_letter(text: bytes) -> bool:
     return bool(_LETTER.search(decoded)) and any(map(str.isalpha, decoded))
 
 
+@lru_cache(maxsize=1)
+def _blanks() -> np.ndarray:
+    """Per character below U+10000 whether it separates words: what is neither a letter nor a mark that belongs to one."""
+    return np.array([not (unicodedata.category(chr(p))[0] in "LM") for p in range(1 << 16)])
+
+
 def trigrams(text: bytes) -> np.ndarray:
-    """The hashed letter trigrams of a text; what is no letter separates words as one blank."""
-    codes = _CODES[np.frombuffer(b" " + text + b" ", np.uint8)]
-    blank = codes == 0
-    codes = codes[~(blank & np.concatenate([[False], blank[:-1]]))]
+    """The hashed letter trigrams of a text in lower case; what is no letter separates words as one blank."""
+    if text.isascii():
+        codes = np.frombuffer(b" " + text.lower() + b" ", np.uint8).astype(np.uint64)
+    else:
+        folded = f" {text.decode('utf-8', 'replace').lower()} "
+        codes = np.frombuffer(folded.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    blank = _blanks()[np.minimum(codes, (1 << 16) - 1)] & (codes < 1 << 16)
+    codes = np.where(blank, 0, codes)[~(blank & np.concatenate([[False], blank[:-1]]))]
     if len(codes) < 3:
         return np.zeros(0, np.int64)
-    joined = (codes[:-2] << 10) | (codes[1:-1] << 5) | codes[2:]
-    return ((joined * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
+    joined = (codes[:-2] << np.uint64(42)) | (codes[1:-1] << np.uint64(21)) | codes[2:]
+    return (mix64(joined) >> np.uint64(64 - DIMENSION_BITS)).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -217,7 +227,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     languages = languages.tolist()
     families: dict[str, list[str]] = {}
     for language in languages:
-        families.setdefault(FAMILY_OF.get(language.lower(), language), []).append(language)
+        families.setdefault(family_of(language), []).append(language)
 
     # What is positive and what negative for each machine; None is the rest.
     number_of = {language: i for i, language in enumerate(languages)}
@@ -271,9 +281,9 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None
     shared = docs.sparkSession.sparkContext.broadcast((model, *model.table()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, weights, bias), last = shared.value, len(keep)
-        for batch in small_batches(batches, last):
-            rows = utf8_rows(batch.column(last))
+        known, weights, bias = shared.value
+        for batch in small_batches(batches, 1):
+            rows = utf8_rows(batch.column(1))
             margins = np.tile(bias, (len(rows), 1))
             for i, row in enumerate(rows):
                 grams = trigrams(row)
@@ -286,15 +296,53 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None
             languages = [name if ok else UNKNOWN for name, ok in zip(languages, lettered)]
             score = np.where(np.array(languages, object) == UNKNOWN, 0.0, score)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:last], pa.array(languages, pa.string()), pa.array(score, pa.float64())],
-                [*keep, "lang_pred", "score"],
+                [batch.column(0), pa.array(languages, pa.string()), pa.array(score, pa.float64())],
+                ["row", "lang_pred", "score"],
             )
 
-    given = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("_text"))
-    schema = with_fields(docs.select(*(F.col(f"`{c}`") for c in keep)).schema, "lang_pred string, score double")
-    return given.mapInArrow(run, schema)
+    given = docs.select(carried(keep).alias("row"), F.col(text).alias("text"))
+    schema = with_fields(given.select("row").schema, "lang_pred string, score double")
+    judged = given.mapInArrow(run, schema)
+    return judged.select(*(F.col("row")[c].alias(c) for c in keep), "lang_pred", "score")
 
 
 def rejected(lang_pred: Column) -> Column:
     """Whether a document has no language: no text, or no letter in it."""
     return lang_pred == UNKNOWN
+
+
+def lettered(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a letter in their text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 1):
+            yield batch.select(["row"]).filter(pa.array([has_letter(row) for row in utf8_rows(batch.column(1))], pa.bool_()))
+
+    given = docs.select(carried(docs.columns).alias("row"), F.col(text).alias("text"))
+    kept = given.mapInArrow(run, given.select("row").schema)
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def accept(
+    docs: DataFrame,
+    model: LanguageModel,
+    wanted: Sequence[str] | None = None,
+    least_score: float = 0.0,
+    text: str = "text",
+    lang: str = "lang",
+) -> DataFrame:
+    """The rows of ``docs`` in one of the ``wanted`` languages (all learned ones by default).
+
+    Rows without a letter go, and so do those judged with a score below
+    ``least_score``. Where ``lang`` is NULL the language found takes its place.
+    If the model learned no language nothing is known against a text, and every one with a letter stays.
+    """
+    if not model.families:
+        return lettered(docs, text)
+    given = docs.select(carried(docs.columns).alias("own"), F.col(text).alias("text"))
+    judged = predict(given, model, ["own"])
+    stays = ~rejected(F.col("lang_pred")) & (F.col("score") >= least_score)
+    if wanted is not None:
+        stays &= F.col("lang_pred").isin(list(wanted))
+    filled = {lang: F.coalesce(F.col("own")[lang], F.col("lang_pred").cast(docs.schema[lang].dataType))}
+    return judged.where(stays).select(*((filled[c] if c in filled else F.col("own")[c]).alias(c) for c in docs.columns))
