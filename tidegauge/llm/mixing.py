@@ -4,10 +4,10 @@ Each source is cut into blocks of documents, about as many blocks as a block
 has documents. A source's target says how many whole passes over it the mix
 makes and how many words remain; for the remainder blocks are drawn in a
 permuted order, the last few in part. The drawn blocks are dealt to the output
-shards by a splitting tree: a node hands each half of its shards an exact
-number of its blocks, drawn without replacement, so that the number each
-source has on one side follows the multivariate hypergeometric law. Blocks
-stay disjoint, and each shard is shuffled on its own.
+shards by a splitting tree over the table of sources: a node draws, by the
+multivariate hypergeometric law, how many blocks of each source one half of its
+shards gets. Within a source the blocks go by these quotas in a permuted order,
+so they stay disjoint, and each shard is shuffled on its own.
 """
 
 from __future__ import annotations
@@ -18,12 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegauge.llm.common import staged
+from tidegauge.llm.common import carried, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_PASSES = 3
-# Ranks are taken within this many hash ranges side by side.
-RANGES = 256
 # Parts of an output shard, each sorted by one task.
 PIECES = 256
 # Blocks that the last, incomplete draw from a source chooses documents from.
@@ -59,46 +57,81 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int =
     )
 
 
-def _ranked(units: DataFrame, key: Column) -> DataFrame:
-    """``units`` with ``rank`` from 0 in the order of ``key``, and their number as ``total``.
+def _drawn(held: Column, total: Column, draws: Column, key: Column) -> Column:
+    """Of ``held``, an array of (source, n), how many units each source gives to ``draws`` of all ``total`` units.
 
-    Counted per range of the key first, so that no task sorts all units.
+    Selection sampling: unit after unit is drawn with the chance of draws still
+    to be made among units still to come. The numbers per source then follow
+    the multivariate hypergeometric law exactly. The draws of a unit go by a
+    hash of ``key``, source and the unit's number.
     """
-    keyed = units.withColumn("_key", key).withColumn("_range", F.pmod(F.shiftright("_key", 40), F.lit(RANGES)))
-    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = keyed.groupBy("_range").agg(F.count("*").alias("_n"))
-    counts = counts.select(
-        "_range",
-        F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy()).alias("total"),
-    )
-    within = F.row_number().over(Window.partitionBy("_range").orderBy("_key")) - 1
-    return keyed.join(counts, "_range").withColumn("rank", F.col("_before") + within).drop("_key", "_range", "_before")
+    kind = "struct<total: bigint, draws: bigint, taken: bigint>"
+
+    def of_unit(state: Column, source: Column, number: Column) -> Column:
+        chance = F.pmod(F.xxhash64(key, source, number), F.lit(1 << 52)) / float(1 << 52)
+        hit = (chance * state["total"] < state["draws"]).cast("bigint")
+        return F.struct((state["total"] - 1).alias("total"), (state["draws"] - hit).alias("draws"), (state["taken"] + hit).alias("taken")).cast(kind)
+
+    def of_source(state: Column, own: Column) -> Column:
+        start = F.struct(state["total"].alias("total"), state["draws"].alias("draws"), F.lit(0).cast("bigint").alias("taken")).cast(kind)
+        units = F.when(own["n"] > 0, F.sequence(F.lit(1).cast("bigint"), own["n"])).otherwise(F.array().cast("array<bigint>"))
+        # What is left after the source's units, and what it gave.
+        end = F.aggregate(units, start, lambda s, i: of_unit(s, own["source"], i))
+        return F.struct(
+            (state["total"] - own["n"]).alias("total"), end["draws"].alias("draws"), F.concat(state["taken"], F.array(end["taken"])).alias("taken")
+        ).cast("struct<total: bigint, draws: bigint, taken: array<bigint>>")
+
+    start = F.struct(total.alias("total"), draws.alias("draws"), F.array().cast("array<bigint>").alias("taken"))
+    return F.aggregate(held, start.cast("struct<total: bigint, draws: bigint, taken: array<bigint>>"), of_source)["taken"]
 
 
-def _split(units: DataFrame, shards: int) -> DataFrame:
-    """``units`` with the ``shard`` each ends in, walking down the splitting tree.
+def quotas(counts: DataFrame, shards: int, seed: int = 1) -> DataFrame:
+    """(source, shard, n): how many units of each source every shard gets, from rows (source, n).
 
-    Units in uniformly random order: any node's first ones are a uniform draw
-    without replacement from that node. A node covers the ranks from ``first``
-    to ``last`` and the shards from ``low`` to ``high``.
+    A node of the splitting tree covers the shards from ``low`` to ``high``
+    and holds a number of units per source. Its left half of the shards gets its share of the
+    units, drawn over all sources, and the right half the rest. The tree has a row per node,
+    with one entry per source.
     """
-    walk = units.withColumns({"first": F.lit(0).cast("long"), "last": F.col("total"), "low": F.lit(0), "high": F.lit(shards)})
+    held = F.sort_array(F.collect_list(F.struct("source", F.col("n").cast("bigint").alias("n"))))
+    nodes = counts.agg(held.alias("held"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total"))
+    nodes = nodes.select(F.lit(0).alias("low"), F.lit(shards).alias("high"), "total", "held")
     for _ in range(max(0, (shards - 1).bit_length())):
         middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
-        share = F.floor((F.col("last") - F.col("first")) * (middle - F.col("low")) / (F.col("high") - F.col("low")))
-        walk = walk.withColumns({"middle": middle, "cut": F.col("first") + share.cast("long")})
-        whole = F.col("high") - F.col("low") <= 1
-        goes_left = F.col("rank") < F.col("cut")
-        walk = walk.withColumns(
-            {
-                "first": F.when(whole | goes_left, F.col("first")).otherwise(F.col("cut")),
-                "last": F.when(whole | ~goes_left, F.col("last")).otherwise(F.col("cut")),
-                "low": F.when(whole | goes_left, F.col("low")).otherwise(F.col("middle")),
-                "high": F.when(whole | ~goes_left, F.col("high")).otherwise(F.col("middle")),
-            }
-        )
-    return walk.withColumn("shard", F.col("low")).drop("first", "last", "low", "high", "middle", "cut", "rank", "total")
+        share = F.floor(F.col("total") * (middle - F.col("low")) / (F.col("high") - F.col("low"))).cast("bigint")
+        nodes = nodes.withColumns({"middle": middle, "share": share})
+        key = F.xxhash64(F.lit(seed), F.lit("tree"), "low", "high")
+        nodes = nodes.withColumn("taken", _drawn(F.col("held"), F.col("total"), F.col("share"), key))
+
+        def part(low: str, high: str, total: Column, own: Column) -> Column:
+            return F.struct(F.col(low).alias("low"), F.col(high).alias("high"), total.alias("total"), own.alias("held"))
+
+        left = F.zip_with("held", "taken", lambda h, t: F.struct(h["source"].alias("source"), t.alias("n")))
+        right = F.zip_with("held", "taken", lambda h, t: F.struct(h["source"].alias("source"), (h["n"] - t).alias("n")))
+        halves = F.array(part("low", "middle", F.col("share"), left), part("middle", "high", F.col("total") - F.col("share"), right))
+        leaf = F.array(part("low", "high", F.col("total"), F.col("held")))
+        nodes = nodes.select(F.explode(F.when(F.col("high") - F.col("low") > 1, halves).otherwise(leaf)).alias("node")).select("node.*")
+    return nodes.select(F.col("low").alias("shard"), F.inline("held")).select("source", "shard", "n")
+
+
+def _split(units: DataFrame, shards: int, seed: int) -> DataFrame:
+    """``units`` (source, block, copy) with the ``shard`` each goes to.
+
+    The units of a source in permuted order go to the shards by its quotas, so
+    each unit is in one shard, and which of them a shard gets is left to chance.
+    """
+    counts = staged(units.groupBy("source").agg(F.count("*").alias("n")), "units")
+    shares = quotas(counts, shards, seed).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("shares"))
+    before = F.aggregate(
+        "shares",
+        F.array(F.lit(0).cast("bigint")),
+        lambda sums, share: F.concat(sums, F.array(F.element_at(sums, -1) + share["n"])),
+    )
+    ends = staged(shares.select(F.col("source").alias("of"), F.slice(before, F.lit(2), F.lit(shards)).alias("ends")), "quotas")
+    order = Window.partitionBy("source").orderBy(F.xxhash64("source", "block", "copy", F.lit(seed), F.lit("permuted")), "block", "copy")
+    placed = units.withColumn("rank", (F.row_number().over(order) - 1).cast("bigint"))
+    placed = placed.join(ends, F.col("source").eqNullSafe(F.col("of")))
+    return placed.select(*units.columns, F.size(F.filter("ends", lambda end: end <= F.col("rank"))).alias("shard"))
 
 
 def plan(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), shards: int = 8, seed: int = 1) -> DataFrame:
@@ -137,7 +170,7 @@ def plan(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), shards: int = 8
 
     copies = F.col("passes") + F.when(F.col("extra") == "none", 0).otherwise(1)
     units = blocks.where(copies > 0).select("source", "block", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
-    dealt = _split(_ranked(units, F.xxhash64("source", "block", "copy", F.lit(seed), F.lit("tree"))), shards)
+    dealt = _split(units, shards, seed)
     dealt = dealt.groupBy("source", "block").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda c: c["shard"]).alias("shards")
     )
@@ -150,24 +183,24 @@ def plan(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), shards: int = 8
 
 
 def _with_remainder(part: DataFrame, tries: int = 3) -> DataFrame:
-    """For documents of partly drawn blocks, whether each is drawn once more: ``_more``.
+    """For documents of partly drawn blocks, whether each is drawn once more: ``more``.
 
     In permuted order documents are taken while they fit; later ones that fit
     what is then left are tried again, and at last one that halves the rest at least.
     """
-    block = Window.partitionBy("_source")
-    part = part.withColumns({"_more": F.lit(False), "_left": F.col("need")})
+    block = Window.partitionBy("source")
+    part = part.withColumns({"more": F.lit(False), "left": F.col("need")})
     for _ in range(tries):
-        fits = ~F.col("_more") & (F.col("_size") > 0) & (F.col("_size") <= F.col("_left"))
-        order = block.orderBy("_draw", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        part = part.withColumn("_sum", F.sum(F.when(fits, F.col("_size")).otherwise(0)).over(order))
-        part = part.withColumn("_more", F.col("_more") | (fits & (F.col("_sum") <= F.col("_left"))))
-        taken = F.sum(F.when(F.col("_more"), F.col("_size")).otherwise(0)).over(block)
-        part = part.withColumn("_left", F.col("need") - taken)
-    open_size = F.when(~F.col("_more") & (F.col("_size") > 0), F.col("_size"))
-    first = F.row_number().over(block.orderBy(open_size.asc_nulls_last(), "_draw")) == 1
-    closer = first & open_size.isNotNull() & (F.col("_size") < 2 * F.col("_left"))
-    return part.withColumn("_last", closer).withColumn("_more", F.col("_more") | F.col("_last")).drop("_sum", "_left", "_last")
+        fits = ~F.col("more") & (F.col("size") > 0) & (F.col("size") <= F.col("left"))
+        order = block.orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        part = part.withColumn("sum", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(order))
+        part = part.withColumn("more", F.col("more") | (fits & (F.col("sum") <= F.col("left"))))
+        taken = F.sum(F.when(F.col("more"), F.col("size")).otherwise(0)).over(block)
+        part = part.withColumn("left", F.col("need") - taken)
+    open_size = F.when(~F.col("more") & (F.col("size") > 0), F.col("size"))
+    first = F.row_number().over(block.orderBy(open_size.asc_nulls_last(), "draw")) == 1
+    closer = first & open_size.isNotNull() & (F.col("size") < 2 * F.col("left"))
+    return part.withColumn("last", closer).withColumn("more", F.col("more") | F.col("last")).drop("sum", "left", "last")
 
 
 def mix(
@@ -189,28 +222,27 @@ def mix(
     """
     draw = F.when(F.col(doc_id).isNull(), F.xxhash64(text, F.lit(seed))).otherwise(F.xxhash64(doc_id, F.lit(seed)))
     added = ("size", "source_size", "target", "taken", "shards")
-    given = docs.withColumns({"_size": words(text), "_draw": draw, "_source": F.col(source)})
-    sizes = staged(given.select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_draw").alias("draw")), "sizes")
+    columns = [c for c in docs.columns if c not in added]
+    given = docs.select(carried(columns).alias("own"), words(text).alias("size"), draw.alias("draw"), F.col(source).alias("source"))
+    sizes = staged(given.select("source", "size", "draw"), "sizes")
     drawn = plan(sizes, weights, shards, seed)
 
-    counts = drawn.select(F.col("source").alias("_of"), F.col("n_blocks").alias("_n")).distinct()
-    kept = [c for c in given.columns if c not in added]
-    blocked = given.select(kept).join(counts, F.col("_source").eqNullSafe(F.col("_of")))
-    blocked = blocked.withColumn("_block", F.pmod("_draw", F.col("_n"))).drop("_of", "_n")
+    counts = drawn.select(F.col("source").alias("of"), "n_blocks").distinct()
+    blocked = given.join(counts, F.col("source").eqNullSafe(F.col("of")))
+    blocked = blocked.withColumn("block", F.pmod("draw", F.col("n_blocks"))).drop("of", "n_blocks")
     of_block = drawn.select(
-        F.col("source").alias("_of"), F.col("block").alias("_at"), "source_size", "target", "passes", "extra", "need", "shards"
+        F.col("source").alias("of"), F.col("block").alias("at"), "source_size", "target", "passes", "extra", "need", "shards"
     )
-    joined = blocked.join(of_block, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_at"))).drop("_of", "_at")
-    whole = joined.where("extra <> 'part'").withColumn("_more", F.col("extra") == "all")
+    joined = blocked.join(of_block, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at"))).drop("of", "at")
+    whole = joined.where("extra <> 'part'").withColumn("more", F.col("extra") == "all")
     result = whole.unionByName(_with_remainder(joined.where("extra = 'part'")).select(whole.columns))
-    copies = F.when(F.col("_size") > 0, F.col("passes") + F.col("_more").cast("int")).otherwise(0)
-    columns = [c for c in docs.columns if c not in added]
+    copies = F.when(F.col("size") > 0, F.col("passes") + F.col("more").cast("int")).otherwise(0)
     return result.select(
-        *(F.col(f"`{c}`") for c in columns),
-        F.col("_size").alias("size"),
+        *(F.col("own")[c].alias(c) for c in columns),
+        "size",
         "source_size",
         F.col("target").cast("double").alias("target"),
-        (F.col("_size") * copies).alias("taken"),
+        (F.col("size") * copies).alias("taken"),
         F.slice("shards", F.lit(1), copies).alias("shards"),
     )
 
@@ -222,8 +254,9 @@ def deal(mixed: DataFrame, doc_id: str = "doc_id", seed: int = 1) -> DataFrame:
     it within each, so its pieces in order are one shuffled run and no task
     holds a whole shard. For larger inputs choose more shards.
     """
-    columns = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken", "shards")]
-    copies = mixed.select(*(F.col(f"`{c}`") for c in columns), F.posexplode("shards").alias("_copy", "shard"))
-    order = F.xxhash64(doc_id, "_copy", "shard", F.lit(seed))
+    columns = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken", "shards", "shard")]
+    given = mixed.select(carried(columns).alias("own"), F.col(doc_id).alias("id"), F.posexplode("shards").alias("copy", "shard"))
+    order = F.xxhash64("id", "copy", "shard", F.lit(seed))
     piece = F.pmod(F.shiftright(order, 48), F.lit(PIECES))
-    return copies.repartition("shard", piece).sortWithinPartitions("shard", piece, order).drop("_copy")
+    copies = given.repartition("shard", piece).sortWithinPartitions("shard", piece, order)
+    return copies.select(*(F.col("own")[c].alias(c) for c in columns), "shard")
