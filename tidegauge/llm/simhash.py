@@ -21,13 +21,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 from pyspark.sql.window import Window
 
-from tidegauge.llm.common import mix64, small_batches, staged, utf8_rows
+from tidegauge.llm.common import carried, mix64, small_batches, staged, utf8_rows
 
 SEED = 42
 # Fingerprints compared at one lattice point as they are; points with more are split.
 CROWD = 1 << 15
+# A node of more edges than this, and than a share of all, has its smallest neighbour looked up.
+CENTRE_EDGES, MOST_CENTRES = 1_000, 10_000
 _ODD = np.uint64(0x5555555555555555)
 
 
@@ -209,6 +212,21 @@ def links(codes: DataFrame, distance: int = 4, crowd: int = CROWD) -> DataFrame:
     return met.mapInArrow(lambda batches: _linked(batches, distance), "a long, b long")
 
 
+def _with_smallest(edges: DataFrame, most: int) -> DataFrame:
+    """Rows (a, b) with the ``smallest`` b of each a, from at most ``most`` rows.
+
+    Nodes of many edges have it looked up in a table of at most
+    ``MOST_CENTRES`` rows, so their rows stay where they are; the rows of any other node meet in one task.
+    """
+    limit = max(CENTRE_EDGES, most // MOST_CENTRES)
+    centres = edges.groupBy("a").agg(F.min("b").alias("of_centre"), F.count("*").alias("n")).where(F.col("n") > limit)
+    centres = centres.select(F.col("a").alias("centre"), "of_centre")
+    marked = edges.join(F.broadcast(centres), F.col("a") == F.col("centre"), "left")
+    crowded = marked.where("centre is not null").select("a", "b", F.col("of_centre").alias("smallest"))
+    smallest = F.min("b").over(Window.partitionBy("a"))
+    return marked.where("centre is null").select("a", "b", smallest.alias("smallest")).unionByName(crowded)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge.
 
@@ -224,12 +242,12 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        smallest = F.min("b").over(Window.partitionBy("a"))
         # Large star: larger neighbours hang on the smallest of the neighbourhood.
-        large = both.withColumn("m", F.least(smallest, "a")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _with_smallest(both, 2 * before[0]).withColumn("m", F.least("smallest", "a")).where("b > a")
+        large = large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: smaller neighbours and the node itself hang on the smallest.
-        pairs = F.array(F.struct(F.col("a").alias("a"), "m"), F.struct(F.col("b").alias("a"), "m"))
-        small = large.distinct().withColumn("m", smallest).select(F.explode(pairs).alias("e"))
+        pairs = F.array(F.struct(F.col("a").alias("a"), F.col("smallest").alias("m")), F.struct(F.col("b").alias("a"), F.col("smallest").alias("m")))
+        small = _with_smallest(large, 2 * before[0]).select(F.explode(pairs).alias("e"))
         edges = staged(small.select("e.a", F.col("e.m").alias("b")).where("a > b").distinct(), "edges")
         after = state(edges)
         if after == before:
@@ -251,7 +269,9 @@ def near_duplicates(
     """
     codes = staged(fingerprints(docs, text, doc_id, width), "fingerprints")
     grouped = _roots(codes, distance)
-    smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Read from files, both sides of the joins can be split where a component or a code holds many rows.
+    grouped = staged(grouped, "grouped")
+    smallest = staged(grouped.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
     of_code = grouped.join(smallest, "root").select("code", "component_id")
     return codes.join(of_code, "code").select(
         "doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id"
@@ -277,22 +297,31 @@ def keep_one(
     columns; where one id has texts in several components, each keeps its own.
     Rows with a NULL id rank behind all ids: one of them stays only where its component has no id.
     """
-    given = docs.where(F.col(doc_id).isNotNull())
-    unnamed = docs.where(F.col(doc_id).isNull())
-    searched = given.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
+    rows = docs.select(
+        carried(docs.columns).alias("own"),
+        F.col(doc_id).cast("long").alias("id"),
+        F.col(text).alias("text"),
+        # Maps have no hash; rows that differ in them alone are as good as equal.
+        F.xxhash64(*(F.col("`" + f.name.replace("`", "``") + "`") for f in docs.schema if _hashable(f.dataType))).alias("hash"),
+    )
+    given, unnamed = rows.where("id is not null"), rows.where("id is null")
+    searched = given.select("id", "text")
     has_unnamed = not unnamed.isEmpty()
     if has_unnamed:
         last = F.lit((1 << 63) - 1) - F.monotonically_increasing_id()
-        unnamed = staged(unnamed.withColumn("_id", last), "unnamed")
-        searched = searched.unionByName(unnamed.select("_id", F.col(text).alias("_text")))
-    grouped = _roots(staged(fingerprints(searched, "_text", "_id", width), "fingerprints"), distance)
+        unnamed = staged(unnamed.withColumn("id", last), "unnamed")
+        searched = searched.unionByName(unnamed.select("id", "text"))
+    grouped = _roots(staged(fingerprints(searched, "text", "id", width), "fingerprints"), distance)
     kept = grouped.groupBy("root").agg(F.min("row").alias("row")).select(
-        F.col("row.doc_id").alias("_id"), F.col("row.tag").alias("_tag")
+        F.col("row.doc_id").alias("id"), F.col("row.tag").alias("tag")
     )
-    order = Window.partitionBy("_id", "_tag").orderBy(F.xxhash64(*docs.columns))
-    named = given.withColumns({"_id": F.col(doc_id).cast("long"), "_tag": F.xxhash64(text)})
-    stay = named.join(kept, ["_id", "_tag"], "left_semi")
-    stay = stay.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(docs.columns)
+    stay = given.withColumn("tag", F.xxhash64("text")).join(kept, ["id", "tag"], "left_semi")
+    # Of rows with the same id and text one is kept wherever they meet, before or after they are moved.
+    stay = stay.groupBy("id", "tag").agg(F.min_by("own", "hash").alias("own")).select("own")
     if has_unnamed:
-        stay = stay.unionByName(unnamed.join(kept, "_id", "left_semi").select(docs.columns))
-    return stay
+        stay = stay.unionByName(unnamed.join(kept, "id", "left_semi").select("own"))
+    return stay.select(*(F.col("own")[c].alias(c) for c in docs.columns))
+
+
+def _hashable(type_: DataType) -> bool:
+    return "map<" not in type_.simpleString() and "variant" not in type_.simpleString()
