@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import hash_words, sample_contents, small_batches, utf8_rows, with_fields
+from tidegauge.llm.common import carried, hash_words, sample_contents, small_batches, utf8_rows, with_fields
 
 # How HTML treats its elements.
 INLINE = frozenset(
@@ -43,7 +43,7 @@ AROUND_WORDS = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent "
     "disclaimer footer header login masthead menu nav navbar navigation newsletter notice notification pagination "
     "popup promo promoted recommended related reply replies respond share sharing sidebar signup social sponsor "
-    "sponsored subscribe tags toolbar widget complementary contentinfo search".split()
+    "sponsored subscribe tags toolbar widget complementary contentinfo search colophon discussion disqus".split()
 )
 MAIN_TAGS = frozenset({"article", "main"})
 PAGE_TAGS = frozenset({"html", "body"})
@@ -174,6 +174,8 @@ def markup_label(path: tuple[str, ...]) -> bool:
 
 # Pages above this size are not learned from unless ``fit`` is told otherwise; text is taken from them like from all others.
 MOST_LEARNED_BYTES = 200_000
+# Copies of each page learned from, and pages made up where no page can be learned from.
+COPIES, MADE_UP_PAGES = 6, 150
 PATH_SIZE, WORD_SIZE = 1024, 4096
 PATH_WIDTH, WORD_WIDTH, MEASURES = 24, 12, 8
 HIDDEN = 16
@@ -338,7 +340,7 @@ def _gradients(pages: list[Page], labels: list[np.ndarray], weights: Weights) ->
     return grads
 
 
-# Containers for copies of the sample: what may stand around the main text, and what may hold it.
+# Containers for copies of the sample: what may stand around the main text, what may hold it, and what says nothing.
 _AROUND = (
     ("nav", ".menu"), ("header",), ("header", ".site"), ("footer",), ("aside",), ("aside", ".sidebar"), ("div", ".sidebar"),
     ("div", ".cookie", ".notice"), ("div", ".notice"), ("div", ".banner"), ("div", ".ad"), ("div", ".ads"), ("div", ".advert"),
@@ -346,19 +348,47 @@ _AROUND = (
     ("form", ".newsletter"), ("div", ".share"), ("div", ".social"), ("div", ".related"), ("div", ".promo"), ("ul", ".menu"),
     ("div", ".footer"), ("div", ".header"), ("div", ".nav"), ("section", ".related"), ("div", ".popup"), ("div", ".subscribe"),
     ("div", ".breadcrumb"), ("div", ".login"), ("div", ".widget"), ("button",), ("dialog",), ("label", ".search"),
+    ("div", ".masthead"), ("div", ".colophon"), ("div", ".disqus"), ("div", ".pagination"), ("nav",), ("div", ".respond"),
 )
-_HOLDS = (("article",), ("main",), ("div", ".content"), ("div", ".post"), ("section", ".story"), ("div", ".entry", ".content"), ("div", ".article", ".body"))
+_HOLDS = (
+    ("article",), ("main",), ("div", ".content"), ("div", ".post"), ("section", ".story"), ("div", ".entry", ".content"),
+    ("div", ".article", ".body"), ("section", "article"), ("article", "section"), ("main", "article"), ("div", ".main"), ("div", ".text"),
+)
+_WRAPPERS = (("div",), ("section",), ("div", ".page"), ("div", ".container"), ("div", ".wrapper"), ("div", ".row"), ("div", ".col"),
+             ("div", ".site"), ("div", ".primary"), ("div", ".inner"), ("center",), ("table", "tr", "td"))
 # What says nothing about a block: figures of all kinds, and compound names with a word that elsewhere marks surroundings.
 _FIGURES = (("figure",), ("figure", "figcaption"), ("figure", "pre"), ("figure", "blockquote", "p"), ("figure", "table", "tr", "td"), ("figure", "table", "caption"))
 _COMPOUND = ("section", "title", "block", "part", "text", "chapter", "my")
 _LEAVES = ("p", "div", "li", "span", "h2", "h3", "td", "blockquote", "pre")
 
 
+def _wrappers(rng: np.random.Generator, most: int) -> tuple[str, ...]:
+    """Up to ``most`` containers that say nothing, of known names, of names made up, or of none."""
+    out: list[str] = []
+    for _ in range(int(rng.integers(0, most + 1))):
+        if rng.random() < 0.4:
+            letters = "".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(1, 9))))
+            out += [("div", "section")[rng.integers(2)], f".{letters}"]
+        else:
+            out += _WRAPPERS[rng.integers(len(_WRAPPERS))]
+    return tuple(out)
+
+
 def _altered(blocks: list[Block], labels: np.ndarray, spare: list[Block], rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
-    """A copy of a page with another main container and with blocks put around, between and below the main text."""
-    holder = _HOLDS[rng.integers(len(_HOLDS))]
+    """A copy of a page in another skeleton, and with blocks put around, between and below the main text.
+
+    The skeleton has wrappers that say nothing above everything, above what
+    holds the main text, below it, and above each part around it. Now and then
+    nothing names what holds the main text, and in some copies letters change
+    places, as if the page were in a language not learned from.
+    """
+    page = ("html", "body", *((".post",) if rng.random() < 0.05 else ()), *_wrappers(rng, 4))
+    holder = (*_wrappers(rng, 3), *_HOLDS[rng.integers(len(_HOLDS))], *_wrappers(rng, 2))
+    if rng.random() < 0.12:
+        holder = _wrappers(rng, 3)
     out, wanted = [], []
     around_words = sorted(AROUND_WORDS)
+    around: dict[tuple[str, ...], tuple[str, ...]] = {}
 
     def neutral(path: tuple[str, ...]) -> tuple[str, ...]:
         chance = rng.random()
@@ -372,7 +402,10 @@ def _altered(blocks: list[Block], labels: np.ndarray, spare: list[Block], rng: n
 
     def surroundings(inside: bool) -> None:
         container = _AROUND[rng.integers(len(_AROUND))]
-        above = ("html", "body", *(holder if inside else ()), *container)
+        if rng.random() < 0.4:  # any of the words, now and then beside another
+            container = (("div", "div", "section", "ul", "p")[rng.integers(5)], f".{around_words[rng.integers(len(around_words))]}")
+            container = (*container, *((f".{around_words[rng.integers(len(around_words))]}",) if rng.random() < 0.3 else ()))
+        above = (*page, *(holder if inside else _wrappers(rng, 2)), *container, *_wrappers(rng, 2))
         for _ in range(int(rng.integers(1, 5))):
             block = spare[rng.integers(len(spare))]
             leaf = _LEAVES[rng.integers(len(_LEAVES))]
@@ -381,43 +414,79 @@ def _altered(blocks: list[Block], labels: np.ndarray, spare: list[Block], rng: n
 
     for block, main in zip(blocks, labels):
         if rng.random() < (0.12 if main else 0.3):
-            surroundings(inside=bool(main) and rng.random() < 0.7)
-        path = block.path
+            surroundings(inside=bool(main) and rng.random() < 0.8)
+        own = tuple(w for w in block.path if w not in ("html", "body", "article", "main"))
         if main:
-            path = ("html", "body", *holder, *(w for w in path if w not in ("html", "body", "article", "main")))
+            path = (*page, *holder, *own)
             if rng.random() < 0.1:
                 path = (*path[:-1], _LEAVES[rng.integers(len(_LEAVES))])
             path = neutral(path)
+        else:
+            # All blocks of one part stay under the same wrappers.
+            path = (*page, *around.setdefault(own[:1], _wrappers(rng, 2)), *own)
         out.append(replace(block, path=path))
         wanted.append(bool(main))
-    for _ in range(int(rng.integers(0, 3))):
-        surroundings(inside=rng.random() < 0.4)
+    for _ in range(int(rng.integers(0, 4))):
+        surroundings(inside=rng.random() < 0.5)
+    if rng.random() < 0.4:
+        letters = rng.permutation(26)
+        table = {97 + i: 97 + int(k) for i, k in enumerate(letters)} | {65 + i: 65 + int(k) for i, k in enumerate(letters)}
+        out = [replace(block, text=block.text.translate(table)) for block in out]
     return out, np.array(wanted, bool)
 
 
+def _made_up(rng: np.random.Generator, pages: int) -> list[tuple[list[Block], np.ndarray]]:
+    """Pages of made-up words in the built-in containers, to learn from where no page names its main text."""
+    letters = np.array(list("eeeaaiioonnttrrsslldcumpfghbvkwyjz"))
+    words = ["".join(rng.choice(letters, int(n))) for n in rng.integers(2, 11, 3000)]
+
+    def text(least: int, most: int, ends: str) -> str:
+        chosen = [words[int(len(words) * x * x)] for x in rng.random(int(rng.integers(least, most)))]
+        return " ".join(w + ("," if rng.random() < 0.08 and ends else "") for w in chosen).capitalize() + ends
+
+    def page() -> tuple[list[Block], np.ndarray]:
+        found: list[tuple[tuple[str, ...], str, bool, bool]] = []
+        found += [(("nav", "ul", "li"), text(1, 3, ""), True, False) for _ in range(int(rng.integers(0, 8)))]
+        found += [(("div", ".ad"), text(3, 14, "."), False, False)] * int(rng.integers(0, 2))
+        found += [(("h1",), text(3, 12, ""), False, True)] * int(rng.integers(0, 2))
+        for _ in range(int(rng.integers(1, 9))):
+            found += [(("p",), text(8, 120, "."), False, True)] + [(("h2",), text(1, 6, ""), False, True)] * int(rng.integers(0, 2))
+        found += [(("div", ".comments", "p"), text(3, 30, "."), False, False) for _ in range(int(rng.integers(0, 4)))]
+        found += [(("footer", "p"), text(3, 16, "."), False, False)] * int(rng.integers(0, 2))
+        blocks = [Block(("html", "body", *path), t, len(t) if linked else 0) for path, t, linked, _ in found]
+        return blocks, np.array([main for *_, main in found], bool)
+
+    return [page() for _ in range(pages)]
+
+
 def fit(
-    pages: DataFrame, page: str = "html", most_pages: int = 200, rounds: int = 6, most_bytes: int = MOST_LEARNED_BYTES
-) -> Weights | None:
+    pages: DataFrame, page: str = "html", most_pages: int = 150, rounds: int = 8, most_bytes: int = MOST_LEARNED_BYTES
+) -> Weights:
     """Train on the blocks of ``most_pages`` different pages, picked by a hash among those of at most ``most_bytes``.
 
     These are the bounds of the operator, and of what is learned from alone.
     Copies of a page count once. Pages whose markup names no main text are passed over. With none left the
-    result is None, and ``extract`` goes by the markup.
+    network learns from made-up pages in the built-in containers.
     """
     known = pages.where(F.octet_length(F.col(page)) <= most_bytes).select(F.col(page).alias("html"), F.lit(0).alias("all"))
     rows = sample_contents(known, "all", "html", most_pages).select(F.col("content").alias("html")).collect()
+    return train(sorted(r.html for r in rows), rounds)
+
+
+def train(pages: list[str], rounds: int = 8) -> Weights:
+    """Weights from pages labelled by their markup, and from copies of them in other skeletons."""
     rng = np.random.Generator(np.random.PCG64(11))
     examples: list[tuple[list[Block], np.ndarray]] = []
-    for row in sorted(rows, key=lambda r: r.html):
-        blocks = leaf_blocks(row.html)
+    for text in pages:
+        blocks = leaf_blocks(text)
         labels = np.array([markup_label(b.path) for b in blocks], bool)
         if labels.any():
             examples.append((blocks, labels))
     if not examples:
-        return None
+        examples = _made_up(rng, MADE_UP_PAGES)
     spare = [b for blocks, _ in examples for b in blocks]
     for blocks, labels in list(examples):
-        examples += [_altered(blocks, labels, spare, rng) for _ in range(3)]
+        examples += [_altered(blocks, labels, spare, rng) for _ in range(COPIES)]
         if rng.random() < 0.15:  # the text alone, in bare paragraphs
             bare = [Block(("p",) if rng.random() < 0.5 else (), b.text, 0) for b, main in zip(blocks, labels) if main]
             examples.append((bare, np.ones(len(bare), bool)))
@@ -425,7 +494,7 @@ def fit(
     weights = initial_weights()
     first = {k: np.zeros_like(v) for k, v in weights.items()}
     second = {k: np.zeros_like(v) for k, v in weights.items()}
-    step = 0
+    step, steps = 0, rounds * -(-len(encoded) // 16)
     for _ in range(rounds):
         # Pages of similar length together, in random order of groups.
         order = sorted(rng.permutation(len(encoded)).tolist(), key=lambda i: len(encoded[i][1]) // 8)
@@ -434,15 +503,17 @@ def fit(
             own = [encoded[i] for i in groups[g]]
             grads = _gradients([p for p, _ in own], [y for _, y in own], weights)
             step += 1
+            # Steps get smaller, so that the last batches do not undo what the others taught.
+            rate = 0.012 * (1 - 0.92 * step / steps)
             for k, grad in grads.items():
                 first[k] = 0.9 * first[k] + 0.1 * grad
                 second[k] = 0.99 * second[k] + 0.01 * grad**2
-                weights[k] = weights[k] - 0.01 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+                weights[k] = weights[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
     return {k: v.astype(np.float32) for k, v in weights.items()}
 
 
 def extract(
-    pages: DataFrame, weights: Weights | None, keep: list[str] | None = None, page: str = "html", at_least: float = 0.5
+    pages: DataFrame, weights: Weights, keep: list[str] | None = None, page: str = "html", at_least: float = 0.5
 ) -> DataFrame:
     """The columns ``keep`` of ``pages`` (all by default) with ``text`` and ``n_chars``.
 
@@ -455,19 +526,15 @@ def extract(
     shared = pages.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = shared.value, len(keep)
-        for batch in small_batches(batches, last):
-            blocks = [leaf_blocks(row.decode("utf-8", "replace")) for row in utf8_rows(batch.column(last))]
-            if own is None:
-                chosen = [[markup_label(b.path) for b in page] for page in blocks]
-            else:
-                chosen = [p >= at_least for p in probabilities([encode_page(b) for b in blocks], own)]
+        own = shared.value
+        for batch in small_batches(batches, 1):
+            blocks = [leaf_blocks(row.decode("utf-8", "replace")) for row in utf8_rows(batch.column(1))]
+            chosen = [p >= at_least for p in probabilities([encode_page(b) for b in blocks], own)]
             texts = ["\n".join(b.text for b, take in zip(page, takes) if take) for page, takes in zip(blocks, chosen)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:last], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
-                [*keep, *added],
+                [batch.column(0), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["row", *added]
             )
 
-    columns = [F.col(f"`{c}`") for c in keep]
-    schema = with_fields(pages.select(*columns).schema, "text string, n_chars long")
-    return pages.select(*columns, F.col(page).alias("_page")).mapInArrow(run, schema)
+    given = pages.select(carried(keep).alias("row"), F.col(page).alias("page"))
+    extracted = given.mapInArrow(run, with_fields(given.select("row").schema, "text string, n_chars long"))
+    return extracted.select(*(F.col("row")[c].alias(c) for c in keep), *added)
