@@ -10,14 +10,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidegauge.llm.common import staged
+from tidegauge.llm.common import carried, staged
 
 BLANK = r"\x20\x09-\x0D"
 WORD = f"[^{BLANK}]+"
 SYMBOL = r"[#*$%&|<>]"
 WINDOW = 5
 MOST_HOST_FAILURES = 0.5
+# Texts above this size are measured by rows of words instead of arrays, which a JVM must hold whole.
+LONG_BYTES = 4 << 20
+PIECE_CHARACTERS = 1 << 16
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -58,6 +62,39 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def long_measures(docs: DataFrame, text: str) -> DataFrame:
+    """(id, n_words, ...): ``measures`` of long texts, from rows (id, text), without a whole text's words in one place.
+
+    A text is cut after words into pieces, and each word becomes a row.
+    Windows are then made, counted and placed by sorted and grouped rows, which spill to disk.
+    """
+    pieces = docs.select("id", F.posexplode(F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{PIECE_CHARACTERS}}}[^{BLANK}]*)"))).alias("piece", "part"))
+    words = F.regexp_extract_all("part", F.lit(f"({WORD})"))
+    counts = pieces.select("id", words.alias("words"), F.regexp_count("part", F.lit(SYMBOL)).alias("symbols"))
+    counts = counts.groupBy("id").agg(
+        F.sum(F.size("words")).alias("n_words"), F.sum(F.length(F.array_join("words", ""))).alias("word_chars"), F.sum("symbols").alias("n_symbols")
+    )
+    lines = docs.select("id", F.explode(F.split(text, "\n")).alias("line")).where(F.col("line").rlike(f"[^{BLANK}]"))
+    lines = lines.groupBy("id", F.sha2("line", 256).alias("line")).agg((F.count("*") - 1).alias("copies"))
+    lines = lines.groupBy("id").agg(F.sum("copies").alias("n_dup_lines"))
+
+    placed = pieces.select("id", "piece", F.posexplode(F.transform(words, lambda w: F.xxhash64(w))).alias("at", "word"))
+    order = Window.partitionBy("id").orderBy("piece", "at")
+    following = [F.lead("word", k).over(order).alias(f"word{k}") for k in range(1, WINDOW)]
+    placed = placed.select("id", F.row_number().over(order).alias("place"), "word", *following).where(f"word{WINDOW - 1} is not null")
+    windows = placed.select("id", "place", F.xxhash64("word", *(f"word{k}" for k in range(1, WINDOW))).alias("window"))
+    windows = staged(windows, "windows")
+    twice = windows.groupBy("id", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = windows.join(staged(twice, "repeated"), ["id", "window"], "left_semi")
+    # Each repeated window covers its words up to the next one's first.
+    until = F.lead("place").over(Window.partitionBy("id").orderBy("place")) - F.col("place")
+    covered = repeated.select("id", F.least(F.coalesce(until, F.lit(WINDOW)), F.lit(WINDOW)).alias("covered"))
+    covered = covered.groupBy("id").agg(F.sum("covered").alias("n_repeat_words"))
+    both = counts.join(lines, "id", "left").join(covered, "id", "left")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return both.select("id", *(F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in names))
+
+
 def base_failed() -> Column:
     """Too few words, or more than a fifth of them in repeated windows."""
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -88,15 +125,26 @@ def judge(docs: DataFrame, host: Column, text: str = "text", most_failures: floa
     """``docs`` without the text, with the measures, base_failed, host_rate and kept.
 
     A document is kept if it passes its own rules and its host's rate is not
-    above ``most_failures``. A NULL host is a host of its own. Repeated rows
+    above ``most_failures``. Texts of more than ``LONG_BYTES`` are measured
+    by ``long_measures``, with the same results. A NULL host is a host of its own. Repeated rows
     count as often as they come; columns of the names added are replaced.
     """
     added = ("host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "kept")
     columns = [c for c in docs.columns if c != text and c not in added]
-    given = docs.select(*(F.col(f"`{c}`") for c in columns), F.col(text).alias("_text"), host.alias("host"))
-    measured = staged(measures(given, "_text").drop("_text").withColumn("base_failed", base_failed()), "measured")
-    rates = host_rates(measured.select("host", F.col("base_failed").alias("failed")))
-    rates = rates.select(F.col("host").alias("_host"), "host_rate")
-    return measured.join(rates, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host").withColumn(
-        "kept", ~F.col("base_failed") & (F.col("host_rate") <= most_failures)
+    short = F.coalesce(F.octet_length(F.col(text)) <= LONG_BYTES, F.lit(True))
+    given = docs.select(
+        carried(columns).alias("own"), host.alias("host"), F.when(short, F.col(text)).alias("text"), F.when(~short, F.col(text)).alias("long_text")
     )
+    measured = staged(measures(given, "text").drop("text"), "measured")
+    long, measured = measured.where("long_text is not null"), measured.where("long_text is null").drop("long_text")
+    if not long.isEmpty():
+        # The few long texts once more, with a number each that stays theirs.
+        numbered = staged(long.select("own", "host", "long_text", F.monotonically_increasing_id().alias("id")), "long")
+        of_long = numbered.drop("long_text").join(long_measures(numbered, "long_text"), "id").drop("id")
+        measured = measured.unionByName(staged(of_long.select(measured.columns), "long_measured"))
+    measured = measured.withColumn("base_failed", base_failed())
+    rates = host_rates(measured.select("host", F.col("base_failed").alias("failed")))
+    rates = rates.select(F.col("host").alias("of_host"), "host_rate")
+    judged = measured.join(rates, F.col("host").eqNullSafe(F.col("of_host")), "left")
+    kept = ~F.col("base_failed") & (F.col("host_rate") <= most_failures)
+    return judged.withColumn("kept", kept).select(*(F.col("own")[c].alias(c) for c in columns), *added)
