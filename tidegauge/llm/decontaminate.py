@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import hash_rows, separator_table, small_batches, staged, utf8_rows
+from tidegauge.llm.common import carried, hash_rows, separator_table, small_batches, staged, utf8_rows
 
 # Words are runs of digits, a-z and whatever lies beyond ASCII.
 WORD_TABLE = separator_table(bytes(b for b in range(128) if not chr(b).isalnum()), lower=True)
@@ -98,7 +98,7 @@ def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 def phrases(items: DataFrame, width: int = 13, text: str = "text", item_id: str = "item_id") -> DataFrame:
     """(item_id, terms): each run of ``width`` words of each item, or all its words if there are fewer.
 
-    Items without words or without an id have none.
+    Items without words have none; those without an id share the NULL id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,36 +114,42 @@ def phrases(items: DataFrame, width: int = 13, text: str = "text", item_id: str
                 [pa.array(ids, pa.int64()), pa.array(runs, pa.list_(pa.int64()))], ["item_id", "terms"]
             )
 
-    given = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text"))
+    given = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text"))
     return given.mapInArrow(run, "item_id long, terms array<long>").distinct()
 
 
 def intersect(
     postings: dict[int, np.ndarray], ordered: Sequence[tuple[int, int]], owner: np.ndarray, slop: int = 0
 ) -> np.ndarray:
-    """Starts of the phrase: positions at which every (term, offset) of ``ordered`` occurs.
+    """The matches of a phrase: per match the position of every (term, offset) of ``ordered``, in that order.
 
-    With ``slop`` a term may lie that many words off its place, in the same
-    document; ``owner`` names the document of each position. The first of
-    ``ordered`` is taken at its place, so that a match is counted once for it.
+    The first of ``ordered`` is the anchor, so that a match is counted once for
+    it. A further term matches at the occurrence nearest to its place as seen
+    from the anchor, the earlier of two equally near, if that is at most
+    ``slop`` words off and in the anchor's document; ``owner`` names the
+    document of each position.
     """
     term, offset = ordered[0]
-    starts = postings[term].astype(np.int64) - offset
-    for term, offset in ordered[1:]:
-        if not len(starts):
+    anchors = postings[term].astype(np.int64)
+    matches = anchors[:, None]
+    for term, other in ordered[1:]:
+        if not len(matches):
             break
-        held, wanted = postings[term], starts + offset
+        held, wanted = postings[term], matches[:, 0] - offset + other
         at = np.searchsorted(held, wanted)
-        if not slop:
-            starts = starts[(at < len(held)) & (held[np.minimum(at, len(held) - 1)] == wanted)]
-            continue
-        anchor = owner[starts + ordered[0][1]]
-        close = np.zeros(len(starts), bool)
-        for side in (np.maximum(at - 1, 0), np.minimum(at, len(held) - 1)):
-            near = held[side]
-            close |= (np.abs(near - wanted) <= slop) & (owner[near] == anchor)
-        starts = starts[close]
-    return starts
+        before, after = held[np.maximum(at - 1, 0)], held[np.minimum(at, len(held) - 1)]
+        if slop:
+            document = owner[matches[:, 0]]
+            far = np.iinfo(np.int64).max
+            off_before, off_after = (
+                np.where(owner[near] == document, np.abs(near - wanted), far) for near in (before, after)
+            )
+            nearest = np.where(off_before <= off_after, before, after)
+            close = np.minimum(off_before, off_after) <= slop
+        else:
+            nearest, close = after, after == wanted
+        matches = np.concatenate([matches, nearest[:, None].astype(np.int64)], axis=1)[close]
+    return matches
 
 
 def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
@@ -176,21 +182,19 @@ def _search_block(index: pa.Table, wanted: pa.Table, slop: int) -> pa.Table:
         for term, held in zip(index.column("term").to_pylist(), index.column("positions").combine_chunks())
         if term is not None
     }
-    by_item: dict[int, list[np.ndarray]] = {}
+    by_item: dict[int | None, list[np.ndarray]] = {}
     for item, ordered in zip(wanted.column("item_id").to_pylist(), wanted.column("ordered").to_pylist()):
         terms = [(t["term"], t["place"]) for t in ordered]
         if all(term in postings for term, _ in terms):
-            starts = intersect(postings, terms, owner, slop)
-            if len(starts):
-                by_item.setdefault(item, []).append((starts[:, None] + np.arange(len(terms))).ravel())
+            matches = intersect(postings, terms, owner, slop)
+            if len(matches):
+                by_item.setdefault(item, []).append(matches.ravel())
     if not by_item:
         return _MATCHES.empty_table()
     hit, spans = np.zeros(len(owner), bool), {}
-    for item, found in sorted(by_item.items()):
+    for item, found in sorted(by_item.items(), key=lambda kept: (kept[0] is not None, kept[0])):
         marks = np.zeros(len(owner), bool)
-        inside = np.concatenate(found)
-        marks[inside[(inside >= 0) & (inside < len(owner))]] = True
-        marks[base[1:] - 1] = False  # the gaps, which a phrase with slop may cover
+        marks[np.concatenate(found)] = True
         hit |= marks
         for start, end in _runs(marks):
             place = int(owner[start])
@@ -205,14 +209,16 @@ def search(index: DataFrame, wanted: DataFrame, slop: int = 0) -> DataFrame:
     """One row per document of the index: (doc_id, n_words, n_hit, spans).
 
     ``wanted`` holds phrases as from ``phrases``. ``spans`` lists, per item,
-    the runs of words covered by its phrases, as word numbers from 0, the end
-    not included. ``n_hit`` counts the words covered by any item. With
-    ``slop`` 0 only exact phrases count; else words may be that far off.
+    the runs of words that its phrases matched, as word numbers from 0, the end
+    not included. ``n_hit`` counts the words matched by any item. With
+    ``slop`` 0 only exact phrases count; else each word may be that far off its
+    place as seen from the phrase's rarest word, in either direction.
     """
     wanted = staged(wanted, "phrases")
     terms = staged(wanted.select(F.explode("terms").alias("term")).distinct(), "terms")
     held = index.where("term is not null").join(terms, "term", "left_semi")
-    frequency = held.groupBy("term").agg(F.sum("n").alias("frequency"))
+    # From files, as the join below can then be split where many phrases share a term.
+    frequency = staged(held.groupBy("term").agg(F.sum("n").alias("frequency")), "frequency")
     each = wanted.withColumn("phrase", F.xxhash64("item_id", "terms")).select(
         "phrase", "item_id", F.size("terms").alias("width"), F.posexplode("terms").alias("place", "term")
     )
@@ -260,28 +266,33 @@ def contamination(
     doc_id: str = "doc_id",
     item_text: str = "text",
     item_id: str = "item_id",
+    slop: int = 0,
 ) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
     A NULL or empty text has no words and is clean. Every row of ``docs`` comes
-    back once, repeated and NULL ids included. Items that repeat an id count as one.
+    back once, repeated and NULL ids included. Items that repeat an id count as
+    one. The words of items without an id are hit like any others; such items
+    are neither counted nor listed. ``slop`` is that of ``search``.
     """
-    found = search(build_index(docs, text, doc_id), phrases(items, width, item_text, item_id))
-    matched = F.coalesce(F.array_distinct(F.col("spans")["item_id"].cast("array<string>")), F.array().cast("array<string>"))
-    return found.withColumn("_items", F.array_sort(matched)).select(
+    found = search(build_index(docs, text, doc_id), phrases(items, width, item_text, item_id), slop)
+    named = F.array_compact(F.col("spans")["item_id"].cast("array<string>"))
+    matched = F.array_sort(F.coalesce(F.array_distinct(named), F.array().cast("array<string>")))
+    return found.select(
         "doc_id",
         "n_words",
         "n_hit",
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
+        F.size(matched).cast("long").alias("n_items"),
+        F.sha2(F.array_join(matched, ","), 256).alias("items_sha256"),
         contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
         "spans",
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, width: int = 13) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, width: int = 13, slop: int = 0) -> DataFrame:
     """``docs`` (with doc_id and text) without the contaminated ones. Rows with equal id and text share their fate."""
     key = F.xxhash64("doc_id", "text")
-    verdicts = contamination(docs.select("text", key.alias("_key")), items, width, doc_id="_key")
-    dirty = verdicts.where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(dirty, "_key", "left_anti").select(docs.columns)
+    verdicts = contamination(docs.select("text", key.alias("key")), items, width, doc_id="key", slop=slop)
+    dirty = verdicts.where("contaminated").select(F.col("doc_id").alias("key")).distinct()
+    own = docs.select(carried(docs.columns).alias("own"), key.alias("key")).join(dirty, "key", "left_anti")
+    return own.select(*(F.col("own")[c].alias(c) for c in docs.columns))

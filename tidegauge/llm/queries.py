@@ -38,7 +38,7 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(_table(spark, sf_dir, "conversations")).drop("place")
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,7 @@ _HOST_RULES_SQL = r"""
 _DECONTAMINATION_SQL = r"""
     with item_words as (
         select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark where item_id is not null),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
     wanted as (select distinct item_id, least(13, len(ws)) as width, array_to_string(ws[i:i + 12], ' ') as gram
                from (select item_id, ws, unnest(range(1, greatest(2, len(ws) - 11))) as i from item_words where len(ws) > 0)),
     doc_words as (
@@ -159,7 +159,7 @@ _DECONTAMINATION_SQL = r"""
               join wanted using (gram, width)),
     hits as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(i, i + width)) as place from found) group by doc_id),
     items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as listed
-              from (select distinct doc_id, item_id::varchar as item from found) group by doc_id)
+              from (select distinct doc_id, item_id::varchar as item from found where item_id is not null) group by doc_id)
     select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
            sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
     from doc_words left join hits using (doc_id) left join items using (doc_id)
