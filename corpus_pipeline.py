@@ -15,13 +15,15 @@ from tidegauge.llm import common, decontaminate, language, mixing, simhash, toke
 from tidegauge.sources import scratch
 
 TOKENIZER = "word_bpe_49k.json"
+# Languages that stay, all learned ones if None, and the least score of a document's language.
+WANTED_LANGUAGES: list[str] | None = None
+LEAST_LANGUAGE_SCORE = 0.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out documents without a language: no text, or no letter in it."""
+    """Leave out documents in no wanted language, or in none at all, and name the language where it was not given."""
     model = language.fit(docs.where(common.outside_fold(0)))
-    judged = language.predict(docs, model)
-    return judged.where(~language.rejected(judged["lang_pred"])).select(docs.columns)
+    return language.accept(docs, model, WANTED_LANGUAGES, LEAST_LANGUAGE_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
