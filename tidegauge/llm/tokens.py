@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,8 +33,8 @@ WRITE_OPTIONS = {
     "parquet.enable.dictionary#place": "false",
 }
 
-# Words remembered per worker process, about 200 bytes each.
-CACHE_WORDS = 200_000
+# Words, and pieces of words, remembered per worker process, about 200 bytes each.
+CACHE_WORDS, CACHE_LENGTH = 200_000, 64
 
 # The pieces a text is cut into, as the tokenizer's own pattern has them, for characters up to U+017F.
 _LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
@@ -42,6 +42,8 @@ _DIGITS = "0-9²³¹¼½¾"
 _BLANKS = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_BLANKS}{_LETTERS}{_DIGITS}]+")
 _WIDE = re.compile("[^\\x00-\\u017f]")
+# Characters beyond the patterns above, and those that Python takes for blanks and the tokenizer does not.
+_OTHER = re.compile("[^\\x00-\\x1b\\x20-\\u017f]")
 _SPLIT = re.compile("[\\t\\n\\x0b\\x0c\\r ]+")
 
 
@@ -52,6 +54,20 @@ def _byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+class _Words(dict):
+    """Packed ids by word; a word not seen before is cut into pieces, and remembered while there is room."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self._encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        packed = self._encode(word)
+        if len(self) < CACHE_WORDS and len(word) <= CACHE_LENGTH:
+            self[word] = packed
+        return packed
+
+
 class WordEncoder:
     """Encodes texts by words, remembering frequent ones; the ids are those of encoding the whole text.
 
@@ -68,13 +84,14 @@ class WordEncoder:
         self._characters = _byte_characters()
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._pieces: dict[str, bytes] = {}
+        self._words = _Words(self._narrow)
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
     def _remember(self, key: str, packed: bytes) -> bytes:
-        if len(self._pieces) < CACHE_WORDS:
+        if len(self._pieces) < CACHE_WORDS and len(key) <= CACHE_LENGTH:
             self._pieces[key] = packed
         return packed
 
@@ -86,19 +103,21 @@ class WordEncoder:
         return self._packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _narrow(self, text: str) -> bytes:
+        """Of a text in lower case without wide characters."""
         known, piece = self._pieces.get, self._piece
-        return b"".join([known(p) or piece(p) for p in _PIECES.findall(text.lower())])
+        return b"".join([known(p) or piece(p) for p in _PIECES.findall(text)])
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self._special):
             return self._whole(text)
-        if not _WIDE.search(text):
-            return self._narrow(text)
+        if not _OTHER.search(text):
+            # No piece reaches over a blank, so a text is its words, of which most were seen before.
+            return b"".join(map(self._words.__getitem__, text.lower().split()))
         parts = []
         for word in _SPLIT.split(text):
             if not _WIDE.search(word):
-                parts.append(self._narrow(word))
+                parts.append(self._narrow(word.lower()))
             else:
                 # A key that no piece has, as pieces hold no blanks.
                 key = f" {word}"
