@@ -183,12 +183,17 @@ def _search_block(index: pa.Table, wanted: pa.Table, slop: int) -> pa.Table:
         if term is not None
     }
     by_item: dict[int | None, list[np.ndarray]] = {}
-    for item, ordered in zip(wanted.column("item_id").to_pylist(), wanted.column("ordered").to_pylist()):
-        terms = [(t["term"], t["place"]) for t in ordered]
-        if all(term in postings for term, _ in terms):
-            matches = intersect(postings, terms, owner, slop)
-            if len(matches):
-                by_item.setdefault(item, []).append(matches.ravel())
+    terms, places = (wanted.column(c).combine_chunks() for c in ("terms", "places"))
+    items, at = wanted.column("item_id").to_pylist(), terms.offsets.to_numpy().astype(np.int64)
+    terms, places, at = terms.flatten().to_numpy(), places.flatten().to_numpy(), at - at[0]
+    # Most candidates fail here: a phrase needs all its terms to be in the block.
+    present = np.isin(terms, np.fromiter(postings, np.int64, len(postings)))
+    whole = np.logical_and.reduceat(present, at[:-1])
+    for i in np.flatnonzero(whole).tolist():
+        own = slice(at[i], at[i + 1])
+        matches = intersect(postings, list(zip(terms[own].tolist(), places[own].tolist())), owner, slop)
+        if len(matches):
+            by_item.setdefault(items[i], []).append(matches.ravel())
     if not by_item:
         return _MATCHES.empty_table()
     hit, spans = np.zeros(len(owner), bool), {}
@@ -228,12 +233,14 @@ def search(index: DataFrame, wanted: DataFrame, slop: int = 0) -> DataFrame:
         .groupBy("phrase", "item_id", "width")
         .agg(F.sort_array(F.collect_list(F.struct("frequency", "term", "place"))).alias("ordered"))
         .where(F.size("ordered") == F.col("width"))
-        .select("item_id", F.col("ordered")[0]["term"].alias("term"), "ordered")
+        .select(
+            "item_id", F.col("ordered")[0]["term"].alias("term"), F.col("ordered")["term"].alias("terms"), F.col("ordered")["place"].alias("places")
+        )
     )
     ranked = staged(ranked, "ranked")
     candidates = index.where("term is not null").select("term", "block").join(ranked, "term")
     # A name of its own: the other side of the cogroup comes from the same table.
-    candidates = candidates.select(F.col("block").alias("in_block"), "item_id", "ordered")
+    candidates = candidates.select(F.col("block").alias("in_block"), "item_id", "terms", "places")
     blocks = candidates.select("in_block").distinct()
     needed = held.select("block", "term", "positions", "sizes").unionByName(
         index.where("term is null").select("block", "term", "positions", "sizes")
