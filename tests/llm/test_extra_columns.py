@@ -1,14 +1,15 @@
 """Operators leave the caller's other columns as they are, whatever these are called, maps included."""
 
 import itertools
-from pathlib import Path
 import re
+from pathlib import Path
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.llm import common, decontaminate, filter_audit, host_rules, html_blocks, language, mixing, simhash, token_counts, toxicity
-from test_llm import importable, table  # noqa: F401
+from test_llm import importable  # noqa: F401
 
 LLM = Path(common.__file__).parent
 # Every name that any operator gives a column, and more of the kind.
@@ -93,6 +94,8 @@ def test_audit_and_token_counts(spark, documents):
     plain = documents.select("doc_id", "text", "lang")
     rows = [sorted(map(tuple, filter_audit.audit_documents(d, labels).collect())) for d in (documents, plain)]
     assert rows[0] == rows[1] and len(rows[0]) == 600 * 3
+    counted = token_counts.count_tokens(documents, token_counts.prove(public_tokenizers.path("byte_bpe_50k.json")))
+    assert unchanged(counted, documents, ("n_bytes", "n_tokens", "over_limit")) == documents.count()
 
 
 def test_language_stage_decides(spark):

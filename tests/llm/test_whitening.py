@@ -5,7 +5,6 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tidegauge.llm import queries, whitening
 from conftest import DATA

@@ -52,14 +52,20 @@ def carried(columns: Sequence[str]) -> Column:
     return F.struct(*named) if named else F.struct(F.lit(0).alias("none"))
 
 
+def sent_if_small(table: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """A written copy of a narrow table, marked to be sent to all tasks if it has at most ``most_rows`` rows, else left to Spark."""
+    table = staged(table, "small")
+    return F.broadcast(table) if table.count() <= most_rows else table
+
+
 def smallest_draws(rows: DataFrame, label: str, key: Sequence[str], per_class: int) -> DataFrame:
     """Of each value of ``label`` the ``per_class`` rows, at most, with the smallest draws, which are hashes of ``key``."""
     # Some more than wanted, of which the window below keeps the wanted number: it sees no more rows than these.
     drawn = per_class + 8 * per_class**0.5 + 16
     place = F.pmod(F.xxhash64(*key, F.lit("draw")), F.lit(1 << 40)) / float(1 << 40)
-    # One row per label; Spark broadcasts it or not by its size.
     sizes = rows.groupBy(label).agg(F.count("*").alias("in_class"))
-    near = rows.join(sizes, label).withColumn("place", place).where(F.col("place") * F.col("in_class") < drawn)
+    # Sent to the rows, so that those of a frequent label do not all go to one task.
+    near = rows.join(sent_if_small(sizes), label).withColumn("place", place).where(F.col("place") * F.col("in_class") < drawn)
     rank = F.row_number().over(Window.partitionBy(label).orderBy("place", *key))
     return near.withColumn("rank", rank).where(F.col("rank") <= per_class).select(*rows.columns)
 
@@ -77,7 +83,7 @@ def sample_contents(df: DataFrame, label: str, content: str, per_class: int) ->
     )
     keys = staged(given.select("label", "key").distinct(), "contents")
     chosen = smallest_draws(keys, "label", ["key"], per_class).select("label", "key")
-    return given.join(F.broadcast(chosen), ["label", "key"]).dropDuplicates(["label", "key"]).select("label", "content", "key")
+    return given.join(sent_if_small(chosen), ["label", "key"]).dropDuplicates(["label", "key"]).select("label", "content", "key")
 
 
 def utf8_rows(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

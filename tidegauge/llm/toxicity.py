@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import (
     carried,
+    sent_if_small,
     hash_words,
     prefix_hashes,
     separator_table,
@@ -292,7 +293,7 @@ def fit(
     short = short.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
     # Rows that repeat an id and a text count once.
     contents = staged(short.select("id", "hash").join(known, "id").distinct(), "contents")
-    sample = staged(smallest_draws(contents, "toxic", ["id", "hash"], per_class), "sample")
+    sample = smallest_draws(contents, "toxic", ["id", "hash"], per_class)
     shares = dict(known.groupBy("toxic").count().collect())
     prior = shares.get(1, 0) / max(1, sum(shares.values()))
 
@@ -306,7 +307,7 @@ def fit(
             )
 
     # At most ``per_class`` rows of each label.
-    given = short.join(F.broadcast(sample), ["id", "hash"]).dropDuplicates(["id", "hash"]).orderBy("id", "hash").select("id", "toxic", "text")
+    given = short.join(sent_if_small(sample), ["id", "hash"]).dropDuplicates(["id", "hash"]).orderBy("id", "hash").select("id", "toxic", "text")
     got = given.mapInArrow(featurise, "doc_id long, toxic int, features array<int>").toArrow()
     lists = got.column("features").combine_chunks()
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
