@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import (
     carried,
-    sent_if_small,
     hash_words,
     prefix_hashes,
+    sent_if_small,
     separator_table,
     small_batches,
     smallest_draws,
