@@ -73,6 +73,20 @@ EVENTS_TABLE = TableSchema.from_config(
     ],
 )
 
+# Orders landed by status; priorities that are no number have a default, and customers of the status P no key.
+LANDED_TABLE = TableSchema.from_config(
+    "landed_orders",
+    "sales",
+    [
+        {"source": "o_orderkey", "target": "order_id", "type": "string", "nullable": False},
+        {"source": "o_totalprice", "target": "whole_price", "type": "int", "nullable": False},
+        {"source": "o_orderpriority", "target": "priority", "type": "int", "default": "-1"},
+        {"source": "customer", "target": "customer.id", "type": "bigint", "nullable": False},
+        {"source": "o_orderstatus", "target": "status", "type": "string"},
+    ],
+    partition_keys=["status"],
+)
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return sources.scan_parquet(spark, sources.Location(sf_dir), f"{name}.parquet")
@@ -529,6 +543,23 @@ def cast_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.cast_columns(orders, rules).select("o_orderkey", "price_text", F.col("price.amount").alias("amount"))
 
 
+def _orders_to_land(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = F.when(F.col("o_orderstatus") != "P", F.col("o_custkey"))
+    return _table(spark, sf_dir, "orders").withColumn("customer", customer)
+
+
+def table_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One status is landed once more, with half its orders, which replace the others of that status alone.
+    at, orders = sources.scratch(spark), _orders_to_land(spark, sf_dir)
+    plans.write_table(orders, LANDED_TABLE, at)
+    plans.write_table(orders.where("o_orderstatus = 'F' and o_orderkey % 2 = 0"), LANDED_TABLE, at, replace_parts=True)
+    return _no_null(plans.read_table(spark, LANDED_TABLE, at).withColumnRenamed("customer.id", "customer_id"), "customer_id")
+
+
+def table_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.required_report(_orders_to_land(spark, sf_dir), LANDED_TABLE)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The whole sensor job on the smallest tables."""
     return sensor_job(spark, "/root/testdata/sf0.001")
@@ -548,6 +579,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         sensor_job,
         incremental_report, incremental_quality, distinct_sketches, trigger_windows, downstream_rollups,
         series_values, exact_agg, exact_stats, history_by_run, clustered_lookup, bad_line_report, bad_lines, cast_path,
+        table_landed, table_required,
     )
     named = {query.__name__: query for query in listed}
     if llm_queries:
@@ -967,6 +999,17 @@ def oracle_sql() -> dict[str, str]:
             select case status when 4 then 'text' when 5 then 'range' else 'no object' end as kind, count(*) as lines
             from ({_READINGS_SQL}) where status in (4, 5, 7) group by 1
         """,
+        "table_landed": """
+            select o_orderkey::varchar as order_id, trunc(o_totalprice)::integer as whole_price,
+                   coalesce(try_cast(o_orderpriority as integer), -1) as priority,
+                   case when o_orderstatus <> 'P' then o_custkey else -1 end as customer_id, o_orderstatus as status
+            from orders where o_orderstatus <> 'F' or o_orderkey % 2 = 0
+        """,
+        "table_required": """
+            select 'order_id' as column_name, count(*) as rows, 0::bigint as missing, false as violated from orders
+            union all select 'whole_price', count(*), 0, false from orders
+            union all select 'customer.id', count(*), count(*) filter (where o_orderstatus = 'P'), bool_or(o_orderstatus = 'P') from orders
+        """,
         "cast_path": """
             select o_orderkey, trunc(o_totalprice)::integer::varchar as price_text, trunc(o_totalprice)::integer as amount from orders
         """,

@@ -17,6 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidegauge.schema import quoted
+
+__all__ = ["empty_state", "mean", "merged", "quoted", "sum_state", "total"]
+
 _BITS = 60
 _UNIT = f"pow(2D, -{_BITS})"
 # Wide enough for the sum of 10**10 digits in each of as many parts.
@@ -25,11 +29,6 @@ _BASE = f"cast({1 << _BITS} as {_SUM_TYPE})"
 _DIGITS = ("whole", "high", "low")
 
 
-def quoted(name: str) -> str:
-    """A column's name as SQL text."""
-    return "`" + name.replace("`", "``") + "`"
-
-
 def sum_state(value: str) -> str:
     """An aggregate: the sum of a column as a struct that ``merged`` can add to others. NULLs have no part."""
     value = f"cast({value} as double)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators.casting import cast_columns
 from tidegauge.operators.quality import null_ratio
-from tidegauge.schema import TableSchema
+from tidegauge.schema import TableSchema, quoted
 
 
 def schema_catalog(df: DataFrame, table: TableSchema) -> DataFrame:
@@ -19,9 +19,9 @@ def schema_catalog(df: DataFrame, table: TableSchema) -> DataFrame:
         return F.create_map(*values)[F.col("column_name")].cast(type_)
 
     # A target's name may hold dots, which are no path into a struct here.
-    quoted = ["`" + name.replace("`", "``") + "`" for name in rules]
+    columns = [quoted(name) for name in rules]
     names = F.array(*map(F.lit, rules))
-    ratios = null_ratio(cast_columns(df, table.rules), quoted).withColumn("column_name", F.get(names, F.col("position") - 1))
+    ratios = null_ratio(cast_columns(df, table.rules), columns).withColumn("column_name", F.get(names, F.col("position") - 1))
     return ratios.select(
         F.lit(table.database).alias("database_name"),
         F.lit(table.name).alias("table_name"),

@@ -42,12 +42,17 @@ def types_of(schema: T.StructType) -> dict[str, str]:
 SENSOR_SCHEMA = struct_from_types(SENSOR_TYPES)
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL text, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 @dataclass(frozen=True)
 class CastRule:
     """Fill ``target`` with ``source`` cast to ``type``.
 
     ``nullable`` and ``default`` describe the column for readers of the
-    catalogue; casting does not act on them.
+    catalogue and for tables landed by their schema; casting alone does not act on them.
     """
 
     source: str
@@ -65,10 +70,12 @@ class TableSchema:
     partition_keys: tuple[str, ...] = ()
 
     @classmethod
-    def from_config(cls, name: str, database: str, columns: Iterable[Mapping]) -> TableSchema:
-        """Build from dicts with ``source``, ``target``, ``type`` and maybe ``nullable``."""
-        rules = (CastRule(c["source"], c["target"], c["type"], c.get("nullable", True)) for c in columns)
-        return cls(name, database, tuple(rules))
+    def from_config(
+        cls, name: str, database: str, columns: Iterable[Mapping], partition_keys: Iterable[str] = ()
+    ) -> TableSchema:
+        """Build from dicts with ``source``, ``target``, ``type`` and maybe ``nullable`` and ``default``."""
+        rules = (CastRule(c["source"], c["target"], c["type"], c.get("nullable", True), c.get("default")) for c in columns)
+        return cls(name, database, tuple(rules), tuple(partition_keys))
 
     def types(self) -> dict[str, str]:
         """Target column to type name; of two rules for one target the later wins."""
@@ -78,8 +85,7 @@ class TableSchema:
         """The targets as a schema. A target named twice is an error here."""
         if len(self.types()) < len(self.rules):
             raise ValueError(f"{self.name}: a target column is named twice")
-        quoted = ((name.replace("`", "``"), ddl) for name, ddl in self.types().items())
-        return T.StructType.fromDDL(", ".join(f"`{name}` {ddl}" for name, ddl in quoted))
+        return T.StructType.fromDDL(", ".join(f"{quoted(name)} {ddl}" for name, ddl in self.types().items()))
 
 
 @dataclass(frozen=True)
