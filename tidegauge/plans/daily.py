@@ -28,6 +28,7 @@ from tidegauge.sources.locations import Location
 
 # What Spark calls the folder of the rows without a day.
 _NO_DAY = "__HIVE_DEFAULT_PARTITION__"
+_OF_BATCH = " of "
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,10 @@ class DailyStates:
     the duplicate ratio is then an estimate. Other keys, columns or sketch sizes
     have states of their own.
 
+    With ``batch``, a second folder column, each batch of a day has states of its
+    own: rows that come late in a new batch are read without the day's other rows.
+    ``schema`` is the type text of the table; without it the files are asked, and must exist.
+
     States are written under the day's fingerprint before the day's entry names
     it, so a refresh that breaks off leaves the former states in force, and one
     that is tried again replaces what it wrote.
@@ -51,13 +56,23 @@ class DailyStates:
     keys: tuple[str, ...] = ("device_id",)
     columns: tuple[str, ...] = MEANS
     lg_k: int | None = None
+    batch: str | None = None
+    schema: str | None = None
 
     def _part(self) -> Column:
         # A text that is never taken for a number or a date when folders are read.
-        return F.concat(F.lit("day "), F.coalesce(F.col(f"`{self.day}`").cast("string"), F.lit(_NO_DAY)))
+        day = F.concat(F.lit("day "), F.coalesce(F.col(f"`{self.day}`").cast("string"), F.lit(_NO_DAY)))
+        return F.concat(day, F.lit(_OF_BATCH), F.col(f"`{self.batch}`").cast("string")) if self.batch else day
+
+    def _day_of(self, part: Column) -> Column:
+        return F.substring_index(part, _OF_BATCH, 1) if self.batch else part
+
+    def _table(self, spark: SparkSession) -> DataFrame:
+        reader = spark.read.schema(self.schema) if self.schema else spark.read
+        return reader.parquet(self.source)
 
     def _folder(self, table: str) -> str:
-        settings = repr((tuple(self.keys), tuple(dict.fromkeys(self.columns)), self.lg_k))
+        settings = repr((tuple(self.keys), tuple(dict.fromkeys(self.columns)), self.lg_k, *([self.batch] if self.batch else [])))
         return f"{self.key}/{zlib.crc32(settings.encode()):08x}/{table}"
 
     def _read(self, spark: SparkSession, table: str) -> DataFrame | None:
@@ -87,8 +102,12 @@ class DailyStates:
             return spark.createDataFrame([], "part string, print long")
         return days.where(F.col("print").isNotNull()).select("part", "print")
 
+    def is_empty(self, spark: SparkSession) -> bool:
+        """Whether nothing was ever stored."""
+        return self._read(spark, "groups") is None
+
     def refresh(self, spark: SparkSession) -> list[str]:
-        """Bring the states up to date; the days that were read for it, and those that are no more.
+        """Bring the states up to date; the days (with ``batch``: "day of batch") that were read for it, and those that are no more.
 
         The driver sees one short row per changed day.
         """
@@ -108,7 +127,7 @@ class DailyStates:
 
     def _readings_of(self, spark: SparkSession, parts: list[str]) -> DataFrame:
         # The folders' own column alone decides, so all other folders are left out of the scan.
-        return spark.read.parquet(self.source).where(self._part().isin(parts)).withColumn("part", self._part())
+        return self._table(spark).where(self._part().isin(parts)).withColumn("part", self._part())
 
     def _groups(self, readings: DataFrame) -> DataFrame:
         counts = {f"filled_{i}": F.count(F.col(c)) for i, c in enumerate(dict.fromkeys(self.columns))}
@@ -132,7 +151,7 @@ class DailyStates:
         if stored is None:
             raise ValueError("no states are stored; call refresh")
         if days is not None:
-            entries = entries.where(F.col("part").between(f"day {days[0]}", f"day {days[1]}"))
+            entries = entries.where(self._day_of(F.col("part")).between(f"day {days[0]}", f"day {days[1]}"))
         return stored.join(entries, ["part", "print"], "left_semi")
 
     def by_location(self, spark: SparkSession, days: tuple[str, str] | None = None) -> DataFrame:
@@ -187,7 +206,7 @@ class DailyStates:
 
         ``date_column`` says that the folders are dates, those of the readings' times.
         """
-        readings = spark.read.parquet(self.source)
+        readings = self._table(spark)
         rollup = rollup_with_counts(
             readings, trigger, minutes, alert_above=alert_above, by=("location",),
             date_column=self.day if date_column else None, exact_means=True,

@@ -115,7 +115,7 @@ def write_clustered(
     dealt.sortWithinPartitions(*columns).write.options(**options).parquet(at.path(key), mode=mode)
 
 
-def scan_marking(spark: SparkSession, path: str, schema: StructType | str, bad_line: str = "bad_line") -> DataFrame:
+def scan_marking(spark: SparkSession, path: str | Sequence[str], schema: StructType | str, bad_line: str = "bad_line") -> DataFrame:
     """JSON lines in a given schema, with the text of each unreadable line in one more column.
 
     The column is NULL for lines that could be read. A line is unreadable if it is no JSON object or one of
@@ -125,7 +125,7 @@ def scan_marking(spark: SparkSession, path: str, schema: StructType | str, bad_l
     if bad_line in wanted.names:
         raise ValueError(f"the schema has a column {bad_line}")
     marked = StructType([*wanted.fields, StructField(bad_line, StringType())])
-    return spark.read.schema(marked).option("columnNameOfCorruptRecord", bad_line).json(path)
+    return spark.read.schema(marked).option("columnNameOfCorruptRecord", bad_line).json(path if isinstance(path, str) else list(path))
 
 
 def land_json(
