@@ -414,7 +414,7 @@ def exact_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.numeric_stats(_table(spark, sf_dir, "events"), "value", exact_sums=True)
 
 
-def _event_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _event_readings(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
     columns = {
         "device_id": "user_id",
         "location": "event_type",
@@ -424,7 +424,8 @@ def _event_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "timestamp": "ts",
         "status": F.col("user_id") % 3,
     }
-    return sources.readings_view(_table(spark, sf_dir, "events"), columns)
+    events = _table(spark, sf_dir, "events")
+    return sources.readings_view(events if where is None else events.where(where), columns)
 
 
 def incremental_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -535,6 +536,22 @@ def bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.groupBy(kind.alias("kind")).agg(F.count("*").alias("lines"))
 
 
+def batch_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of two runs; the second brings late events and lines without JSON, and at first only some of its lines."""
+    at = sources.scratch(spark)
+    early = (F.to_date("ts") < F.lit(LATE_DAY).cast("date")) & (F.col("event_id") % 10 > 0)
+    runs = plans.SensorRuns(sources.Location(at.path("out")), keys=("device_id", "status"))
+    for try_, (run_id, events) in enumerate([("first", early), ("second", ~early & (F.col("user_id") % 2 > 0)), ("second", ~early)]):
+        readings = _event_readings(spark, sf_dir, events)
+        line = F.to_json(F.struct(*readings.columns))
+        bad = (F.col("status") == 0) & (F.lit(run_id) == "second")
+        lines = at.path(f"lines-{try_}")
+        readings.select(F.when(bad, F.lit("no json")).otherwise(line).alias("value")).write.text(lines)
+        runs.run(spark, lines, run_id, EVENT_TRIGGER, EVENT_MINUTES, alert_above=EVENT_ALERT, recorded_at=datetime(2024, 2, 1 + try_))
+    history = runs.history(spark)
+    return history.select("run_id", "position", "check_name", "column_name", "value", "threshold", "severity", "violated")
+
+
 def cast_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A field of a struct is read after the struct itself was cast.
     price = F.struct(F.col("o_totalprice").cast("string").alias("amount"), "o_orderpriority").alias("price")
@@ -579,7 +596,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         sensor_job,
         incremental_report, incremental_quality, distinct_sketches, trigger_windows, downstream_rollups,
         series_values, exact_agg, exact_stats, history_by_run, clustered_lookup, bad_line_report, bad_lines, cast_path,
-        table_landed, table_required,
+        table_landed, table_required, batch_runs,
     )
     named = {query.__name__: query for query in listed}
     if llm_queries:
@@ -762,6 +779,24 @@ _LINES_SQL = f"""
     from ({_READINGS_SQL})
 """
 
+def _batch_runs_sql() -> str:
+    early = f"(ts < timestamp '{LATE_DAY}' and event_id % 10 > 0)"
+    readings = _EVENT_READINGS_SQL.replace("select ", f"select {early} as early, user_id % 3 > 0 or {early} as readable, ", 1)
+    seen = ", ".join(
+        f"case when readable then {c} end as {c}" for c in ("temperature", "humidity", "pressure", "device_id", "status")
+    )
+    parts = []
+    for run_id, which in (("first", "early"), ("second", "true")):
+        rows = f"select readable, {seen} from ({readings}) where {which}"
+        report = _report_sql(rows, "device_id, status", ["temperature", "humidity", "pressure"])
+        parts.append(f"""
+            select '{run_id}' as run_id, * from ({report}) union all
+            select '{run_id}', 6, 'unreadable_ratio', null, count(*) filter (where not readable)::double / greatest(count(*), 1),
+                   0.0::double, 'error', count(*) filter (where not readable) > 0 from ({rows})
+        """)
+    return " union all ".join(parts)
+
+
 _HOURLY_UNIFORM_SQL = "(('0x' || substr(md5('hourly:7:' || event_id), {at}, 13))::bigint::double + 0.5) / 4503599627370496::double"
 
 
@@ -999,6 +1034,7 @@ def oracle_sql() -> dict[str, str]:
             select case status when 4 then 'text' when 5 then 'range' else 'no object' end as kind, count(*) as lines
             from ({_READINGS_SQL}) where status in (4, 5, 7) group by 1
         """,
+        "batch_runs": _batch_runs_sql(),
         "table_landed": """
             select o_orderkey::varchar as order_id, trunc(o_totalprice)::integer as whole_price,
                    coalesce(try_cast(o_orderpriority as integer), -1) as priority,
