@@ -145,18 +145,21 @@ class DailyStates:
             F.hll_sketch_agg("key", F.lit(self.lg_k)).alias("sketch")
         )
 
-    def _in_force(self, spark: SparkSession, table: str, days: tuple[str, str] | None) -> DataFrame:
-        stored = self._read(spark, table)
+    def _in_force(self, spark: SparkSession, days: tuple[str, str] | None, *tables: str) -> list[DataFrame]:
+        """The states of the chosen days; each table's folders are listed once."""
         entries = self._entries(spark)
-        if stored is None:
-            raise ValueError("no states are stored; call refresh")
         if days is not None:
             entries = entries.where(self._day_of(F.col("part")).between(f"day {days[0]}", f"day {days[1]}"))
-        return stored.join(entries, ["part", "print"], "left_semi")
+        stored = [self._read(spark, table) for table in tables]
+        if None in stored:
+            raise ValueError("no states are stored; call refresh")
+        return [table.join(entries, ["part", "print"], "left_semi") for table in stored]
 
     def by_location(self, spark: SparkSession, days: tuple[str, str] | None = None) -> DataFrame:
         """Sums and counts per location, over all days or those from the first to the last of ``days``."""
-        groups = self._in_force(spark, "groups", days)
+        return self._by_location(*self._in_force(spark, days, "groups"))
+
+    def _by_location(self, groups: DataFrame) -> DataFrame:
         counts = [c for c in groups.columns if c.startswith("filled_") or c in ("reading_count", "active_sensors")]
         return groups.groupBy("location").agg(
             *(F.expr(exact.merged(f"sum_{m}")).alias(f"sum_{m}") for m in MEANS), *(F.sum(c).alias(c) for c in counts)
@@ -167,15 +170,14 @@ class DailyStates:
         means = (exact.mean(f"sum_{m}").alias(f"avg_{m}") for m in MEANS)
         return self.by_location(spark, days).select("location", *means, "reading_count", "active_sensors")
 
-    def _key_rows(self, spark: SparkSession, days: tuple[str, str] | None) -> DataFrame:
+    def _key_rows(self, groups: DataFrame, keys: DataFrame) -> DataFrame:
         """(row_count, number of different keys)."""
-        keys = self._in_force(spark, "keys", days)
         if self.lg_k is None:
             number = F.count_distinct("key")
         else:
             number = F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0))
         counted = keys.agg(F.lit(None).cast("bigint").alias("row_count"), number.cast("bigint").alias("number"))
-        rows = self._in_force(spark, "groups", days).agg(F.sum("reading_count").alias("row_count"), F.lit(None).cast("bigint").alias("number"))
+        rows = groups.agg(F.sum("reading_count").alias("row_count"), F.lit(None).cast("bigint").alias("number"))
         both = rows.unionByName(counted).agg(*(F.coalesce(F.max(c), F.lit(0).cast("bigint")).alias(c) for c in ("row_count", "number")))
         return both.select("row_count", F.least("number", "row_count").alias("number"))
 
@@ -185,11 +187,12 @@ class DailyStates:
         """``quality_report`` of the chosen days."""
         columns = list(dict.fromkeys(self.columns))
         filled = [f"filled_{i}" for i in range(len(columns))]
-        totals = self.by_location(spark, days).agg(
+        groups, states = self._in_force(spark, days, "groups", "keys")
+        totals = groups.agg(
             F.coalesce(F.sum("reading_count"), F.lit(0)).alias("row_count"),
             *(F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in filled),
         )
-        keys = self._key_rows(spark, days).withColumnRenamed("number", "distinct_keys")
+        keys = self._key_rows(groups, states).withColumnRenamed("number", "distinct_keys")
         return report_from_counts(totals, keys, columns, thresholds)
 
     def report(
@@ -212,4 +215,5 @@ class DailyStates:
             date_column=self.day if date_column else None, exact_means=True,
         )
         columns = tuple(dict.fromkeys(self.columns))
-        return report_rows(self.by_location(spark), self._key_rows(spark, None), rollup, columns, thresholds, True)
+        groups, keys = self._in_force(spark, None, "groups", "keys")
+        return report_rows(self._by_location(groups), self._key_rows(groups, keys), rollup, columns, thresholds, True)
