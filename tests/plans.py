@@ -52,3 +52,22 @@ def scan_metrics(df) -> dict[str, int]:
             children = node.children()
             nodes += [children.apply(i) for i in range(children.size())]
     return found
+
+
+def rows_of_joins(df) -> list[int]:
+    """Run the query; how many rows came out of each of its joins?"""
+    df.collect()
+    found, nodes = [], [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        else:
+            if "Join" in name:
+                found.append(node.metrics().apply("numOutputRows").value())
+            children = node.children()
+            nodes += [children.apply(i) for i in range(children.size())]
+    return found

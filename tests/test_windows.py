@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import fixtures
-from plans import executed
+from plans import executed, rows_of_joins
 from tidegauge.operators import downstream_rollup, trigger_window
 from tidegauge.sources import Location, write_parquet
 
@@ -188,3 +188,29 @@ def test_windows_over_a_clock_change(spark):
         assert {tuple(r) for r in got} == want and len(got) == len(want)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_rollups_do_not_join_readings_with_triggers(spark):
+    """Many readings and triggers in one bin: no join sees their pairs, in one task or in several, of any sort of value."""
+    from tidegauge.operators import downstream_rollups
+
+    time = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 1_000_003)
+    value = F.when(F.col("id") == 5, F.lit(float("inf"))).when(F.col("id") % 7 != 0, F.col("id") * 0.1)
+    zone = F.when(F.col("id") % 3 > 0, F.col("id") % 3)
+    readings = spark.range(2000).select("id", time.alias("timestamp"), zone.alias("zone"), value.alias("temperature"))
+    triggers = readings.where("id % 2 = 0").select(F.col("timestamp").alias("trigger_time"))
+    groups = {}
+    for r, t in joined(readings, triggers, 20):
+        groups.setdefault((t.trigger_time, r.zone), []).append(r.temperature)
+    for bin_minutes, split_rows in ((100, 10**6), (20, 100)):
+        got = downstream_rollups(
+            readings, triggers, 20, alert_above=50.0, by=["zone"], bin_minutes=bin_minutes, split_rows=split_rows
+        )
+        # A bin of 20 minutes has 1,200 readings and 600 triggers; the pairs of all would be over 500,000.
+        assert 0 < max(rows_of_joins(got)) <= 10_000
+        found = got.collect()
+        rows = {(r.trigger_time, r.zone): r.avg_temp for r in found}
+        assert rows.keys() == groups.keys() and len(found) == len(groups)
+        for key, values in groups.items():
+            known = [v for v in values if v is not None]
+            assert rows[key] == (pytest.approx(sum(known) / len(known), rel=1e-12) if known else None)

@@ -41,10 +41,10 @@ def sum_state(value: str) -> str:
     return f"named_struct({', '.join(parts)}, 'outside', sum(if({fits}, null, {value})), 'n', count({value}))"
 
 
-def merged(state: str) -> str:
-    """An aggregate: the state of several parts together."""
-    digits = (f"'{n}', cast(coalesce(sum({state}.{n}), 0) as {_SUM_TYPE})" for n in _DIGITS)
-    return f"named_struct({', '.join(digits)}, 'outside', sum({state}.outside), 'n', coalesce(sum({state}.n), 0L))"
+def merged(state: str, over: str = "") -> str:
+    """An aggregate: the state of several parts together. With a window as SQL text (`` over (...)``), the state of its rows."""
+    digits = (f"'{n}', cast(coalesce(sum({state}.{n}){over}, 0) as {_SUM_TYPE})" for n in _DIGITS)
+    return f"named_struct({', '.join(digits)}, 'outside', sum({state}.outside){over}, 'n', coalesce(sum({state}.n){over}, 0L))"
 
 
 def empty_state() -> str:
