@@ -9,6 +9,7 @@ of a few documents, or ids and lengths of none, without reading the rest.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -33,8 +34,8 @@ WRITE_OPTIONS = {
     "parquet.enable.dictionary#place": "false",
 }
 
-# Words, and pieces of words, remembered per worker process, about 200 bytes each.
-CACHE_WORDS, CACHE_LENGTH = 200_000, 64
+# Words and pieces of words remembered per worker process, about 200 bytes each.
+CACHE_WORDS, CACHE_LENGTH = 400_000, 64
 
 # The pieces a text is cut into, as the tokenizer's own pattern has them, for characters up to U+017F.
 _LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
@@ -55,7 +56,7 @@ def _byte_characters() -> list[str]:
 
 
 class _Words(dict):
-    """Packed ids by word; a word not seen before is cut into pieces, and remembered while there is room."""
+    """Packed ids by word or piece; one not seen before is encoded, and remembered while there is room."""
 
     def __init__(self, encode: Callable[[str], bytes]) -> None:
         super().__init__()
@@ -63,9 +64,12 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         packed = self._encode(word)
+        self.remember(word, packed)
+        return packed
+
+    def remember(self, word: str, packed: bytes) -> None:
         if len(self) < CACHE_WORDS and len(word) <= CACHE_LENGTH:
             self[word] = packed
-        return packed
 
 
 class WordEncoder:
@@ -83,29 +87,24 @@ class WordEncoder:
         self._model = self._tokenizer.model
         self._characters = _byte_characters()
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._pieces: dict[str, bytes] = {}
+        # A piece alone is a word of one piece, so words and pieces share their place.
         self._words = _Words(self._narrow)
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def _remember(self, key: str, packed: bytes) -> bytes:
-        if len(self._pieces) < CACHE_WORDS and len(key) <= CACHE_LENGTH:
-            self._pieces[key] = packed
-        return packed
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
         written = piece if piece.isascii() and piece.isprintable() else "".join(self._characters[b] for b in piece.encode())
-        return self._remember(piece, self._packed([t.id for t in self._model.tokenize(written)]))
+        return self._packed([t.id for t in self._model.tokenize(written)])
 
     def _whole(self, text: str) -> bytes:
         return self._packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _narrow(self, text: str) -> bytes:
         """Of a text in lower case without wide characters."""
-        known, piece = self._pieces.get, self._piece
-        return b"".join([known(p) or piece(p) for p in _PIECES.findall(text)])
+        pieces = [text] if text.isascii() and text.isalpha() else _PIECES.findall(text)
+        return self._piece(pieces[0]) if len(pieces) == 1 else b"".join([self._words[p] for p in pieces])
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
@@ -117,11 +116,14 @@ class WordEncoder:
         parts = []
         for word in _SPLIT.split(text):
             if not _WIDE.search(word):
-                parts.append(self._narrow(word.lower()))
+                parts.append(self._words[word.lower()])
             else:
                 # A key that no piece has, as pieces hold no blanks.
                 key = f" {word}"
-                parts.append(self._pieces.get(key) or self._remember(key, self._whole(word)))
+                if not (packed := self._words.get(key)):
+                    packed = self._whole(word)
+                    self._words.remember(key, packed)
+                parts.append(packed)
         return b"".join(parts)
 
 
