@@ -3,7 +3,9 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tidegauge.llm import common, interpolation
 from test_llm import importable, words  # noqa: F401
@@ -67,3 +69,14 @@ def test_packed_numbers():
         assert interpolation.unpacked(data, 100).tolist() == values.tolist()
         assert len(data) == 100 * next(w for w in (1, 2, 4, 8) if values.max() < 1 << 8 * w)
     assert len(interpolation.unpacked(b"", 0)) == 0
+
+
+def test_a_row_group_holds_one_block(spark):
+    """Also where texts compress to next to nothing, as writers and readers hold a whole row group."""
+    text = F.repeat(F.concat(F.lit("some words of "), F.col("id").cast("string"), F.lit("\t")), 100_000)
+    docs = spark.range(30, numPartitions=1).select("id", text.alias("text"), F.lit(interpolation.COUNTED).alias("role"))
+    blocks = interpolation._pack(docs)
+    groups = [file.metadata.row_group(i) for file in map(pq.ParquetFile, blocks.inputFiles()) for i in range(file.metadata.num_row_groups)]
+    assert len(groups) == blocks.count() >= 10
+    assert max(g.total_byte_size for g in groups) <= 1.1 * interpolation.BLOCK_BYTES
+    assert blocks.agg(F.sum("learned")).first()[0] == 30 * (4 * 100_000 + 1)

@@ -33,6 +33,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 COUNTED, HELD, UNSEEN = 0, 1, 2
 
 BLOCK_BYTES = 4 << 20
+# A row group per block: writers and readers hold a whole one, and Parquet looks at its size, as compressed, only every hundred rows.
+_BLOCK_FILES = {"compression": "zstd", "parquet.block.row.count.limit": "1"}
 # About so many words' n-grams meet in one task.
 RANGE_TOKENS = 500_000
 # Steps per power of two in which likelihood ratios are tallied for the weights.
@@ -106,7 +108,7 @@ def _pack(docs: DataFrame) -> DataFrame:
             if open_[held]:
                 yield close(held)
 
-    return staged(docs.mapInArrow(run, _BLOCKS), "blocks", **{"compression": "zstd", "parquet.block.size": str(16 << 20)})
+    return staged(docs.mapInArrow(run, _BLOCKS), "blocks", **_BLOCK_FILES)
 
 
 @dataclass
